@@ -1,7 +1,7 @@
 """All queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import packing, token_files
+from . import packing, secrets, token_files
 
-MODULES = [packing, token_files]
+MODULES = [secrets, packing, token_files]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
