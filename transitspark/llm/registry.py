@@ -1,7 +1,7 @@
 """All queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import packing, secrets, simhash, token_files
+from . import packing, quality, secrets, simhash, token_files, toxicity
 
-MODULES = [secrets, simhash, packing, token_files]
+MODULES = [secrets, toxicity, simhash, packing, token_files, quality]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
