@@ -12,14 +12,41 @@ import re
 
 import numpy as np
 
-#: White space as the tokenizer files mean it (Unicode White_Space); fixed values.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space as the tokenizer files mean it (Unicode White_Space) apart from the space and \n; fixed values.
+OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What str.split() takes for white space and the tokenizer files don't; fixed values.
+NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: Words that a worker remembers at most; beyond that it forgets them all and starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_500_000
 
 _loaded: dict[str, "WordTokenizer"] = {}
 
 
+class _Known(dict):
+    """ids of words; a new word is encoded when it is first asked for."""
+
+    def __init__(self, encode, lower: bool):
+        self.encode, self.lower = encode, lower
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        # one comma or full stop after a letter is a word of its own to the pre-tokenizer
+        if len(word) > 1 and word[-1] in ",." and word[-2].lower()[-1].isalpha():
+            ids = self[word[:-1]] + self.tail(word[-1])
+        elif self.lower and word.isascii() and (small := word.lower()) != word:
+            ids = self[small]
+        else:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
+
+    def tail(self, mark: str) -> bytes:
+        if mark not in self.__dict__.setdefault("tails", {}):
+            self.tails[mark] = self.encode_plain(mark)
+        return self.tails[mark]
+
+
 class WordTokenizer:
     """ids of whole texts as bytes of little-endian unsigned 32-bit integers."""
 
@@ -32,46 +59,34 @@ class WordTokenizer:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         before, normal = json.dumps(spec.get("pre_tokenizer")), json.dumps(spec.get("normalizer"))
-        self.lower = "Lowercase" in normal
         if '"Split"' in before and r"[^\\s\\p{L}\\p{N}]+" in before and '"invert": true' in before:
-            self.cut = re.compile(f"[^{SPACE}]+")  # white space is dropped
+            self.encode_one = self._spaceless  # white space is dropped
+            self.known = _Known(self._whole, "Lowercase" in normal)
         elif '"ByteLevel"' in before and '"use_regex": true' in before and '"add_prefix_space": false' in before and normal == "null":
-            self.cut = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")  # a word keeps the space before it
+            self.encode_one = self._spaced
+            # after a space, which belongs to the word; or after a line feed, which does not
+            self.known = _Known(lambda w: self._whole(w if w[:1] == "\n" else " " + w), False)
         else:
-            self.cut = None  # unknown rules: whole texts only
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _stem(self, word: str) -> tuple[str, str]:
-        """A word without one comma or full stop after a letter, at which the pre-tokenizer cuts too."""
-        tail = ""
-        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():
-            word, tail = word[:-1], word[-1]
-        return (word.lower() if self.lower and word.isascii() else word), tail
-
-    def _learn(self, words: set[str]) -> None:
-        known, stems = self.known, {w: self._stem(w) for w in words}
-        new = list({x for pair in stems.values() for x in pair if x} - known.keys())
-        known.update(zip(new, self._whole(new)))
-        for w, (stem, tail) in stems.items():
-            known[w] = known[stem] + known[tail] if tail else known[stem]
+            self.encode_one = self._whole  # unknown rules
+            return
+        self.known.encode_plain = self._whole
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _spaceless(self, text: str) -> bytes:
+        if any(s in text for s in self.special) or any(c in text for c in NOT_SPACE):
+            return self._whole(text)
+        return b"".join(map(self.known.__getitem__, text.split()))
+
+    def _spaced(self, text: str) -> bytes:
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in OTHER_SPACE) or any(s in text for s in self.special):
+            return self._whole(text)  # runs of white space
+        words = text.replace("\n", " \n").split(" ")
+        return self._whole(words[0]) + b"".join(map(self.known.__getitem__, words[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.cut is None:
-            return self._whole(texts)
-        out, known = [], self.known
-        for at in range(0, len(texts), 500):
-            block = [(t, None if any(s in t for s in self.special) else self.cut.findall(t)) for t in texts[at : at + 500]]
-            words = set().union(*(c for _, c in block if c))
-            new = words - known.keys()
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = words
-            self._learn(new)
-            out += [self._whole([t])[0] if c is None else b"".join(map(known.__getitem__, c)) for t, c in block]
-        return out
+        return [self.encode_one(t) for t in texts]
 
 
 def tokenizer(path: str) -> WordTokenizer:
