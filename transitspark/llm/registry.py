@@ -1,7 +1,7 @@
 """All queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import embedding_join, packing, quality, secrets, simhash, token_files, toxicity, warc
+from . import embedding_join, packing, quality, secrets, simhash, syncmers, token_files, toxicity, warc
 
-MODULES = [secrets, toxicity, simhash, warc, packing, embedding_join, token_files, quality]
+MODULES = [secrets, toxicity, simhash, warc, syncmers, packing, embedding_join, token_files, quality]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
