@@ -127,20 +127,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", may_learn: C
     return train([(np.frombuffer(i, "i4"), np.frombuffer(n, "f4")) for i, n in zip(t["ids"], t["n"])], y)
 
 
-def scored(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """docs and a column score; a null text scores as an empty one. A column of docs named score is replaced."""
+def scored(docs: DataFrame, weights: np.ndarray, bias: float, column: str = "score") -> DataFrame:
+    """docs and a column of scores; a null text scores as an empty one. A column of docs of that name is replaced."""
     model = docs.sparkSession.sparkContext.broadcast((weights.astype("f4"), bias))
-    docs = docs.drop("score")
+    docs = docs.drop(column)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b0 = model.value
         own = Scorer(w.astype("f8"), b0)
         for b in batches:
-            yield b.append_column("score", pa.array([own.score(t or "") for t in b.column("text").to_pylist()], pa.float64()))
+            yield b.append_column(column, pa.array([own.score(t or "") for t in b.column("text").to_pylist()], pa.float64()))
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(each, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(each, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

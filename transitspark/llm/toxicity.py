@@ -195,11 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn: Col
     return _fit([np.frombuffer(i, "i4") for i in t["ids"]], [list(v) for v in t["votes"]], t["label"].clip(0, 1).to_numpy().astype("int64"))
 
 
-def scored(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """docs and a column score; a null text scores as an empty one. A column of docs named score is replaced."""
+def scored(docs: DataFrame, weights: np.ndarray, bias: float, column: str = "score") -> DataFrame:
+    """docs and a column of scores; a null text scores as an empty one. A column of docs of that name is replaced."""
     used = np.flatnonzero(weights)
     model = docs.sparkSession.sparkContext.broadcast((used.astype("i4"), weights[used], len(weights), bias))
-    docs = docs.drop("score")
+    docs = docs.drop(column)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w, n, b0 = model.value
@@ -207,9 +207,9 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
         full[at] = w
         own = Scorer(full, b0)
         for b in batches:
-            yield b.append_column("score", pa.array([own.score(t or "") for t in b.column("text").to_pylist()], pa.float64()))
+            yield b.append_column(column, pa.array([own.score(t or "") for t in b.column("text").to_pylist()], pa.float64()))
 
-    return docs.mapInArrow(each, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(each, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
