@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, fp long")
 
 
-def trie_links(v: np.ndarray, pairs: np.ndarray, bit: int, budget: int):
+def trie_links(v: np.ndarray, pairs: np.ndarray, bit: int, budget: int, last: int = 64):
     """Yields (i, j) arrays of positions in v whose values differ in at most `budget` bits.
 
     v holds ascending runs; pairs has rows (begin, end, begin, end, differing bits so far) of two nodes, whose values
@@ -67,7 +67,7 @@ def trie_links(v: np.ndarray, pairs: np.ndarray, bit: int, budget: int):
             todo += [(p[: len(p) // 2], t), (p[len(p) // 2 :], t)]
             continue
         na, nb = p[:, 1] - p[:, 0], p[:, 3] - p[:, 2]
-        small = (na * nb <= 16) | (t == 64)
+        small = (na * nb <= 16) | (t == last)
         if small.any():
             q, n = p[small], (na * nb)[small]
             which = np.repeat(np.arange(len(q)), n)
@@ -191,6 +191,144 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     return own.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Wide fingerprints: tables of so many bits, and words of a shingle.
+TABLES, BITS, WIDE_WORDS, SIMILARITY = 32, 32, 5, 0.8
+
+
+def wide_fingerprint(text: str, words: int = WIDE_WORDS, tables: int = TABLES) -> bytes:
+    """TABLES x BITS bits of the set of a text's shingles, all drawn from one hash of each; no words: zeros."""
+    from xxhash import xxh64_intdigest
+
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return bytes(tables * BITS // 8)
+    shingles = set(map(b" ".join, zip(*(w[k:] for k in range(words)))) if len(w) >= words else [b" ".join(w)])
+    h = np.fromiter(map(partial(xxh64_intdigest, seed=SEED), shingles), "u8")
+    ones = np.zeros(tables * BITS, "i8")
+    salts = np.arange(1, tables * BITS // 64 + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(h), 2048):
+        x = h[at : at + 2048, None] + salts
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = np.ascontiguousarray(x ^ (x >> np.uint64(31)))
+        ones += np.unpackbits(x.view("u1"), axis=1).sum(0, dtype="u4")
+    return np.packbits(2 * ones > len(h)).tobytes()
+
+
+def differing(similarity: float, bits: int = TABLES * BITS) -> int:
+    """Bits in which texts of that share of common shingles differ, and 1.5 standard deviations of that number more."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + 1.5 * (bits * p * (1 - p)) ** 0.5)
+
+
+def _spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adds links to label; also gives those of them that joined what was apart."""
+    kept_i, kept_j = [], []
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label, np.concatenate(kept_i or [i[:0]]), np.concatenate(kept_j or [j[:0]])
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        _, one = np.unique(np.maximum(a, b), return_index=True)  # one link for each class that is hooked
+        kept_i.append(i[one])
+        kept_j.append(j[one])
+        label = unite(label, i[one], j[one])
+
+
+def wide_links(classes: DataFrame, budget: int = BUDGET, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) from classes(id, wide): pairs whose texts share at least `similarity` of their shingles, as their wide
+    fingerprints tell, enough of them to reach every such text from any other like it.
+
+    Each table is a short fingerprint of its own and goes through the trie with the same budget; like texts meet in at
+    least one of the tables (the README has the odds). Pairs found are then held against all bits.
+    """
+    blocks = [(BITS * k // (budget + 1), BITS * (k + 1) // (budget + 1)) for k in range(budget + 1)]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 2000):
+                part = b.slice(at, 2000)
+                v = np.frombuffer(b"".join(part.column("wide").to_pylist()), ">u4").reshape(len(part), -1).astype("u8")
+                for k, (first, end) in enumerate(blocks):
+                    turned = ((v << np.uint64(first)) | (v >> np.uint64(BITS - first))) & np.uint64((1 << BITS) - 1)
+                    head = (turned >> np.uint64(BITS - (end - first))).astype("i8")
+                    group = np.arange(v.shape[1]) * len(blocks) + k
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.broadcast_to(group, v.shape).ravel().astype("i4")), pa.array(head.ravel().astype("i4")), pa.array(turned.ravel().astype("i8")), pa.array(np.repeat(part.column("id").to_numpy(), v.shape[1])),
+                    ], ["block", "head", "v", "id"])
+
+    dealt = classes.mapInArrow(spread, "block int, head int, v long, id long").repartition("block", "head").sortWithinPartitions("block", "head")
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        block, head, v, ids = (t.column(c).to_numpy() for c in ("block", "head", "v", "id"))
+        order = np.lexsort((ids, v, head, block))
+        block, head, v, ids = block[order], head[order], v[order].astype("u8") << np.uint64(64 - BITS), ids[order]
+        new = np.ones(len(v), bool)
+        new[1:] = (block[1:] != block[:-1]) | (head[1:] != head[:-1])
+        first = new.copy()
+        first[1:] |= v[1:] != v[:-1]
+        again = np.flatnonzero(~first)  # equal in this table: linked in a chain
+        out_i, out_j = [ids[again]], [ids[again - 1]]
+        block, v, ids, new = block[first], v[first], ids[first], new[first]
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(v))
+        label = np.arange(len(v))
+        for k, (b, e) in enumerate(blocks):
+            own = (block[starts] % len(blocks) == k) & (ends - starts > 1)
+            s, f = starts[own], ends[own]
+            if len(s):
+                for i, j in trie_links(v, np.column_stack([s, f, s, f, np.zeros(len(s), "i8")]), e - b, budget, BITS):
+                    label, i, j = _spanning(label, i, j)
+                    out_i.append(ids[i])
+                    out_j.append(ids[j])
+        a, b = np.concatenate(out_i), np.concatenate(out_j)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            keys = t.column("block").to_numpy().astype("i8") << 32 | t.column("head").to_numpy()
+            last = np.flatnonzero(keys != keys[-1]) if len(keys) else keys
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield solve(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None and len(held):
+            yield solve(held)
+
+    found = dealt.mapInArrow(walk, "a long, b long").where("a <> b").distinct()
+    both = found.join(classes.select(F.col("id").alias("a"), F.col("wide").alias("wa")), "a").join(classes.select(F.col("id").alias("b"), F.col("wide").alias("wb")), "b")
+    most = differing(similarity)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "u8").reshape(len(b), -1) for c in ("wa", "wb"))
+                yield b.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most))
+
+    return both.select("a", "b", "wa", "wb").mapInArrow(near, "a long, b long")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of documents that share at least `similarity` of their 5-word shingles, as wide SimHash
+    fingerprints tell, directly or through others. Null and wordless texts are copies of each other; null doc_ids are
+    left out; rows that share a doc_id share a component."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([wide_fingerprint(t or "") for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "wide"])
+
+    own = staged(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, wide binary"))
+    first = own.groupBy("wide").agg(F.min("doc_id").alias("id"))
+    copies = own.join(first, "wide").select("doc_id", "id")
+    classes = staged(first.groupBy("id").agg(F.min("wide").alias("wide")))
+    links_ = wide_links(classes, similarity=similarity).unionByName(copies.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+    found = components(links_)
+    return own.select("doc_id").distinct().join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
