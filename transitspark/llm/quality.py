@@ -93,7 +93,7 @@ class Scorer:
     def score(self, text: str) -> float:
         words = text.encode("utf-8", "surrogatepass").split()
         known = self.known
-        new = set(words) - known.keys()
+        new = {w for w in words if w not in known}
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = set(words)
