@@ -243,7 +243,7 @@ class PieceModel:
         for at in range(0, len(texts), 1000):
             block = [self._words(t) for t in texts[at : at + 1000]]
             words = set().union(*block)
-            new = words - known.keys()
+            new = [w for w in words if w not in known]
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 new = words
