@@ -6,15 +6,17 @@ the last place.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import astuple
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ephemeris import Ephemeris, center, finite, in_window, phase, predicted_events
 from ..functions.stellar import duration_informed_a, inclination_degrees, q_to_u, u_to_q
-from ..operators import cleaning, events, posterior, recovery, residuals, search, snapshots, windows
+from ..operators import cleaning, events, posterior, recovery, residuals, sampling, search, snapshots, transit, windows
 from ..sources.light_curves import from_events
 
 E = Ephemeris(2.5, 0.4, 0.4)
@@ -538,3 +540,52 @@ def limb_darkening_convert(spark, sf_dir):
 def inclination(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.lit(1.0) + F.col("p_size") / 2).alias("a"), (F.col("p_partkey") % 30 / 10).alias("b"))
     return rounded(p.select("p_partkey", inclination_degrees(F.col("a"), F.col("b")).alias("inclination"), duration_informed_a(F.lit(0.1), F.col("b"), F.lit(E.duration), F.lit(E.period)).alias("a_from_duration")))
+
+
+# ------------------------------------------------------------------------------------------------ model and sampling
+_TRUE = (0.1, 5.5, 0.3, 0.36, 1 / 3)
+_TIMING = transit.Timing(E.period, E.epoch)
+_EXPOSURE = 0.0204
+
+
+def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted cadences whose flux is a transit plus a noise of their own: a thousandth of how far their value lies
+    from the median of their target, in medians, within three."""
+    curves = cleaning.normalize(finite_curves(spark, sf_dir), "target_id")
+    noise = F.greatest(F.least(F.col("flux_norm") - 1, F.lit(3.0)), F.lit(-3.0)) * 1e-3
+
+    def add(batches):
+        for pdf in batches:
+            yield pdf.assign(flux=transit.model_flux(pdf["time"].to_numpy(), _EXPOSURE, np.array(_TRUE), _TIMING) + pdf["noise"])[["target_id", "product_id", "cadence_id", "time", "flux", "flux_err"]]
+
+    dipped = curves.select("target_id", "product_id", "cadence_id", "time", "flux", F.lit(1e-3).alias("flux_err"), noise.alias("noise"))
+    dipped = dipped.mapInPandas(add, "target_id long, product_id string, cadence_id long, time double, flux double, flux_err double")
+    return windows.accepted_cadences(dipped, E)
+
+
+@query()
+def transit_model(spark, sf_dir):
+    """Cadences with an injected transit, the input of the fits."""
+    return rounded(_injected(spark, sf_dir).select("target_id", "cadence_id", "event_number", "offset", "flux"))
+
+
+@query()
+def transit_fit(spark, sf_dir):
+    return rounded(transit.fit_targets(_injected(spark, sf_dir), _TIMING, E.duration, _EXPOSURE, n_starts=2), 4)
+
+
+@query()
+def posterior_sampling(spark, sf_dir):
+    """Eight steps of two small ensembles per target around the injected transit, and what they say of each parameter."""
+    accepted = _injected(spark, sf_dir)
+    c = sampling.SamplerConfig(ensembles=2, walkers=16, supersample=3)
+    center = [math.log(_TRUE[0]), math.log(_TRUE[1]), _TRUE[2] / (1 + _TRUE[0]), *_TRUE[3:], math.log(1e-3), 0.0, 0.0]
+    centers = accepted.select("target_id").distinct().select("target_id", *(F.lit(float(v)).alias(n) for n, v in zip(sampling.PARAMETERS, center)))
+    chain = sampling.run_chunk(accepted, centers, _TIMING, c, 8)
+    draws = chain.unpivot(["target_id", "ensemble", "walker", "step"], list(sampling.PARAMETERS), "parameter", "value")
+    return rounded(posterior.summary(draws, "target_id"))
+
+
+@query()
+def effective_sample_sizes(spark, sf_dir):
+    return rounded(sampling.effective_sizes(_draws(spark, sf_dir)))
