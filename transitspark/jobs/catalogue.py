@@ -500,7 +500,7 @@ def ensemble_summary(spark, sf_dir):
     return rounded(posterior.summary(_draws(spark, sf_dir), "ensemble"))
 
 
-@query(f"""WITH {_CHAIN}, k AS (SELECT *, row_number() OVER (PARTITION BY parameter, ensemble, walker ORDER BY step) - 1 AS k, count(*) OVER (PARTITION BY parameter, ensemble, walker) // 2 AS h FROM dr),
+@query(f"""WITH {_CHAIN}, k AS (SELECT *, row_number() OVER (PARTITION BY parameter, ensemble, walker ORDER BY step, value) - 1 AS k, count(*) OVER (PARTITION BY parameter, ensemble, walker) // 2 AS h FROM dr),
  hv AS (SELECT parameter, ensemble, walker, k // h AS half, avg(value) AS m, var_samp(value) AS v, count(*) AS n FROM k WHERE h >= 2 AND k < 2 * h GROUP BY ALL),
  o AS (SELECT parameter, count(*) AS n_halves, avg(v) AS w, var_samp(m) AS s, min(n) AS n FROM hv GROUP BY ALL), x AS (SELECT parameter, n_halves, sqrt(((n - 1) / n::DOUBLE * w + s) / w) AS rhat FROM o) {sql_rounded('parameter n_halves ~rhat', 'x')}""")
 def split_rhat(spark, sf_dir):

@@ -31,7 +31,7 @@ def split_rhat(draws: DataFrame) -> DataFrame:
     """(parameter, rhat): chains are halved (an odd last draw is left out) and their means held against their spread."""
     chain = ["parameter", "ensemble", "walker"]
     own = W.partitionBy(*chain)
-    df = draws.withColumn("_k", F.row_number().over(own.orderBy("step")) - 1).withColumn("_half", F.floor(F.count("*").over(own) / 2))
+    df = draws.withColumn("_k", F.row_number().over(own.orderBy("step", "value")) - 1).withColumn("_half", F.floor(F.count("*").over(own) / 2))
     halves = df.where("_half >= 2 and _k < 2 * _half").groupBy(*chain, F.floor(F.col("_k") / F.col("_half")).alias("half")).agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n"))
     out = halves.groupBy("parameter").agg(F.avg("v").alias("within"), F.var_samp("m").alias("spread"), F.min("n").alias("n"), F.count("*").alias("n_halves"))
     rhat = F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("within") + F.col("spread")) / F.col("within"))
