@@ -194,7 +194,9 @@ class WarcReader(DataSourceReader):
             listed = json.loads(f.read())
         return [Archive(x["name"], at, min(at + RANGE, x["bytes"])) for x in listed for at in range(0, x["bytes"], RANGE)]
 
-    def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Archive | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in where no archive is listed
+            return
         fs, base = file_system(self.path)
         rows: list[dict] = []
         types = {"record_type": pa.string(), "page_id": pa.int64(), "target_uri": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
