@@ -1,8 +1,8 @@
 """Packing documents into training sequences by hierarchical best-fit.
 
 Each partition packs its own pieces by best-fit in descending length. Sequences that are nearly full are done; the
-others become items of the next round, on an eighth of the partitions, where best-fit puts them together, and so on
-up the tree. A sequence travels as one row that holds its members, so no round joins anything.
+others become items of the next round, on an eighth of the partitions, where best-fit puts them together, or takes
+them apart if their pieces then need fewer sequences, and so on up the tree. A sequence travels as one row that holds its members, so no round joins anything.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from .tokens import tokenizer
 LENGTH, END_ID = 1024, 2
 #: A sequence with at most so many free places is done.
 SLACK = 4
-#: Items that one task packs together at most, and how many partitions meet in one of the next round.
-BLOCK, FAN_IN = 200_000, 8
+#: Pieces, and sequences, that one task packs together at most, and how many partitions meet in one of the next round.
+BLOCK, MERGED, FAN_IN = 200_000, 20_000, 8
 
 PIECE = [pa.field("doc_id", pa.int64()), pa.field("piece", pa.int32()), pa.field("start", pa.int64()), pa.field("length", pa.int64()), pa.field("ids_crc32", pa.int64())]
 SCHEMA = "sequence_id long, fill int, members array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long{}>>"
@@ -115,14 +115,18 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = LENGTH, end_id: i
                 nonlocal at, held, n
                 t = pa.Table.from_batches(held).combine_chunks()
                 lists = t.column("members").chunk(0) if len(t) else pa.array([], t.schema.field("members").type)
-                out = _joined(t.column("fill").to_numpy().astype("int64"), lists, capacity, at)
+                sizes, flat = t.column("fill").to_numpy().astype("int64"), lists.flatten()
+                alone = flat.field("length").to_numpy() if len(flat) else np.empty(0, "int64")
+                if len(t) and best_fit(alone, capacity).max() < best_fit(sizes, capacity).max():  # sequences that fit better when taken apart
+                    sizes, lists = alone, pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype="int32")), flat)
+                out = _joined(sizes, lists, capacity, at)
                 at, held, n = at + len(out), [], 0
                 return out
 
             for b in batches:
                 held.append(b)
                 n += len(b)
-                if n >= BLOCK:
+                if n >= MERGED:
                     yield packed()
             if n:
                 yield packed()
@@ -136,7 +140,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = LENGTH, end_id: i
         done.append(rows.where(F.col("fill") >= capacity - slack))
         open_ = rows.where(F.col("fill") < capacity - slack)
         count = open_.count()
-        least = max(1, -(-count // BLOCK))
+        least = max(1, -(-count // MERGED))
         if count <= 1 or (before is not None and before <= least):  # one row, or the top of the tree was packed
             done.append(open_)
             break
