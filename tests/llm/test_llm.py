@@ -1,6 +1,7 @@
 """Operators on training data, held against brute force on small tables with every kind of odd row."""
 
 import base64
+import functools
 import hashlib
 import re
 import zlib
@@ -146,14 +147,14 @@ def test_pieces_are_those_of_the_library():
     import sentencepiece
 
     path = token_files.tokenizer_path("piece_bpe_32k.model")
-    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel.load(path)
+    theirs, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel.load(path)
     rng = np.random.default_rng(3)
     parts = ["a", "The", " ", "\n", "  ", "é", "<s>", ".", "'s", "12", "\t", "▁", "word,", "日本", "ﬁ", "\r\n", "aaaaaaaa", "\U0001f600", "ction", "\x01"]
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(1500)] + ["ab" * 500 + "é"]
     for t, got in zip(texts, own.encode(texts)):
         ids = np.frombuffer(got, "<u4").tolist()
-        assert ids == library.encode(t)
-        assert own.decode(got) == library.decode(ids)
+        assert ids == theirs.encode(t)
+        assert own.decode(got) == theirs.decode(ids)
 
 
 def test_viterbi_is_the_best_segmentation():
@@ -308,11 +309,15 @@ def test_texts_that_share_a_passage_share_runs(spark):
 
 
 # -------------------------------------------------------------------------------------------------------- op7, op9
-def library_ids(name, text):
+@functools.cache
+def library(name):
     from tokenizers import Tokenizer
 
-    t = library_ids.__dict__.setdefault(name, Tokenizer.from_file(token_files.tokenizer_path(name)))
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(token_files.tokenizer_path(name))
+
+
+def library_ids(name, text):
+    return library(name).encode(text, add_special_tokens=False).ids
 
 
 def crc(ids):
