@@ -11,11 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import staged, table
 
 #: Units of a run (a power of two), and hashes of a fingerprint.
 K, SKETCH = 8, 64
+#: Ids of a run of documents that one window holds.
+RUN = 1024
 #: Texts of fewer characters, or of more characters a word, are taken by characters.
 SHORT, LONG_WORD = 400, 24
 BLANK = r"[ \t\n\x0B\f\r]+"
@@ -82,41 +85,41 @@ def anchors(docs: DataFrame) -> DataFrame:
     return chosen(df, "_text", "_runs").select("doc_id", F.posexplode("_runs").alias("at", "anchor"))
 
 
-def following(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id) of distinct, non-null doc_ids in ascending order; after the last comes the first.
+def following(keys: DataFrame, name: str) -> DataFrame:
+    """(name, next) of distinct, non-null keys in ascending order; after the last comes the first.
 
-    Ids are dealt by ranges and numbered by range. A window within each range gives most successors; the last of a
-    range gets the least id of the next one, from one row per range.
+    Keys are dealt by ranges and numbered by range. A window within each range gives most successors; the last of a
+    range gets the least key of the next one, from one row per range.
     """
-    ranged = staged(ids.select("doc_id").distinct().repartitionByRange("doc_id").select("doc_id", F.spark_partition_id().alias("part")))
-    from pyspark.sql import Window as W
-
-    edges = ranged.groupBy("part").agg(F.min("doc_id").alias("least"))  # a row a partition
+    ranged = staged(keys.select(name).distinct().repartitionByRange(name).select(name, F.spark_partition_id().alias("part")))
+    edges = ranged.groupBy("part").agg(F.min(name).alias("least"))  # a row a partition
     order = W.partitionBy(F.lit(1)).orderBy("part")
     edges = edges.select("part", F.coalesce(F.lead("least").over(order), F.first("least").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("across"))
-    inside = ranged.withColumn("next_id", F.lead("doc_id").over(W.partitionBy("part").orderBy("doc_id")))
-    return inside.join(F.broadcast(edges), "part").select("doc_id", F.coalesce("next_id", "across").alias("next_id"))
+    inside = ranged.withColumn("next", F.lead(name).over(W.partitionBy("part").orderBy(name)))
+    return inside.join(F.broadcast(edges), "part").select(name, F.coalesce("next", "across").alias("next"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of texts, of their edited texts and of the next document's, and how alike they are.
 
     A text's last quarter of code points (rounded down) is replaced by the first as many of the next document by
-    ascending doc_id. Null texts are empty. Null doc_ids have no place in the order and are left out; of rows with
-    one doc_id the largest text is next for the one before, and each row is edited by itself.
+    ascending doc_id; after the last comes the first. Null texts are empty. Null doc_ids have no place in the order and
+    are left out; rows that share a doc_id follow each other by text.
 
-    Texts are shuffled once, by doc_id; what goes from a document to the one before it is its beginning, no longer
-    than that one needs, and its fingerprint.
+    Texts are shuffled once, by runs of RUN ids, which hold RUN documents at most. A window over a run gives each
+    document the next one; only the last of a run gets it from the first of the next run, by a join on the run, which
+    keeps the partitioning.
     """
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("n_chars", F.char_length("text").cast("long"))
-    place = following(own)
-    quarter = own.groupBy("doc_id").agg(F.max(F.floor(F.col("n_chars") / 4)).cast("int").alias("need"))
-    asked = place.join(quarter, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), "need")
-    marked = staged(fingerprints(own))
-    heads = marked.join(asked, "doc_id").select(F.col("before").alias("doc_id"), F.expr("substring(text, 1, need)").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
-    heads = heads.groupBy("doc_id").agg(F.max(F.struct("head", "next_fingerprint")).alias("x")).select("doc_id", "x.*")
-    both = marked.join(heads, "doc_id")
+    own = own.withColumn("run", F.floor(F.col("doc_id") / RUN))
+    marked = fingerprints(own.repartition("run"))
+    order = W.partitionBy("run").orderBy("doc_id", "text")
+    after = following(own, "run").withColumnsRenamed({"run": "before", "next": "run"})
+    firsts = marked.withColumn("rank", F.row_number().over(order)).where("rank = 1").join(after, "run")
+    firsts = firsts.select(F.col("before").alias("run"), F.col("text").alias("first_text"), F.col("fingerprint").alias("first_fingerprint"))
+    both = marked.withColumns({"head": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order)}).alias("a")
+    both = both.join(firsts.alias("b"), (F.col("a.run") == F.col("b.run")) & F.col("a.head").isNull(), "left")
+    both = both.select("a.doc_id", "a.text", "a.fingerprint", F.char_length("a.text").cast("long").alias("n_chars"), F.coalesce("head", "first_text").alias("head"), F.coalesce("next_fingerprint", "first_fingerprint").alias("next_fingerprint"))
     q = F.floor(F.col("n_chars") / 4).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - q), F.substring("head", F.lit(1), q)))
     both = chosen(both, "edited", "_runs").withColumn("edited_fingerprint", sketch(F.col("_runs")))
