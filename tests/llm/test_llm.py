@@ -5,6 +5,7 @@ import functools
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -244,6 +245,34 @@ def test_near_copies_by_wide_fingerprints(spark):
     assert {(c, d) for d, c in got.items() if c != d} == set(twins)
 
 
+def exact_components(rows, similarity=0.8):
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(max(len(t.split()) - 4, 1))} for _, t in rows]
+    held = [x for x, n in Counter(x for s in sets for x in s).items() if n > 1]
+    at = {x: k for k, x in enumerate(held)}
+    m = np.zeros((len(sets), len(at)), "f4")
+    for k, s in enumerate(sets):
+        m[k, [at[x] for x in s if x in at]] = 1
+    n, common = np.array([len(s) for s in sets]), m @ m.T
+    i, j = np.nonzero(np.triu(common / (n[:, None] + n - common) >= similarity, 1))
+    label = linking.unite(np.arange(len(rows)), i, j)
+    return {rows[k][0]: rows[c][0] for k, c in enumerate(label)}
+
+
+def test_near_copies_among_half_alike_texts(spark):
+    """Three thousand texts share a passage; planted pairs differ in a few words."""
+    rng = np.random.default_rng(7)
+    words = np.array([f"w{k}" for k in range(5000)])
+    shared, rows = list(rng.choice(words, 140)), []
+    for k in range(3000):
+        w = shared + list(rng.choice(words, 40))
+        rows.append((2 * k, " ".join(w)))
+        if k % 10 == 0:
+            w[30], w[70], w[155] = "new", "other", f"x{k}"
+            rows.append((2 * k + 1, " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == exact_components(rows)
+
+
 # ------------------------------------------------------------------------------------------------------------- op5
 def test_archives_round_trip(spark, sf):
     pages = pd.read_parquet(f"{sf}/pages.parquet").sort_values("page_id")

@@ -191,141 +191,206 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     return own.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Wide fingerprints: tables of so many bits, and words of a shingle.
-TABLES, BITS, WIDE_WORDS, SIMILARITY = 32, 32, 5, 0.8
+#: Wide fingerprints: bits, and words of a shingle. Bands of minimum hashes, and hashes of a band.
+BITS, WIDE_WORDS, SIMILARITY, BANDS, ROWS = 1024, 5, 0.8, 24, 6
+_SALTS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), dtype="u8")
 
 
-def wide_fingerprint(text: str, words: int = WIDE_WORDS, tables: int = TABLES) -> bytes:
-    """TABLES x BITS bits of the set of a text's shingles, all drawn from one hash of each; no words: zeros."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(text: str, words: int = WIDE_WORDS) -> np.ndarray:
+    """The hashes of a text's distinct shingles in ascending order; a text of fewer words is one shingle."""
     from xxhash import xxh64_intdigest
 
     w = text.encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return bytes(tables * BITS // 8)
+        return np.empty(0, "u8")
     shingles = set(map(b" ".join, zip(*(w[k:] for k in range(words)))) if len(w) >= words else [b" ".join(w)])
-    h = np.fromiter(map(partial(xxh64_intdigest, seed=SEED), shingles), "u8")
-    ones = np.zeros(tables * BITS, "i8")
-    salts = np.arange(1, tables * BITS // 64 + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
+    return np.unique(np.fromiter(map(partial(xxh64_intdigest, seed=SEED), shingles), "u8"))
+
+
+def set_key(h: np.ndarray) -> int:
+    """Names a set of shingles, as a signed long."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(h.tobytes(), seed=SEED)).view("i8"))
+
+
+def wide_fingerprint(h: np.ndarray) -> bytes:
+    """BITS bits of a set of shingles, all drawn from one hash of each; of no shingles: zeros."""
+    ones = np.zeros(BITS, "i8")
+    salts = np.arange(1, BITS // 64 + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(h), 2048):
-        x = h[at : at + 2048, None] + salts
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x = np.ascontiguousarray(x ^ (x >> np.uint64(31)))
+        x = np.ascontiguousarray(_mixed(h[at : at + 2048, None] + salts))
         ones += np.unpackbits(x.view("u1"), axis=1).sum(0, dtype="u4")
     return np.packbits(2 * ones > len(h)).tobytes()
 
 
-def differing(similarity: float, bits: int = TABLES * BITS) -> int:
-    """Bits in which texts of that share of common shingles differ, and 1.5 standard deviations of that number more."""
+def bands(h: np.ndarray) -> np.ndarray:
+    """BANDS numbers of a set of shingles: sets of similarity s agree in each with probability s ** ROWS."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, "u8")
+    for at in range(0, len(h), 2048):
+        least = np.minimum(least, ((h[at : at + 2048, None] ^ _SALTS[0]) * (_SALTS[1] | np.uint64(1))).min(axis=0))
+    out = np.arange(1, BANDS + 1, dtype="u8")
+    for column in least.reshape(BANDS, ROWS).T:
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out
+
+
+def differing(similarity: float, deviations: float) -> float:
+    """Bits in which texts of that share of common shingles differ, and so many standard deviations of that number."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + 1.5 * (bits * p * (1 - p)) ** 0.5)
-
-
-def _spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Adds links to label; also gives those of them that joined what was apart."""
-    kept_i, kept_j = [], []
-    while True:
-        a, b = label[i], label[j]
-        apart = a != b
-        if not apart.any():
-            return label, np.concatenate(kept_i or [i[:0]]), np.concatenate(kept_j or [j[:0]])
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        _, one = np.unique(np.maximum(a, b), return_index=True)  # one link for each class that is hooked
-        kept_i.append(i[one])
-        kept_j.append(j[one])
-        label = unite(label, i[one], j[one])
-
-
-def wide_links(classes: DataFrame, budget: int = BUDGET, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) from classes(id, wide): pairs whose texts share at least `similarity` of their shingles, as their wide
-    fingerprints tell, enough of them to reach every such text from any other like it.
-
-    Each table is a short fingerprint of its own and goes through the trie with the same budget; like texts meet in at
-    least one of the tables (the README has the odds). Pairs found are then held against all bits.
+    return BITS * p + deviations * (BITS * p * (1 - p)) ** 0.5
+
+
+def most_differing(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Bits beyond which a pair whose smaller text has n shingles is not looked at: four deviations. Ties of few shingles
+    make bits differ more often: up to 192 of 1,024 on average at 0.8 (4 against 5 shingles), by the exact binomials."""
+    return np.where(n < 24, differing(similarity, 4) + 45, differing(similarity, 4) + 4)
+
+
+def _grouped(classes: DataFrame, similarity: float, settled: bool) -> DataFrame:
+    """(a, b) of classes(key, n, wide, bands, component) that share a band.
+
+    Not settled: every class that shares a band with another, with the first class of the band that it is likely to be
+    a copy of, else with itself. Settled: all pairs of different components that the wide fingerprints do not rule out.
     """
-    blocks = [(BITS * k // (budget + 1), BITS * (k + 1) // (budget + 1)) for k in range(budget + 1)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 2000):
-                part = b.slice(at, 2000)
-                v = np.frombuffer(b"".join(part.column("wide").to_pylist()), ">u4").reshape(len(part), -1).astype("u8")
-                for k, (first, end) in enumerate(blocks):
-                    turned = ((v << np.uint64(first)) | (v >> np.uint64(BITS - first))) & np.uint64((1 << BITS) - 1)
-                    head = (turned >> np.uint64(BITS - (end - first))).astype("i8")
-                    group = np.arange(v.shape[1]) * len(blocks) + k
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.broadcast_to(group, v.shape).ravel().astype("i4")), pa.array(head.ravel().astype("i4")), pa.array(turned.ravel().astype("i8")), pa.array(np.repeat(part.column("id").to_numpy(), v.shape[1])),
-                    ], ["block", "head", "v", "id"])
-
-    dealt = classes.mapInArrow(spread, "block int, head int, v long, id long").repartition("block", "head").sortWithinPartitions("block", "head")
-
-    def solve(t: pa.Table) -> pa.RecordBatch:
-        block, head, v, ids = (t.column(c).to_numpy() for c in ("block", "head", "v", "id"))
-        order = np.lexsort((ids, v, head, block))
-        block, head, v, ids = block[order], head[order], v[order].astype("u8") << np.uint64(64 - BITS), ids[order]
-        new = np.ones(len(v), bool)
-        new[1:] = (block[1:] != block[:-1]) | (head[1:] != head[:-1])
-        first = new.copy()
-        first[1:] |= v[1:] != v[:-1]
-        again = np.flatnonzero(~first)  # equal in this table: linked in a chain
-        out_i, out_j = [ids[again]], [ids[again - 1]]
-        block, v, ids, new = block[first], v[first], ids[first], new[first]
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(v))
-        label = np.arange(len(v))
-        for k, (b, e) in enumerate(blocks):
-            own = (block[starts] % len(blocks) == k) & (ends - starts > 1)
-            s, f = starts[own], ends[own]
-            if len(s):
-                for i, j in trie_links(v, np.column_stack([s, f, s, f, np.zeros(len(s), "i8")]), e - b, budget, BITS):
-                    label, i, j = _spanning(label, i, j)
-                    out_i.append(ids[i])
-                    out_j.append(ids[j])
-        a, b = np.concatenate(out_i), np.concatenate(out_j)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            for at in range(0, len(b), 1000):
+                part = b.slice(at, 1000)
+                band = np.frombuffer(b"".join(part.column("bands").to_pylist()), "i8")
+                rows = part.select(["key", "n", "wide", "component"]).take(pa.array(np.repeat(np.arange(len(part)), BANDS)))
+                yield pa.RecordBatch.from_arrays([pa.array(band), *rows.columns], ["band", "key", "n", "wide", "component"])
+
+    def each(n: np.ndarray, w: np.ndarray, component: np.ndarray):
+        """(i, j) arrays of one band's classes, which are in order of component."""
+        if not settled:
+            rest = np.arange(len(w))
+            while len(rest):
+                one = rest[0]
+                likely = np.bitwise_count(w[rest] ^ w[one]).sum(axis=1) <= differing(similarity, 0)
+                likely[0] = True
+                yield rest[likely], np.full(likely.sum(), one)
+                rest = rest[~likely]
+            return
+        starts = np.flatnonzero(np.diff(component, prepend=component[0] - 1))
+        for s, e in zip(starts, starts[1:]):
+            for i in range(s, e):
+                for at in range(e, len(w), 100_000):
+                    m = n[at : at + 100_000]
+                    low, high = np.minimum(m, n[i]), np.maximum(m, n[i])
+                    j = np.flatnonzero((low >= similarity * high - 1e-9) & (np.bitwise_count(w[at : at + 100_000] ^ w[i]).sum(axis=1) <= most_differing(low, similarity)))
+                    if len(j):
+                        yield np.full(len(j), i), at + j
+
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        band, key, n, component = (t.column(c).to_numpy() for c in ("band", "key", "n", "component"))
+        starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+        ends = np.append(starts[1:], len(band))
+        out, held = [], 0
+        w = None
+        for s, e in zip(starts, ends):
+            if e - s < 2 or settled and (component[s:e] == component[s]).all():
+                continue
+            if w is None:
+                w = np.frombuffer(b"".join(t.column("wide").to_pylist()), "u8").reshape(len(t), -1)
+            order = s + np.lexsort((key[s:e], component[s:e]))
+            k = key[order]
+            for i, j in each(n[order], w[order], component[order]):
+                out.append((np.maximum(k[i], k[j]), np.minimum(k[i], k[j])))
+                held += len(i)
+                if held > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
+                    out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []  # of one band, which may go on
         for b in batches:
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            keys = t.column("block").to_numpy().astype("i8") << 32 | t.column("head").to_numpy()
-            last = np.flatnonzero(keys != keys[-1]) if len(keys) else keys
-            cut = int(last[-1]) + 1 if len(last) else 0
+            if not len(b):
+                continue
+            band = b.column("band").to_numpy()
+            if held and held[-1].column("band")[-1].as_py() != band[0]:
+                yield from solve(pa.Table.from_batches(held))
+                held = []
+            cut = int(np.searchsorted(band, band[-1]))
             if cut:
-                yield solve(t.slice(0, cut))
-            held = t.slice(cut)
-        if held is not None and len(held):
-            yield solve(held)
+                yield from solve(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield from solve(pa.Table.from_batches(held))
 
-    found = dealt.mapInArrow(walk, "a long, b long").where("a <> b").distinct()
-    both = found.join(classes.select(F.col("id").alias("a"), F.col("wide").alias("wa")), "a").join(classes.select(F.col("id").alias("b"), F.col("wide").alias("wb")), "b")
-    most = differing(similarity)
+    dealt = classes.select("key", "n", "wide", "bands", "component").mapInArrow(spread, "band long, key long, n int, wide binary, component long")
+    return dealt.repartition("band").sortWithinPartitions("band").mapInArrow(walk, "a long, b long").distinct()
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, first_a, first_b) of those pairs whose texts share `similarity` of their distinct shingles; first is the
+    smallest doc_id of a class. Texts are read again for the classes of pairs only."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "u8").reshape(len(b), -1) for c in ("wa", "wb"))
-                yield b.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most))
+            hashes = [shingle_hashes(t or "") for t in b.column("text").to_pylist()]
+            own = pa.array([set_key(h) == k for h, k in zip(hashes, b.column("key").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array([h.tobytes() for h in hashes], pa.binary())], ["key", "id", "hashes"]).filter(own)
 
-    return both.select("a", "b", "wa", "wb").mapInArrow(near, "a long, b long")
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("ha"), b.column("hb")):
+                x, y = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= 1 and both / (len(x) + len(y) - both) >= similarity)
+            yield b.select(["a", "b", "first_a", "first_b"]).filter(pa.array(keep, pa.bool_()))
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "id"), "key")
+    texts = docs.join(needed, F.col("doc_id").cast("long") == F.col("id")).select("key", "id", "text")
+    found = texts.mapInArrow(sets, "key long, id long, hashes binary").dropDuplicates(["key"])
+    found = staged(found)
+    both = pairs.join(found.select(F.col("key").alias("a"), F.col("id").alias("first_a"), F.col("hashes").alias("ha")), "a")
+    both = both.join(found.select(F.col("key").alias("b"), F.col("id").alias("first_b"), F.col("hashes").alias("hb")), "b")
+    return staged(both.select("a", "b", "first_a", "first_b", "ha", "hb").mapInArrow(near, "a long, b long, first_a long, first_b long"))
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of documents that share at least `similarity` of their 5-word shingles, as wide SimHash
-    fingerprints tell, directly or through others. Null and wordless texts are copies of each other; null doc_ids are
-    left out; rows that share a doc_id share a component."""
+    """(doc_id, component_id) of documents that share at least `similarity` of their distinct 5-word shingles, directly
+    or through others. Null and wordless texts are copies of each other; null doc_ids are left out; rows that share a
+    doc_id share a component.
+
+    Texts of equal shingles are a class. Classes that agree in a band of minimum hashes meet (the README has the odds),
+    and what links two of them is always the exact share. A first round tries the likely copies of one class a band;
+    the second one tries all pairs that the first has not brought together, but those that differ in so many bits of
+    the wide SimHash fingerprint that they cannot be near.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([wide_fingerprint(t or "") for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "wide"])
-
-    own = staged(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, wide binary"))
-    first = own.groupBy("wide").agg(F.min("doc_id").alias("id"))
-    copies = own.join(first, "wide").select("doc_id", "id")
-    classes = staged(first.groupBy("id").agg(F.min("wide").alias("wide")))
-    links_ = wide_links(classes, similarity=similarity).unionByName(copies.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
-    found = components(links_)
+            hashes = [shingle_hashes(t or "") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                b.column("doc_id"), pa.array([set_key(h) for h in hashes], pa.int64()), pa.array([len(h) for h in hashes], pa.int32()),
+                pa.array([wide_fingerprint(h) for h in hashes], pa.binary()), pa.array([bands(h).tobytes() for h in hashes], pa.binary()),
+            ], ["doc_id", "key", "n", "wide", "bands"])
+
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    own = staged(docs.mapInArrow(each, "doc_id long, key long, n int, wide binary, bands binary"))
+    classes = staged(own.groupBy("key").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("wide").alias("wide"), F.min("bands").alias("bands")))
+    alone = classes.where("n > 0").withColumn("component", F.col("key"))
+    met = staged(_grouped(alone, similarity, settled=False))
+    first = _verified(met.where("a <> b"), docs, classes, similarity)
+    joined = components(first)
+    shared = met.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(joined, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("component"))
+    second = _verified(staged(_grouped(classes.join(shared, "key"), similarity, settled=True)), docs, classes, similarity)
+    links_ = first.unionByName(second).select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    copies = own.select("doc_id", "key").join(classes.select("key", "id"), "key").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    found = components(links_.unionByName(copies))
     return own.select("doc_id").distinct().join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
