@@ -273,6 +273,20 @@ def test_near_copies_among_half_alike_texts(spark):
     assert got == exact_components(rows)
 
 
+def test_near_copies_decide_by_the_exact_share(spark):
+    """Pairs that share from 0.70 to 0.90 of their shingles, and texts of 8 and 9 words, which share 4 of 5."""
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{k}" for k in range(5000)])
+    rows = []
+    for k in range(300):
+        w = list(rng.choice(words, 204))
+        rows += [(4 * k, " ".join(w)), (4 * k + 1, " ".join(w[: 140 + k % 64] + list(rng.choice(words, 20))))]
+        rows += [(4 * k + 2, " ".join(w[:8])), (4 * k + 3, " ".join(w[:9]))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == exact_components(rows)
+    assert all(got[4 * k + 3] == 4 * k + 2 for k in range(300))
+
+
 # ------------------------------------------------------------------------------------------------------------- op5
 def test_archives_round_trip(spark, sf):
     pages = pd.read_parquet(f"{sf}/pages.parquet").sort_values("page_id")
