@@ -236,6 +236,34 @@ def test_convergence_measures(spark):
     assert 50 < ess["ess"] <= 160
 
 
+def test_effective_sizes_count_draws_of_walkers_that_share_no_step(spark):
+    rng = np.random.default_rng(1)
+    chains = []
+    for w in range(5):
+        x = rng.normal(size=150 + 30 * w)
+        for k in range(1, len(x)):
+            x[k] += 0.6 * x[k - 1]
+        chains.append(x)
+    rows = [(w % 2, w, 5 * k + w, "p", float(v)) for w, x in enumerate(chains) for k, v in enumerate(x)]
+    got = sampling.effective_sizes(spark.createDataFrame(rows, "ensemble int, walker int, step int, parameter string, value double")).first()
+
+    def tau(xs):
+        xs, total = [x - x.mean() for x in xs], 0.0
+        var = np.mean(np.concatenate(xs) ** 2)
+        for lag in range(1, 101):
+            rho = np.mean(np.concatenate([x[:-lag] * x[lag:] for x in xs])) / var
+            if rho <= 0:
+                break
+            total += rho
+        return 1 + 2 * total
+
+    every = np.concatenate(chains)
+    low, high = np.quantile(every, [0.05, 0.95])
+    tail = max(tau([(x <= low).astype(float) for x in chains]), tau([(x >= high).astype(float) for x in chains]))
+    assert got["tau"] == pytest.approx(tau(chains)) and got["ess"] == pytest.approx(len(every) / tau(chains))
+    assert got["tail_ess"] == pytest.approx(len(every) / tail)
+
+
 def test_snapshot_checks(spark):
     e = Ephemeris(2.0, 1.0, 0.2)
     rows = [(1, "p", 1.0, 1.0, 0.1, 0, 1.0), (1, "p", 1.0, 1.0, 0.1, 0, 1.0), (1, " ", float("nan"), 1.0, 0.0, -1, 1.0), (1, "p", 3.0, 1.0, 0.1, 1, 3.1)]
