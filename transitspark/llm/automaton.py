@@ -1,8 +1,8 @@
 """Regular expressions over bytes as one minimal deterministic automaton in arrays.
 
 A rule's syntax tree becomes a nondeterministic automaton, the subset construction makes one deterministic automaton
-of all rules, Hopcroft-style refinement merges equal states, and bytes that no state tells apart share a column of
-the transition table.
+of all rules, repeated refinement of groups of states (Moore's way) merges equal ones, and bytes that no state tells
+apart share a column of the transition table.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ import numpy as np
 
 
 def _byte_set(op, arg) -> frozenset[int]:
-    """Bytes that one character node matches; rules are ASCII."""
+    """Bytes that one character node matches; rules are ASCII. Byte 255 is in no UTF-8 text and matches nothing."""
     if op is sre.LITERAL:
         return frozenset([arg])
+    if op is sre.NOT_LITERAL:
+        return frozenset(range(255)) - {arg}
     if op is sre.ANY:
-        return frozenset(range(256)) - {10}
+        return frozenset(range(255)) - {10}
     found: set[int] = set()
     negated = False
     for kind, value in arg:
@@ -30,7 +32,7 @@ def _byte_set(op, arg) -> frozenset[int]:
             found.update(range(value[0], value[1] + 1))
         else:
             raise ValueError(f"{kind} is not supported in a rule")
-    return frozenset(range(256)) - found if negated else frozenset(found)
+    return frozenset(range(255)) - found if negated else frozenset(found)
 
 
 class _Nfa:
@@ -52,7 +54,7 @@ class _Nfa:
 
     def node(self, node, at: int, backwards: bool, fold: bool) -> int:
         op, arg = node
-        if op in (sre.LITERAL, sre.IN, sre.ANY):
+        if op in (sre.LITERAL, sre.NOT_LITERAL, sre.IN, sre.ANY):
             found = _byte_set(op, arg)
             if fold:
                 found |= {b ^ 32 for b in found if chr(b).isascii() and chr(b).isalpha()}
@@ -84,20 +86,31 @@ class _Nfa:
             return end
         raise ValueError(f"{op} is not supported in a rule")
 
-    def closure(self, states) -> frozenset[int]:
+    def closure(self, states) -> int:
+        """A set of states with all that empty steps reach, as a bit set."""
         seen, todo = set(states), list(states)
         while todo:
             for x in self.empty[todo.pop()]:
                 if x not in seen:
                     seen.add(x)
                     todo.append(x)
-        return frozenset(seen)
+        return sum(1 << s for s in seen)
+
+
+def _bits(x: int) -> list[int]:
+    out = []
+    while x:
+        low = x & -x
+        out.append(low.bit_length() - 1)
+        x ^= low
+    return out
 
 
 class Automaton:
     """table[state, classes[byte]] is the next state, accepts[state] a bit per rule that ends there; 0 is the start.
 
-    searching: a match may start at every byte (else only at the first). backwards: the rules read from their ends.
+    States that accept come last, from number `quiet` on. searching: a match may start at every byte (else only at the
+    first). backwards: the rules read from their ends.
     """
 
     def __init__(self, patterns: list[str], searching: bool = False, backwards: bool = False):
@@ -114,22 +127,26 @@ class Automaton:
         classes = np.array([kinds[s] for s in signature], "uint8")
         sample = [int(np.flatnonzero(classes == c)[0]) for c in range(len(kinds))]
         first = nfa.closure([start])
+        again = first if searching else 0
+        step: dict[int, list[int]] = {}  # of an NFA state with edges: what it reaches by each class of bytes
+        for q, out in enumerate(nfa.edges):
+            if out:
+                step[q] = [nfa.closure([t for found, t in out if b in found]) for b in sample]
+        moves = sum(1 << q for q in step)
         index, rows, todo = {first: 0}, [], [first]
         while todo:  # subset construction, breadth first
-            row = []
             for s in todo:
+                own = [step[q] for q in _bits(s & moves)]
                 out = []
-                for b in sample:
-                    to = {t for q in s for found, t in nfa.edges[q] if b in found} | ({start} if searching else set())
-                    to = nfa.closure(to)
-                    if to not in index:
-                        index[to] = len(index)
-                    out.append(index[to])
-                row.append(out)
-            rows += row
+                for c in range(len(sample)):
+                    to = again
+                    for x in own:
+                        to |= x[c]
+                    out.append(index.setdefault(to, len(index)))
+                rows.append(out)
             todo = list(index)[len(rows) :]
         table = np.array(rows, "int64")
-        accepts = np.array([sum(bit for q, bit in ends.items() if q in s) for s in index], "int64")
+        accepts = np.array([sum(bit for q, bit in ends.items() if s >> q & 1) for s in index], "int64")
         group = np.unique(accepts, return_inverse=True)[1]
         while True:  # states stay together while they accept alike and go to the same groups
             _, finer = np.unique(np.column_stack([group, group[table]]), axis=0, return_inverse=True)
@@ -137,33 +154,34 @@ class Automaton:
             if finer.max() == group.max():
                 break
             group = finer
-        order = list(dict.fromkeys(group.tolist()))
-        number = {g: i for i, g in enumerate(order)}
-        one = [int(np.flatnonzero(group == g)[0]) for g in order]
-        self.table = np.array([[number[group[t]] for t in table[s]] for s in one], "int32")
+        _, one = np.unique(group, return_index=True)
+        one = one[np.lexsort((one, accepts[one] != 0))] if not accepts[0] else np.sort(one)
+        number = np.empty(len(one), "int64")
+        number[group[one]] = np.arange(len(one))
+        self.table = number[group[table[one]]].astype("int32")
         self.accepts = accepts[one]
+        self.quiet = int((self.accepts == 0).sum()) if not accepts[0] else 0
         self.classes = classes
         # a state from which nothing is reached any more, in an automaton that does not search
         self.dead = next((i for i in range(len(one)) if not self.accepts[i] and (self.table[i] == i).all()), -1)
 
-    def farthest(self, data: bytes, at: int, step: int = 1) -> int:
-        """The end of the longest match from `at`, read in direction `step`; -1 if there is none."""
-        state, best, table, classes = 0, -1, self._rows(), self._kinds()
-        while 0 <= at < len(data):
-            state = table[state][classes[data[at]]]
-            at += step
-            if self.accepts[state]:
-                best = at
+    def farthest(self, data: bytes, at: int, step: int = 1, stop: int | None = None) -> int:
+        """The end of the longest match from `at`, read in direction `step` up to `stop`; -1 if there is none.
+
+        Backwards, places count bytes that are still to be read: a match that ends after data[at - 1] is read from
+        `at` and its place is where it begins.
+        """
+        state, best, (table, ends, classes) = 0, -1, self._lists()
+        here = range(at, len(data) if stop is None else stop) if step > 0 else range(at - 1, (0 if stop is None else stop) - 1, -1)
+        for k in here:
+            state = table[state][classes[data[k]]]
+            if ends[state]:
+                best = k + 1 if step > 0 else k
             if state == self.dead:
                 break
         return best
 
-    def _rows(self):
-        if not hasattr(self, "_table"):
-            self._table = self.table.tolist()
-        return self._table
-
-    def _kinds(self):
-        if not hasattr(self, "_bytes"):
-            self._bytes = self.classes.tolist()
-        return self._bytes
+    def _lists(self) -> tuple[list, list, list]:
+        if not hasattr(self, "_listed"):
+            self._listed = self.table.tolist(), self.accepts.tolist(), self.classes.tolist()
+        return self._listed
