@@ -44,7 +44,7 @@ def sf(spark, tmp_path_factory):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(40, 8))
     near = np.vstack([base, base[:10] + 0.02 * rng.normal(size=(10, 8)), base[:5]])
-    vectors = [(i, [float(x) for x in np.float32(v)]) for i, v in enumerate(near)] + [(100, None), (101, [0.0] * 8), (102, [float("nan")] * 8), (103, [1.0, None] + [0.0] * 6), (104, []), (105, [1.0, 2.0])]
+    vectors = [(i, [float(x) for x in np.float32(v)]) for i, v in enumerate(near)] + [(100, None), (101, [0.0] * 8), (102, [float("nan")] * 8), (103, [1.0, None] + [0.0] * 6), (104, []), (105, [1.0, 2.0]), (110, [1.0, 5.0]), (111, [1.0, 5.0]), (112, [1.0, 5.5]), (113, [1e-30, 5e-30])]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{root}/embeddings.parquet")
     return str(root)
 
@@ -247,9 +247,9 @@ def test_trie_join_loses_no_link(spark, hot):
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + k, 1001 + k) for k in range(40)] + [(5, 5)]
-    label = np.arange(1100)
-    label = linking.unite(label, *np.array(edges).T)
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    edges += [(2000, 2001 + k) for k in range(900)] + [(2500, 5000)]  # a hub
+    label = linking.unite(np.arange(5001), *np.array(edges).T)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame([*edges, (None, 3)], "a long, b long")).collect()}
     assert got == {n: int(label[n]) for a, b in edges for n in (a, b) if a != b or label[n] != n or n in got}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -445,27 +445,59 @@ def test_token_files(spark, sf, docs):
 
 
 # ------------------------------------------------------------------------------------------------------------- op8
+def brute_links(vectors, cosine=0.9):
+    """{id: (links, smallest id reachable)} of usable vectors of any lengths."""
+    out = {}
+    for n in {len(v) for v in vectors.values()}:
+        ids = np.array([i for i, v in vectors.items() if len(v) == n])
+        x = np.stack([np.array(vectors[i], float) for i in ids])
+        x /= np.abs(x).max(axis=1)[:, None]
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        near = x @ x.T >= cosine
+        label = linking.unite(np.arange(len(ids)), *np.nonzero(near))
+        out |= {int(i): (int(near[k].sum()) - 1, int(ids[label[k]])) for k, i in enumerate(ids)}
+    return out
+
+
 def test_vector_links(spark, sf):
     d = pd.read_parquet(f"{sf}/embeddings.parquet")
-    ok = [i for i, e in enumerate(d["embedding"]) if e is not None and len(e) == 8 and np.isfinite(np.array(e, float)).all() and np.any(e)]
-    x = np.stack([np.array(d["embedding"][i], float) for i in ok])
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    near = x @ x.T >= 0.9
-    label = linking.unite(np.arange(len(ok)), *np.nonzero(near))
+    usable = {i: e for i, e in zip(d["vec_id"], d["embedding"]) if e is not None and len(e) and np.isfinite(np.array(e, float)).all() and np.any(e)}
     got = {r["vec_id"]: r for r in registry.QUERIES["op8_embedding_near_dedup"](spark, sf).collect()}
-    ids = d["vec_id"].to_numpy()[ok]
-    for k, i in enumerate(ids):
-        assert got[i]["n_links"] == near[k].sum() - 1 and got[i]["component_id"] == ids[label[k]] and got[i]["kept"] == (ids[label[k]] == i)
-    for i in range(100, 106):
+    expected = brute_links(usable)
+    for i, (n, c) in expected.items():
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n, c, c == i)
+    assert expected[112] == (4, 105)  # vectors of two components link with each other, whatever their size
+    for i in set(got) - set(expected):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
 
 
+def test_vectors_in_many_blocks_of_two_lengths_and_in_doubles(spark, monkeypatch):
+    """Pairs on both sides of the limit, closer to it than single precision can tell; a hot vector; many blocks."""
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(embedding_join, "LEAST", 64)
+    vectors = {}
+    for dim, n in ((24, 900), (40, 700)):
+        x = rng.normal(size=(n, dim))
+        x[: n // 3] = x[0] + 0.2 * rng.normal(size=(n // 3, dim))
+        vectors |= {len(vectors) + k: v for k, v in enumerate(x.tolist())}
+    for k in range(40):
+        a, b = np.linalg.qr(rng.normal(size=(24, 2)))[0].T
+        c = 0.9 + (1e-10 if k % 2 else -1e-10)
+        vectors[len(vectors)] = a.tolist()
+        vectors[len(vectors)] = (c * a + np.sqrt(1 - c * c) * b).tolist()
+    for _ in range(300):
+        vectors[len(vectors)] = vectors[5]
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(7)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_join.near_duplicates(df).collect()}
+    assert got == brute_links(vectors)
+
+
 def test_interval_join_skips_nothing_near():
     rng = np.random.default_rng(10)
     x = rng.normal(size=(2500, 6))
     x /= np.linalg.norm(x, axis=1)[:, None]
     x = x[np.lexsort(np.floor(x.T / 0.447))]
-    got = {(int(a), int(b)) for i, j in embedding_join.interval_join(x, x, True) for a, b in zip(i, j)}
+    got = {(int(a), int(b)) for i, j in embedding_join.interval_join(x, x, x[:, :4], x[:, :4], True) for a, b in zip(i, j)}
     i, j = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
     assert got == set(zip(i.tolist(), j.tolist()))
 

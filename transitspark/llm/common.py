@@ -44,7 +44,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: C
     """(doc_id, text, label) of at most `rows` labelled documents, the same ones on every run.
 
     Ids are chosen in the narrow label table by a hash, so what is broadcast to the documents holds `rows` ids at most.
-    Several labels of one id: the largest counts. Null ids, labels and texts are passed over.
+    Several labels of one id: the largest counts; several texts: the least in order. Null ids, labels and texts are
+    passed over.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & may_learn)
@@ -53,16 +54,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: C
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+
+
+#: A node that has more than this share of all links is dealt over several tasks.
+HUB = 1 / 500
+
+
+def _with_least(rows: DataFrame, least: DataFrame, limit: int) -> DataFrame:
+    """rows(a, b) with m of least(a, m, n), n the number of rows of a.
+
+    Rows of a node with more than `limit` of them are dealt by salts, so no task gets a hub whole. There are at most
+    2 / HUB such nodes, whatever the size: that bounds what is broadcast.
+    """
+    hubs = F.broadcast(least.where(F.col("n") > limit).select(F.col("a").alias("hub"), F.floor(F.col("n") / limit + 1).alias("salts")))
+    salted = rows.join(hubs, F.col("a") == F.col("hub"), "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "salts"), F.lit(0)).alias("salt"))
+    dealt = least.join(hubs, F.col("a") == F.col("hub"), "left").select("a", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return salted.join(dealt, ["a", "salt"]).select("a", "b", "m")
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, component): the smallest node that links reach, for each node of edges(a, b: long).
+    """(node, component): the smallest node that links reach, for each node of edges(a, b: long); null ends are left out.
 
     Alternates two kinds of round until nothing changes: every node hands its larger neighbours, then its smaller
     ones, to the smallest node it knows (the large-star and small-star operations of Kiveris et al., 2014). A round
-    is one aggregate and one join on the node, so a hub with many links is split by the skew join and never
-    gathered. Rounds are written to the shared folder; only two sums per round reach the driver.
+    is two aggregates and two joins on the node, hubs salted. Rounds are written to the shared folder; only two sums
+    per round reach the driver.
     """
 
     def directed(e: DataFrame) -> DataFrame:
@@ -71,25 +89,27 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     def measure(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    def large_star(e: DataFrame) -> DataFrame:
+    def large_star(e: DataFrame, limit: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m"))
-        return directed(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        return directed(_with_least(both.where("b > a"), least, limit).select(F.col("b").alias("a"), F.col("m").alias("b")))
 
-    def small_star(e: DataFrame) -> DataFrame:
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        hooked = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    def small_star(e: DataFrame, limit: int) -> DataFrame:
+        least = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        hooked = _with_least(e, least, limit).select(F.col("b").alias("a"), F.col("m").alias("b"))
         return directed(hooked.unionByName(least.select("a", F.col("m").alias("b"))))
 
     edges = staged(directed(edges.select("a", "b")))
     before = measure(edges)
-    for _ in range(max_rounds):
-        edges = staged(small_star(large_star(edges)))
+    for _ in range(max_rounds if before[0] else 0):
+        limit = max(1, int(HUB * before[0]))
+        edges = staged(small_star(large_star(edges, limit), limit))
         after = measure(edges)
         if after == before:
             break
         before = after
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
