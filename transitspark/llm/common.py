@@ -62,16 +62,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: C
 HUB = 1 / 500
 
 
-def _with_least(rows: DataFrame, least: DataFrame, limit: int) -> DataFrame:
-    """rows(a, b) with m of least(a, m, n), n the number of rows of a.
+def with_least(rows: DataFrame, least: DataFrame, limit: int, *more: str) -> DataFrame:
+    """rows(a, b, more) with m of least(a, m, n), n the number of rows of a; rows whose a is not there go.
 
     Rows of a node with more than `limit` of them are dealt by salts, so no task gets a hub whole. There are at most
     2 / HUB such nodes, whatever the size: that bounds what is broadcast.
     """
     hubs = F.broadcast(least.where(F.col("n") > limit).select(F.col("a").alias("hub"), F.floor(F.col("n") / limit + 1).alias("salts")))
-    salted = rows.join(hubs, F.col("a") == F.col("hub"), "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "salts"), F.lit(0)).alias("salt"))
+    salted = rows.join(hubs, F.col("a") == F.col("hub"), "left").select("a", "b", *more, F.coalesce(F.pmod(F.xxhash64("b"), "salts"), F.lit(0)).alias("salt"))
     dealt = least.join(hubs, F.col("a") == F.col("hub"), "left").select("a", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    return salted.join(dealt, ["a", "salt"]).select("a", "b", "m")
+    return salted.join(dealt, ["a", "salt"]).select("a", "b", *more, "m")
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -92,11 +92,11 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     def large_star(e: DataFrame, limit: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
-        return directed(_with_least(both.where("b > a"), least, limit).select(F.col("b").alias("a"), F.col("m").alias("b")))
+        return directed(with_least(both.where("b > a"), least, limit).select(F.col("b").alias("a"), F.col("m").alias("b")))
 
     def small_star(e: DataFrame, limit: int) -> DataFrame:
         least = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        hooked = _with_least(e, least, limit).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        hooked = with_least(e, least, limit).select(F.col("b").alias("a"), F.col("m").alias("b"))
         return directed(hooked.unionByName(least.select("a", F.col("m").alias("b"))))
 
     edges = staged(directed(edges.select("a", "b")))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, staged, table
+from .common import HUB, components, staged, table, with_least
 from .linking import members, unite
 
 WORDS, SEED, BUDGET = 3, 42, 2
@@ -185,14 +185,17 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     own = staged(fingerprints(docs))
     fps = staged(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(links(fps.select("fp"), budget))
-    linked = found.join(fps, found.node == fps.fp).select("fp", "component", "first")
+    linked = staged(found.join(fps, found.node == fps.fp).select("fp", "component", "first"))
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     ids = fps.join(linked.join(least, "component").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return own.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return own.join(staged(ids), "fp").select("doc_id", "fp", "component_id")  # both sides are shuffled anew, so a very common fingerprint is split
 
 
-#: Wide fingerprints: bits, and words of a shingle. Bands of minimum hashes, and hashes of a band.
-BITS, WIDE_WORDS, SIMILARITY, BANDS, ROWS = 1024, 5, 0.8, 24, 6
+#: Wide fingerprints: words of 64 bits, and words of a shingle. Bands of minimum hashes, and hashes of a band.
+LANES, WIDE_WORDS, SIMILARITY, BANDS, ROWS = 8, 5, 0.8, 24, 6
+BITS = 64 * LANES
+#: Standard deviations of differing bits that a pair is still looked at with; classes of one band that a task gets whole.
+DEVIATIONS, WHOLE = 3, 20_000
 _SALTS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), dtype="u8")
 
 
@@ -220,14 +223,14 @@ def set_key(h: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(h.tobytes(), seed=SEED)).view("i8"))
 
 
-def wide_fingerprint(h: np.ndarray) -> bytes:
-    """BITS bits of a set of shingles, all drawn from one hash of each; of no shingles: zeros."""
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """LANES words of a set of shingles, all bits drawn from one hash of each; of no shingles: zeros."""
     ones = np.zeros(BITS, "i8")
-    salts = np.arange(1, BITS // 64 + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
+    salts = np.arange(1, LANES + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(h), 2048):
         x = np.ascontiguousarray(_mixed(h[at : at + 2048, None] + salts))
         ones += np.unpackbits(x.view("u1"), axis=1).sum(0, dtype="u4")
-    return np.packbits(2 * ones > len(h)).tobytes()
+    return np.packbits(2 * ones > len(h)).view("u8")
 
 
 def bands(h: np.ndarray) -> np.ndarray:
@@ -241,86 +244,102 @@ def bands(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def differing(similarity: float, deviations: float) -> float:
+def differing(similarity: float, deviations: float, bits: int = BITS) -> float:
     """Bits in which texts of that share of common shingles differ, and so many standard deviations of that number."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return BITS * p + deviations * (BITS * p * (1 - p)) ** 0.5
+    return bits * p + deviations * (bits * p * (1 - p)) ** 0.5
 
 
-def most_differing(n: np.ndarray, similarity: float) -> np.ndarray:
-    """Bits beyond which a pair whose smaller text has n shingles is not looked at: four deviations. Ties of few shingles
-    make bits differ more often: up to 192 of 1,024 on average at 0.8 (4 against 5 shingles), by the exact binomials."""
-    return np.where(n < 24, differing(similarity, 4) + 45, differing(similarity, 4) + 4)
+#: Texts of fewer shingles differ in more bits, for ties are common: in up to 0.1875 of them on average at a similarity
+#: of 0.8 (4 against 5 shingles), by the exact binomials; so much is added to the share.
+FEW_SHINGLES, TIES = 24, 0.0440
 
 
-def _grouped(classes: DataFrame, similarity: float, settled: bool) -> DataFrame:
-    """(a, b) of classes(key, n, wide, bands, component) that share a band.
+def most_differing(few, similarity: float, bits: int = BITS):
+    """Bits beyond which a pair is not looked at."""
+    return differing(similarity, DEVIATIONS, bits) + few * TIES * bits + 1
 
-    Not settled: every class that shares a band with another, with the first class of the band that it is likely to be
-    a copy of, else with itself. Settled: all pairs of different components that the wide fingerprints do not rule out.
-    """
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.slice(at, 1000)
-                band = np.frombuffer(b"".join(part.column("bands").to_pylist()), "i8")
-                rows = part.select(["key", "n", "wide", "component"]).take(pa.array(np.repeat(np.arange(len(part)), BANDS)))
-                yield pa.RecordBatch.from_arrays([pa.array(band), *rows.columns], ["band", "key", "n", "wide", "component"])
-
-    def each(n: np.ndarray, w: np.ndarray, component: np.ndarray):
-        """(i, j) arrays of one band's classes, which are in order of component."""
-        if not settled:
-            rest = np.arange(len(w))
-            while len(rest):
-                one = rest[0]
-                likely = np.bitwise_count(w[rest] ^ w[one]).sum(axis=1) <= differing(similarity, 0)
-                likely[0] = True
-                yield rest[likely], np.full(likely.sum(), one)
-                rest = rest[~likely]
-            return
-        starts = np.flatnonzero(np.diff(component, prepend=component[0] - 1))
-        for s, e in zip(starts, starts[1:]):
-            for i in range(s, e):
-                for at in range(e, len(w), 100_000):
-                    m = n[at : at + 100_000]
-                    low, high = np.minimum(m, n[i]), np.maximum(m, n[i])
-                    j = np.flatnonzero((low >= similarity * high - 1e-9) & (np.bitwise_count(w[at : at + 100_000] ^ w[i]).sum(axis=1) <= most_differing(low, similarity)))
-                    if len(j):
-                        yield np.full(len(j), i), at + j
+def _near(pairs: DataFrame, classes: DataFrame, similarity: float, deviations: float | None) -> DataFrame:
+    """Those of distinct pairs(a, b) of classes whose sizes and wide fingerprints don't rule the similarity out."""
+    side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+    df = pairs.join(side("a"), "a").join(side("b"), "b")
+    bits = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    few = F.when(F.least("na", "nb") < FEW_SHINGLES, 1).otherwise(0)
+    limit = differing(similarity, deviations) if deviations is not None else most_differing(few, similarity)
+    return df.where((F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9) & (bits <= limit)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, first_a, first_b) of those pairs whose texts share `similarity` of their distinct shingles; first is the
+    smallest doc_id of a class. Texts are read again for the classes of pairs only; pairs are compared row by row."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 200):
+                b = whole.slice(at, 200)
+                hashes = [shingle_hashes(t or "") for t in b.column("text").to_pylist()]
+                own = pa.array([set_key(h) == k for h, k in zip(hashes, b.column("key").to_pylist())], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array([h.view("i8") for h in hashes], pa.list_(pa.int64()))], ["key", "id", "hashes"]).filter(own)
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "id"), "key")
+    texts = docs.join(needed, F.col("doc_id") == F.col("id")).select("key", "id", "text")
+    found = staged(texts.mapInArrow(sets, "key long, id long, hashes array<long>").dropDuplicates(["key"]))
+    both = pairs.join(found.select(F.col("key").alias("a"), F.col("id").alias("first_a"), F.col("hashes").alias("ha")), "a")
+    both = both.join(found.select(F.col("key").alias("b"), F.col("id").alias("first_b"), F.col("hashes").alias("hb")), "b")
+    common = F.size(F.array_intersect("ha", "hb"))
+    near = (common >= 1) & (common / (F.size("ha") + F.size("hb") - common) >= similarity)
+    return staged(both.where(near).select("a", "b", "first_a", "first_b"))
+
+
+def _across(rows: DataFrame, similarity: float, whole: int) -> DataFrame:
+    """(a, b) of rows(band, key, component, n, wide, count): classes of one band and of different components that their
+    sizes and wide fingerprints don't rule out.
+
+    The classes of a band lie in a binary trie of the leading words of their fingerprints, which is joined with itself;
+    what is left is held against the other words. A band of `count` classes above `whole` is dealt as pairs of blocks.
+    """
+    blocks = F.ceil(F.col("count") / whole)
+    own = F.pmod(F.xxhash64("key"), blocks)
+    df = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    df = df.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "component", "n", "wide")
+    df = df.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    group = ("band", "lo", "hi")
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        band, key, n, component = (t.column(c).to_numpy() for c in ("band", "key", "n", "component"))
-        starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-        ends = np.append(starts[1:], len(band))
-        out, held = [], 0
-        w = None
-        for s, e in zip(starts, ends):
-            if e - s < 2 or settled and (component[s:e] == component[s]).all():
-                continue
-            if w is None:
-                w = np.frombuffer(b"".join(t.column("wide").to_pylist()), "u8").reshape(len(t), -1)
-            order = s + np.lexsort((key[s:e], component[s:e]))
-            k = key[order]
-            for i, j in each(n[order], w[order], component[order]):
-                out.append((np.maximum(k[i], k[j]), np.minimum(k[i], k[j])))
-                held += len(i)
-                if held > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
-                    out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
+        cols = {c: t.column(c).to_numpy() for c in (*group, "own", "key", "component", "n")}
+        w = pa.concat_arrays([c.flatten() for c in t.column("wide").chunks]).to_numpy().view("u8").reshape(-1, LANES)
+        new = np.concatenate([[True], np.any([cols[c][1:] != cols[c][:-1] for c in group], axis=0)])
+        number = np.cumsum(new) - 1
+        side = (cols["own"] == cols["hi"]) & (cols["lo"] != cols["hi"])
+        order = np.lexsort((w[:, 0], side, number))
+        w, n, k, c = w[order], cols["n"][order], cols["key"][order], cols["component"][order]
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(n))
+        mids = starts + np.bincount(number, ~side).astype("int64")  # a pair of blocks is a pair of nodes, a whole band one node twice
+        split = cols["lo"][starts] != cols["hi"][starts]
+        first = np.column_stack([starts, mids, np.where(split, mids, starts), ends, np.zeros(len(starts), "int64")])
+        first = first[(first[:, 0] < first[:, 1]) & (first[:, 2] < first[:, 3])]
+        budget = int(most_differing(int(n.min() < FEW_SHINGLES), similarity, 64))
+        for i, j in trie_links(np.ascontiguousarray(w[:, 0]), first, 0, budget):
+            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            ok = (c[i] != c[j]) & (low >= similarity * high - 1e-9)
+            i, j, low = i[ok], j[ok], low[ok]
+            ok = np.bitwise_count(w[i] ^ w[j]).sum(axis=1) <= most_differing(low < FEW_SHINGLES, similarity)
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(k[i[ok]], k[j[ok]])), pa.array(np.minimum(k[i[ok]], k[j[ok]]))], ["a", "b"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # of one band, which may go on
+        held: list[pa.RecordBatch] = []  # of one group, which may go on
         for b in batches:
             if not len(b):
                 continue
-            band = b.column("band").to_numpy()
-            if held and held[-1].column("band")[-1].as_py() != band[0]:
+            keys = np.column_stack([b.column(c).to_numpy() for c in group])
+            if held and [held[-1].column(c)[-1].as_py() for c in group] != keys[0].tolist():
                 yield from solve(pa.Table.from_batches(held))
                 held = []
-            cut = int(np.searchsorted(band, band[-1]))
+            before = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            cut = int(before[-1]) + 1 if len(before) else 0
             if cut:
                 yield from solve(pa.Table.from_batches([*held, b.slice(0, cut)]))
                 held = []
@@ -328,73 +347,59 @@ def _grouped(classes: DataFrame, similarity: float, settled: bool) -> DataFrame:
         if held:
             yield from solve(pa.Table.from_batches(held))
 
-    dealt = classes.select("key", "n", "wide", "bands", "component").mapInArrow(spread, "band long, key long, n int, wide binary, component long")
-    return dealt.repartition("band").sortWithinPartitions("band").mapInArrow(walk, "a long, b long").distinct()
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, first_a, first_b) of those pairs whose texts share `similarity` of their distinct shingles; first is the
-    smallest doc_id of a class. Texts are read again for the classes of pairs only."""
+    return df.mapInArrow(walk, "a long, b long").distinct()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hashes = [shingle_hashes(t or "") for t in b.column("text").to_pylist()]
-            own = pa.array([set_key(h) == k for h, k in zip(hashes, b.column("key").to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array([h.tobytes() for h in hashes], pa.binary())], ["key", "id", "hashes"]).filter(own)
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("ha"), b.column("hb")):
-                x, y = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= 1 and both / (len(x) + len(y) - both) >= similarity)
-            yield b.select(["a", "b", "first_a", "first_b"]).filter(pa.array(keep, pa.bool_()))
-
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "id"), "key")
-    texts = docs.join(needed, F.col("doc_id").cast("long") == F.col("id")).select("key", "id", "text")
-    found = texts.mapInArrow(sets, "key long, id long, hashes binary").dropDuplicates(["key"])
-    found = staged(found)
-    both = pairs.join(found.select(F.col("key").alias("a"), F.col("id").alias("first_a"), F.col("hashes").alias("ha")), "a")
-    both = both.join(found.select(F.col("key").alias("b"), F.col("id").alias("first_b"), F.col("hashes").alias("hb")), "b")
-    return staged(both.select("a", "b", "first_a", "first_b", "ha", "hb").mapInArrow(near, "a long, b long, first_a long, first_b long"))
-
-
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, whole: int = WHOLE) -> DataFrame:
     """(doc_id, component_id) of documents that share at least `similarity` of their distinct 5-word shingles, directly
     or through others. Null and wordless texts are copies of each other; null doc_ids are left out; rows that share a
     doc_id share a component.
 
     Texts of equal shingles are a class. Classes that agree in a band of minimum hashes meet (the README has the odds),
-    and what links two of them is always the exact share. A first round tries the likely copies of one class a band;
-    the second one tries all pairs that the first has not brought together, but those that differ in so many bits of
-    the wide SimHash fingerprint that they cannot be near.
+    and what links two of them is always the exact share. A first round tries each class against the first one of each
+    of its bands, by aggregates and joins alone; the second one tries all pairs of a band that the first has not
+    brought together, but those that differ in so many bits of the wide SimHash fingerprint that they cannot be near.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hashes = [shingle_hashes(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), pa.array([set_key(h) for h in hashes], pa.int64()), pa.array([len(h) for h in hashes], pa.int32()),
-                pa.array([wide_fingerprint(h) for h in hashes], pa.binary()), pa.array([bands(h).tobytes() for h in hashes], pa.binary()),
-            ], ["doc_id", "key", "n", "wide", "bands"])
+        for whole_batch in batches:
+            for at in range(0, len(whole_batch), 500):
+                b = whole_batch.slice(at, 500)
+                hashes = [shingle_hashes(t or "") for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([
+                    b.column("doc_id"), pa.array([set_key(h) for h in hashes], pa.int64()), pa.array([len(h) for h in hashes], pa.int32()),
+                    pa.array([wide_fingerprint(h).view("i8") for h in hashes], pa.list_(pa.int64())), pa.array([bands(h).view("i8") for h in hashes], pa.list_(pa.int64())),
+                ], ["doc_id", "key", "n", "wide", "bands"])
 
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    own = staged(docs.mapInArrow(each, "doc_id long, key long, n int, wide binary, bands binary"))
+    own = staged(docs.mapInArrow(each, "doc_id long, key long, n int, wide array<long>, bands array<long>"))
     classes = staged(own.groupBy("key").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("wide").alias("wide"), F.min("bands").alias("bands")))
-    alone = classes.where("n > 0").withColumn("component", F.col("key"))
-    met = staged(_grouped(alone, similarity, settled=False))
-    first = _verified(met.where("a <> b"), docs, classes, similarity)
+    rows = classes.where("n > 0").select(F.explode("bands").alias("a"), F.col("key").alias("b"))
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).where("n > 1")
+    limit = max(1, int(HUB * BANDS * classes.count()))
+    met = staged(with_least(rows, least, limit))  # (band, class, first class of the band)
+    stars = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    first = _verified(staged(_near(stars, classes, similarity, 0.0)), docs, classes, similarity)
     joined = components(first)
-    shared = met.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(joined, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("component"))
-    second = _verified(staged(_grouped(classes.join(shared, "key"), similarity, settled=True)), docs, classes, similarity)
+    settled = met.select("a", "b").join(joined, F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("component", "b").alias("component"))
+    settled = staged(settled)
+    mixed = settled.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
+    open_ = with_least(settled, mixed.select("a", F.col("n").alias("m"), "n"), limit, "component")
+    open_ = open_.select(F.col("a").alias("band"), F.col("b").alias("key"), "component", F.col("m").alias("count")).join(classes.select("key", "n", "wide"), "key")
+    second = _verified(staged(_across(open_, similarity, whole)), docs, classes, similarity)
     links_ = first.unionByName(second).select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-    copies = own.select("doc_id", "key").join(classes.select("key", "id"), "key").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    found = components(links_.unionByName(copies))
-    return own.select("doc_id").distinct().join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    named = own.select("doc_id", "key")
+    several = named.groupBy("doc_id").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 <> k1").drop("k1")  # rows that share a doc_id
+    ids = classes.select("key", "id")
+    shared = named.join(several, "doc_id").join(ids, "key").join(ids.select(F.col("key").alias("k0"), F.col("id").alias("b")), "k0").select(F.col("id").alias("a"), "b")
+    found = components(links_.unionByName(shared))
+    known = staged(ids.join(found, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component_id")))
+    return named.join(known, "key").select("doc_id", "component_id").distinct()
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: its fingerprint in hexadecimal digits and the smallest doc_id that links of at most two
+    differing bits reach. Null and empty texts have fingerprint zero and are linked like any other."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
