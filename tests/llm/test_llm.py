@@ -182,6 +182,37 @@ def test_pieces_are_those_of_the_library():
         assert own.decode(got) == theirs.decode(ids)
 
 
+def test_pieces_come_from_the_back_pointers(monkeypatch):
+    """Words of a BPE model are read off the Viterbi pass: without it nothing is encoded, and merging step by step,
+    which checks it, is asked for pairs of pieces only."""
+    path = token_files.tokenizer_path("piece_bpe_32k.model")
+    own = pieces.PieceModel.load(path)
+    words = ["▁encoding", "▁internationalisation", "▁zzzyx", "▁日本語", "▁and", "▁supercalifragilistic"]
+    expected = own.segment(words)
+    assert own.counts["words"] == len(words) and own.counts["merged"] == 0
+    asked = []
+    merges = own._by_merges
+    monkeypatch.setattr(own, "_by_merges", lambda h, n, last=None: asked.append(n) or merges(h, n, last))
+    monkeypatch.setattr(own, "_alone", None)
+    assert own.segment(words) == expected and not asked  # pairs are remembered
+    monkeypatch.setattr(own, "_by_viterbi", lambda h, lengths: (np.zeros(h.shape, "i4"), np.full(h.shape, 300, "i4"), np.zeros(len(h), bool)))
+    assert own.segment(words) != expected
+
+
+def test_words_that_fail_the_check_are_merged(monkeypatch):
+    path = token_files.tokenizer_path("piece_bpe_32k.model")
+    own = pieces.PieceModel.load(path)
+    words = ["▁encoding", "▁internationalisation", "▁zzzyx"]
+    expected = own.segment(words)
+    monkeypatch.setattr(own, "consistent", lambda h, rows, at, a, b: np.ones(len(rows), bool))  # as if every piece could follow every other
+    assert own.segment(words) == expected
+
+
+def test_unknown_neighbours_have_one_id():
+    own = pieces.PieceModel({"a": (1, -1.0), "b": (2, -1.0), "ab": (3, -1.5)}, unigram=True, unknown=0)
+    assert own.segment(["axyzbab", "zz"]) == [[1, 0, 2, 3], [0]]
+
+
 def test_viterbi_is_the_best_segmentation():
     rng = np.random.default_rng(0)
     names = sorted({"".join(rng.choice(list("abc"), rng.integers(1, 5))) for _ in range(25)} | set("abc"))

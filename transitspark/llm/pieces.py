@@ -1,12 +1,15 @@
-"""SentencePiece encoding and decoding in batches of numpy arrays.
-
-A text is cut where no piece crosses; each distinct word is encoded once per worker. Words of equal length advance
-together, and rolling hashes of their substrings probe the sorted hashes of the pieces. Two kinds of model exist:
-
-* unigram: a Viterbi pass. At every place all pieces that end there compete for all words at once, and the maximum
-  stores a back pointer.
-* BPE: the best sum of scores is not what such a model means; its pieces are merges in order of their score. All words
-  make their best merge in the same step (the maximum of each row), and only the two pairs beside it are probed anew.
+"""SentencePiece encoding and decoding by a Viterbi pass in batches of numpy arrays.
+
+A text is cut where no piece crosses; each distinct word is encoded once per worker. Words padded to equal lengths
+advance together: rolling hashes of their substrings probe the sorted hashes of the pieces, all pieces that end at a
+place compete for all words at once, and the maximum stores a back pointer. Two kinds of model exist:
+
+* unigram: the best sum of scores wins.
+* BPE: the best sum of scores is not what such a model means; its pieces are merges in order of their rank. A piece may
+  only follow the one that the back pointer names if no merge across their border would have come before the merges
+  that made the two (`consistent`, from the ranks and the halves of the pieces); such a path is all but unique. An exact
+  check follows: a sequence of pieces is what the merges give if and only if that holds for each two neighbours, and
+  distinct neighbours are few; words that fail it (their share is in the README) are merged step by step.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +32,11 @@ from .token_files import tokenizer_path
 MARK = "▁"
 #: Before words of texts with runs of blanks, which are cut by an expression.
 RAW = "\x01"
-BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Longer words go one by one, in time n log n; words that a worker remembers at most; words encoded together.
-LONG, REMEMBERED, TOGETHER = 256, 1_200_000, 50_000
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Longer words of a BPE model are merged one by one, in time n log n; words are padded to multiples of PAD.
+LONG, PAD = 256, 8
+#: Bytes of words that a worker remembers, about, in each of two generations; words encoded together; texts of a batch.
+REMEMBERED, TOGETHER, TEXTS = 48 << 20, 50_000, 2_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -74,7 +80,7 @@ class PieceModel:
         by_length: dict[int, list[str]] = {}
         for p in pieces:
             by_length.setdefault(len(p), []).append(p)
-        keys = [(self.prefixes(self.matrix(ps, n))[:, -1], ps) for n, ps in by_length.items()]
+        keys = [(self.prefixes(self.matrix(ps, n))[:, -1] * MIX, ps) for n, ps in by_length.items()]
         flat = np.concatenate([k for k, _ in keys]) if keys else np.empty(0, "u8")
         order = np.argsort(flat)
         names_in_order = [p for _, ps in keys for p in ps]
@@ -83,11 +89,23 @@ class PieceModel:
         self.scores = np.array([pieces[names_in_order[i]][1] for i in order], "f8")
         if len(np.unique(self.keys)) < len(self.keys):
             raise ValueError("two pieces share a hash; choose another BASE")
+        self.sizes = np.array([len(names_in_order[i]) for i in order], "i4")
+        self.texts = [names_in_order[i] for i in order]
+        lead = (self.keys >> np.uint64(44)).astype("i8")
+        self.first = np.searchsorted(lead, np.arange(1 << 20)).astype("i4")  # by leading bits of a hash: the first key that has them
+        self.deep = int(np.bincount(lead, minlength=1).max()) if len(lead) else 0
+        self.ended = np.append(self.keys, np.zeros(self.deep + 1, "u8"))
         inner = any(MARK in p.lstrip(MARK) for p in pieces)
         feed = any("\n" in p for p in pieces)
         self.cut = None if inner else re.compile(r" *[^ ]+| +" if feed else r"\n| *[^ \n]+| +")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
         self.names = names
+        self.checked: dict[int, bool] = {}
+        self.counts = {"words": 0, "merged": 0}
+        if not unigram:
+            self._halves()
 
     @classmethod
     def load(cls, path: str) -> "PieceModel":
@@ -128,11 +146,20 @@ class PieceModel:
         """Number of the piece that is the substring, or -1."""
         size = end - begin
         key = h[rows, end] - h[rows, begin] * self.powers[np.minimum(size, self.longest)]
-        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[k] == key) & (size <= self.longest), k, -1)
+        return self.look_up(np.where(size <= self.longest, key, np.uint64(0)))
+
+    def look_up(self, key: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, or -1: the sorted keys are entered by the leading bits."""
+        key = key * MIX
+        k = self.first[(key >> np.uint64(44)).astype("i8")]
+        out = np.where(self.ended[k] == key, k, -1)
+        for d in range(1, self.deep):  # two or three of all pieces share their leading bits with one before
+            out = np.where(self.ended[k + d] == key, k + d, out)
+        return out
 
-    def _by_merges(self, h: np.ndarray, n: int) -> list[np.ndarray]:
-        """Ends of the chosen pieces of each word of n characters."""
+    def _by_merges(self, h: np.ndarray, n: int, last: np.ndarray | None = None) -> list[np.ndarray]:
+        """Ends of the pieces that merging step by step gives for each word of n characters; all words make their best
+        merge in the same step. last: where the halves of the last merge of a word meet, if it became one piece."""
         count = len(h)
         out: list[np.ndarray] = [None] * count
         rows = np.arange(count)
@@ -153,6 +180,8 @@ class PieceModel:
             if not len(rows):
                 break
             width = cuts.shape[1]
+            if last is not None and width == 3:
+                last[rows] = cuts[:, 1]
             cuts = cuts[np.arange(width) != (best + 1)[:, None]].reshape(len(rows), width - 1)
             s = s[np.arange(width - 2) != best[:, None]].reshape(len(rows), width - 3)
             for k in (best - 1, best):  # the pairs that the new piece is part of
@@ -162,28 +191,95 @@ class PieceModel:
                     s[i, k] = score(rows[i], cuts[i, k], cuts[i, k + 2])
         return out
 
-    def _by_viterbi(self, h: np.ndarray, n: int) -> list[np.ndarray]:
-        count = len(h)
-        rows = np.arange(count)
-        best = np.full((count, n + 1), -np.inf)
-        back = np.zeros((count, n + 1), "i4")
-        best[:, 0] = 0
-        worst = (self.scores.min() if len(self.scores) else 0.0) - 10.0  # an unknown character
-        for j in range(1, n + 1):
+    def _halves(self) -> None:
+        """By piece: the two pieces of its last merge, its rank, and the latest rank of all merges that make it."""
+        n = len(self.keys)
+        self.left, self.right = np.full(n + 1, n), np.full(n + 1, n)  # number n: a character that is no piece
+        self.rank, self.late = np.append(np.where(self.sizes == 1, -1.0, -self.scores), -1.0), np.full(n + 1, -1.0)
+        self.whole = np.append(self.sizes == 1, True)  # pieces that merging makes of their own text
+        self.lengths = np.append(self.sizes, 1)
+        for size in range(2, self.longest + 1):
+            own = np.flatnonzero(self.sizes == size)
+            if not len(own):
+                continue
+            h = self.prefixes(self.matrix([self.texts[k] for k in own], size))
+            last, rows = np.zeros(len(own), "i8"), np.arange(len(own))
+            self._by_merges(h, size, last)
+            ok = last > 0
+            a, b = (np.where(k < 0, n, k) for k in (self.probe(h, rows, np.zeros_like(last), last), self.probe(h, rows, last, np.full_like(last, size))))
+            self.left[own[ok]], self.right[own[ok]], self.whole[own] = a[ok], b[ok], ok
+            self.late[own] = np.maximum(self.rank[own], np.maximum(self.late[a], self.late[b]))
+
+    def consistent(self, h: np.ndarray, rows: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether piece b may follow piece a at place `at` of a word: going back through the merges that made the two,
+        at no time would the symbols beside the border have merged with each other first."""
+        ok = self.whole[a] & self.whole[b]
+        live = np.flatnonzero(ok)
+        rows, at, a, b = rows[live], at[live], a[live], b[live]
+        far = np.full(len(live), np.inf)
+        la, ra, lb, rb = far, far, far, far  # when the symbols on either side became part of larger ones
+        while len(live):
+            k = self.probe(h, rows, at - self.lengths[a], at + self.lengths[b])
+            rank = self.rank[k]
+            when = np.maximum(rank, np.maximum(self.late[a], self.late[b]))
+            crossed = (k >= 0) & ((when < la) | (when == la) & (rank < ra)) & ((when < lb) | (when == lb) & (rank <= rb))
+            ok[live[crossed]] = False
+            go = ~crossed & ((self.lengths[a] > 1) | (self.lengths[b] > 1))
+            live, rows, at, a, b, la, ra, lb, rb = (x[go] for x in (live, rows, at, a, b, la, ra, lb, rb))
+            first = (self.late[a] > self.late[b]) | (self.late[a] == self.late[b]) & (self.rank[a] > self.rank[b])  # the later one is taken apart
+            la, ra = np.where(first, self.late[a], la), np.where(first, self.rank[a], ra)
+            lb, rb = np.where(first, lb, self.late[b]), np.where(first, rb, self.rank[b])
+            a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
+        return ok
+
+    def _by_viterbi(self, h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(back, piece, lost) of words padded to one length: for each place the begin and the number of the piece that
+        the best path ends with there (len(keys): a character that is no piece), and whether no path was consistent."""
+        count, none = len(h), len(self.keys)
+        best = np.full((count, h.shape[1]), -np.inf)
+        back, piece = np.zeros(best.shape, "i4"), np.full(best.shape, none, "i4")
+        best[:, 0], lost = 0, np.zeros(count, bool)
+        worst = (self.scores.min() if len(self.scores) else 0.0) - 10.0  # a character that is no piece
+        for j in range(1, int(lengths.max(initial=0)) + 1):
+            live = np.flatnonzero(lengths >= j)
+            own = h if len(live) == count else h[live]
             sizes = np.arange(min(j, self.longest), 0, -1)
-            begin = np.broadcast_to(j - sizes, (count, len(sizes)))
-            k = self.probe(h, rows[:, None], begin, np.full_like(begin, j))
-            value = best[:, j - sizes] + np.where(k >= 0, self.scores[k], np.where(sizes == 1, worst, -np.inf))
+            k = self.look_up(own[:, j : j + 1] - own[:, j - sizes] * self.powers[sizes])
+            k[:, -1] = np.where(k[:, -1] < 0, none, k[:, -1])
+            there = k >= 0
+            if not self.unigram and j > 1:
+                fits = np.zeros_like(there)
+                for r, c in ((np.arange(len(live)), there.argmax(axis=1)), (None, None)):  # the longest, which mostly fits; then all others of the rest
+                    if r is None:
+                        r, c = np.nonzero(there & ~fits.any(axis=1)[:, None])
+                    begin = j - sizes[c]
+                    fits[r, c] = self.whole[k[r, c]]
+                    r, c, begin = r[begin > 0], c[begin > 0], begin[begin > 0]
+                    fits[r, c] &= self.consistent(h, live[r], begin, piece[live[r], begin], k[r, c])
+                missed = ~fits.any(axis=1)
+                lost[live[missed]] = True
+                fits[missed, -1] = True
+                there = fits
+            value = np.where(there, best[live][:, j - sizes] + np.where(k == none, worst, self.scores[np.minimum(k, none - 1)]), -np.inf)
             pick = value.argmax(axis=1)  # the longest of equals
-            best[:, j], back[:, j] = value[rows, pick], j - sizes[pick]
-        out = []
-        for row in back.tolist():
-            ends, j = [], n
-            while j > 0:
-                ends.append(j)
-                j = row[j]
-            out.append(np.array(ends[::-1]))
-        return out
+            rows = np.arange(len(live))
+            best[live, j], back[live, j], piece[live, j] = value[rows, pick], j - sizes[pick], k[rows, pick]
+        return back, piece, lost
+
+    def _fit(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether merging gives just the two pieces, for packed pairs of numbers of pieces; remembered."""
+        new = [p for p in np.unique(pairs).tolist() if p not in self.checked]
+        if len(self.checked) + len(new) > 1_000_000:
+            self.checked.clear()
+            new = np.unique(pairs).tolist()
+        groups: dict[int, list[int]] = {}
+        for p in new:
+            groups.setdefault(len(self.texts[p >> 20]) + len(self.texts[p & 0xFFFFF]), []).append(p)
+        for n, own in groups.items():
+            ends = self._by_merges(self.prefixes(self.matrix([self.texts[p >> 20] + self.texts[p & 0xFFFFF] for p in own], n)), n)
+            for p, e in zip(own, ends):
+                self.checked[p] = len(e) == 2 and e[0] == len(self.texts[p >> 20])
+        return np.array([self.checked[p] for p in pairs.tolist()], bool)
 
     def _alone(self, word: str) -> list[str]:
         """Merges of one long word, by a heap."""
@@ -214,51 +310,95 @@ class PieceModel:
             return [self.pieces[piece][0]]
         return [self.bytes_at + b for b in piece.encode("utf-8", "surrogatepass")] if self.bytes_at is not None else [self.unknown]
 
+    def _joined(self, pieces: list[str]) -> list[int]:
+        """ids of pieces; neighbours that are unknown have one id."""
+        out: list[int] = []
+        for p in pieces:
+            ids = self._ids(p)
+            if not (ids == [self.unknown] == out[-1:] and self.bytes_at is None):
+                out += ids
+        return out
+
     def segment(self, words: list[str]) -> list[list[int]]:
         """ids of each word; MARK stands for a space."""
         out: list[list[int]] = [[] for _ in words]
         groups: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             if len(w) > LONG and not self.unigram:
-                out[i] = [x for p in self._alone(w) for x in self._ids(p)]
+                out[i] = self._joined(self._alone(w))
             elif w:
-                groups.setdefault(len(w), []).append(i)
+                groups.setdefault(-(-len(w) // PAD) * PAD, []).append(i)
         for n, where in groups.items():
+            if n >= len(self.powers):
+                self.powers = powers(n)
             for at in range(0, len(where), max(1, TOGETHER * 8 // n)):
                 part = where[at : at + max(1, TOGETHER * 8 // n)]
-                if n >= len(self.powers):
-                    self.powers = powers(n)
-                h = self.prefixes(self.matrix([words[i] for i in part], n))
-                for i, ends in zip(part, self._by_viterbi(h, n) if self.unigram else self._by_merges(h, n)):
-                    w, b, ids = words[i], 0, []
-                    for e in ends.tolist():
-                        ids += self._ids(w[b:e])
-                        b = e
+                for i, ids in zip(part, self._segment([words[i] for i in part], n)):
                     out[i] = ids
         return out
 
+    def _segment(self, words: list[str], n: int) -> list[list[int]]:
+        lengths = np.array([len(w) for w in words])
+        h = self.prefixes(self.matrix([w.ljust(n, "\0") for w in words], n))
+        back, piece, lost = self._by_viterbi(h, lengths)
+        rows, at, none = np.arange(len(words)), lengths.copy(), len(self.keys)
+        steps, names = [], []  # from the last piece to the first one
+        while len(rows):
+            names.append(np.stack([rows, piece[rows, at], at]))
+            at = back[rows, at]
+            rows, at = rows[at > 0], at[at > 0]
+        steps = np.concatenate(names[::-1], axis=1) if names else np.empty((3, 0), "i8")
+        order = np.lexsort((steps[2], steps[0]))
+        row, k, end = steps[:, order]
+        if not self.unigram:
+            pair = np.flatnonzero((row[1:] == row[:-1]) & (k[1:] != none) & (k[:-1] != none))
+            fit = self._fit((k[pair].astype("i8") << 20) | k[pair + 1])
+            lost[row[pair[~fit]]] = True
+            self.counts["words"] += len(words)
+            self.counts["merged"] += int(lost.sum())
+        ids = self.ids[np.minimum(k, none - 1)] if none else k
+        starts = np.searchsorted(row, np.arange(len(words) + 1)).tolist()
+        unknown = np.zeros(len(words), bool)
+        unknown[row[k == none]] = True
+        flat, ends = ids.tolist(), end.tolist()
+        out = []
+        for i, w in enumerate(words):
+            if lost[i]:
+                out.append(self._joined(self._alone(w)))
+            elif unknown[i]:
+                e = [0, *ends[starts[i] : starts[i + 1]]]
+                out.append(self._joined([w[x:y] for x, y in zip(e, e[1:])]))
+            else:
+                out.append(flat[starts[i] : starts[i + 1]])
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each whole text as little-endian unsigned 32-bit integers."""
-        out, known = [], self.known
-        for at in range(0, len(texts), 1000):
-            block = [self._words(t) for t in texts[at : at + 1000]]
-            words = set().union(*block)
-            new = [w for w in words if w not in known]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = words
-            listed = list(new)
-            for k in range(0, len(listed), TOGETHER):
-                some = listed[k : k + TOGETHER]
+        out = []
+        for at in range(0, len(texts), TEXTS):
+            block = [self._words(t) for t in texts[at : at + TEXTS]]
+            known, older = self.known, self.older
+            new = []
+            for w in set().union(*block):
+                if w not in known:
+                    if w in older:
+                        known[w] = older[w]
+                    else:
+                        new.append(w)
+            for k in range(0, len(new), TOGETHER):
+                some = new[k : k + TOGETHER]
                 # a word stands after a space, which is part of it, unless it is raw or begins with a line feed
                 whole = [w[1:] if w[:1] == RAW else w if w[:1] == "\n" else " " + w for w in some]
                 parts = [self.cut.findall(w) if self.cut else [w] for w in whole]
                 flat = self.segment([x.replace(" ", MARK) for p in parts for x in p])
                 b = 0
                 for w, p in zip(some, parts):
-                    known[w] = np.array([x for ids in flat[b : b + len(p)] for x in ids], "<u4").tobytes()
+                    known[w] = array("I", flat[b] if len(p) == 1 else [x for ids in flat[b : b + len(p)] for x in ids]).tobytes()
+                    self.held += len(w) + len(known[w]) + 180
                     b += len(p)
             out += [b"".join(map(known.__getitem__, b)) for b in block]
+            if self.held > REMEMBERED:  # the words since then are the older generation, which is asked before a word is encoded anew
+                self.known, self.older, self.held = {}, known, 0
         return out
 
     def _words(self, text: str) -> list[str]:
