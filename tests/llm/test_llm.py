@@ -328,6 +328,22 @@ def test_near_copies_among_half_alike_texts(spark):
     assert got == exact_components(rows)
 
 
+def test_near_copies_of_a_large_family_in_blocks(spark):
+    """Six hundred edits of one text, some of which are near each other only through others, in pairs of blocks."""
+    rng = np.random.default_rng(9)
+    words = np.array([f"w{k}" for k in range(5000)])
+    base, rows = list(rng.choice(words, 120)), []
+    for k in range(600):
+        w = list(base)
+        for at in rng.integers(0, 120, rng.integers(1, 6)):
+            w[at] = str(rng.choice(words))
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = exact_components(rows)
+    for whole in (simhash.WHOLE, 10_000):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, whole=whole).collect()} == expected
+
+
 def test_near_copies_decide_by_the_exact_share(spark):
     """Pairs that share from 0.70 to 0.90 of their shingles, and texts of 8 and 9 words, which share 4 of 5."""
     rng = np.random.default_rng(8)

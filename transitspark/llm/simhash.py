@@ -194,8 +194,8 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 #: Wide fingerprints: words of 64 bits, and words of a shingle. Bands of minimum hashes, and hashes of a band.
 LANES, WIDE_WORDS, SIMILARITY, BANDS, ROWS = 8, 5, 0.8, 24, 6
 BITS = 64 * LANES
-#: Standard deviations of differing bits that a pair is still looked at with; classes of one band that a task gets whole.
-DEVIATIONS, WHOLE = 3, 20_000
+#: Standard deviations of differing bits that a pair is still looked at with; shingles of one band that a task gets whole.
+DEVIATIONS, WHOLE = 3, 4_000_000
 _SALTS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), dtype="u8")
 
 
@@ -270,9 +270,8 @@ def _near(pairs: DataFrame, classes: DataFrame, similarity: float, deviations: f
     return df.where((F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9) & (bits <= limit)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, first_a, first_b) of those pairs whose texts share `similarity` of their distinct shingles; first is the
-    smallest doc_id of a class. Texts are read again for the classes of pairs only; pairs are compared row by row."""
+def _sets(keys: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, id, hashes) of the classes of keys(key): their texts are read again, and made shingles once more."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -282,9 +281,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity:
                 own = pa.array([set_key(h) == k for h, k in zip(hashes, b.column("key").to_pylist())], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array([h.view("i8") for h in hashes], pa.list_(pa.int64()))], ["key", "id", "hashes"]).filter(own)
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "id"), "key")
-    texts = docs.join(needed, F.col("doc_id") == F.col("id")).select("key", "id", "text")
-    found = staged(texts.mapInArrow(sets, "key long, id long, hashes array<long>").dropDuplicates(["key"]))
+    texts = docs.join(keys.join(classes.select("key", "id"), "key"), F.col("doc_id") == F.col("id")).select("key", "id", "text")
+    return staged(texts.mapInArrow(sets, "key long, id long, hashes array<long>").dropDuplicates(["key"]))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, first_a, first_b) of those pairs whose texts share `similarity` of their distinct shingles, row by row;
+    first is the smallest doc_id of a class."""
+    found = _sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), docs, classes)
     both = pairs.join(found.select(F.col("key").alias("a"), F.col("id").alias("first_a"), F.col("hashes").alias("ha")), "a")
     both = both.join(found.select(F.col("key").alias("b"), F.col("id").alias("first_b"), F.col("hashes").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
@@ -292,42 +296,78 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity:
     return staged(both.where(near).select("a", "b", "first_a", "first_b"))
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of lists, and where each row's begin, with the end of the last."""
+    lists = column.combine_chunks()
+    lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
+    at = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[at[0] : at[-1]].view("u8"), at - at[0]
+
+
 def _across(rows: DataFrame, similarity: float, whole: int) -> DataFrame:
-    """(a, b) of rows(band, key, component, n, wide, count): classes of one band and of different components that their
-    sizes and wide fingerprints don't rule out.
+    """(a, b) from rows(band, key, component, n, wide, bands, hashes, total): links that join every two classes of one
+    band that share `similarity` of their shingles, directly or through others or through their component.
 
     The classes of a band lie in a binary trie of the leading words of their fingerprints, which is joined with itself;
-    what is left is held against the other words. A band of `count` classes above `whole` is dealt as pairs of blocks.
+    what sizes and the other words don't rule out is held against each other by the exact share, unless links found
+    before have brought it together, and in the first band that the two share only. So a task gives back a spanning
+    set of true links. A band of more than `whole` shingles is dealt as pairs of blocks.
     """
-    blocks = F.ceil(F.col("count") / whole)
+    blocks = F.ceil(F.col("total") / whole)
     own = F.pmod(F.xxhash64("key"), blocks)
     df = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    df = df.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "component", "n", "wide")
+    df = df.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "component", "n", "wide", "bands", "hashes")
     df = df.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
     group = ("band", "lo", "hi")
 
-    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def solve(t: pa.Table) -> pa.RecordBatch:
         cols = {c: t.column(c).to_numpy() for c in (*group, "own", "key", "component", "n")}
-        w = pa.concat_arrays([c.flatten() for c in t.column("wide").chunks]).to_numpy().view("u8").reshape(-1, LANES)
+        w, bands_ = (_flat(t.column(c))[0].reshape(len(t), -1) for c in ("wide", "bands"))
+        hashes, at = _flat(t.column("hashes"))
         new = np.concatenate([[True], np.any([cols[c][1:] != cols[c][:-1] for c in group], axis=0)])
         number = np.cumsum(new) - 1
         side = (cols["own"] == cols["hi"]) & (cols["lo"] != cols["hi"])
         order = np.lexsort((w[:, 0], side, number))
-        w, n, k, c = w[order], cols["n"][order], cols["key"][order], cols["component"][order]
+        w, bands_, n, k, number = w[order], bands_[order], cols["n"][order], cols["key"][order], number[order]
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(n))
-        mids = starts + np.bincount(number, ~side).astype("int64")  # a pair of blocks is a pair of nodes, a whole band one node twice
+        mids = starts + np.bincount(number, ~side[order]).astype("int64")  # a pair of blocks is a pair of nodes, a whole band one node twice
         split = cols["lo"][starts] != cols["hi"][starts]
         first = np.column_stack([starts, mids, np.where(split, mids, starts), ends, np.zeros(len(starts), "int64")])
         first = first[(first[:, 0] < first[:, 1]) & (first[:, 2] < first[:, 3])]
+        place = (bands_ == cols["band"].view("u8")[order][:, None]).argmax(axis=1)  # which of the bands this one is
+        label = np.unique(np.column_stack([number, cols["component"][order]]), axis=0, return_inverse=True)[1].reshape(-1)
+        found: list[tuple[int, int]] = []
         budget = int(most_differing(int(n.min() < FEW_SHINGLES), similarity, 64))
         for i, j in trie_links(np.ascontiguousarray(w[:, 0]), first, 0, budget):
             low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (c[i] != c[j]) & (low >= similarity * high - 1e-9)
+            ok = (label[i] != label[j]) & (low >= similarity * high - 1e-9)
             i, j, low = i[ok], j[ok], low[ok]
             ok = np.bitwise_count(w[i] ^ w[j]).sum(axis=1) <= most_differing(low < FEW_SHINGLES, similarity)
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(k[i[ok]], k[j[ok]])), pa.array(np.minimum(k[i[ok]], k[j[ok]]))], ["a", "b"])
+            i, j = i[ok], j[ok]
+            ok = (bands_[i] == bands_[j]).argmax(axis=1) == place[i]
+            i, j = i[ok], j[ok]
+            by = np.argsort(i, kind="stable")
+            i, j = i[by], j[by]
+            cuts = np.flatnonzero(np.diff(i, prepend=-1))
+            for x, a, b in zip(i[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(i)).tolist()):
+                others = j[a:b]
+                others = others[label[others] != label[x]]
+                while len(others):
+                    some, others = others[:256], others[256:]  # links found meanwhile may settle the others
+                    mine = hashes[at[order[x]] : at[order[x] + 1]]
+                    theirs = np.concatenate([hashes[at[order[y]] : at[order[y] + 1]] for y in some])
+                    hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                    common = np.add.reduceat(hit, np.append(0, np.cumsum(n[some])[:-1]), dtype="int64")
+                    near = some[(common >= 1) & (common / (n[some] + n[x] - common) >= similarity)]
+                    if len(near):
+                        _, one = np.unique(label[near], return_index=True)
+                        found += [(x, y) for y in near[one].tolist()]
+                        s, e = starts[number[x]], ends[number[x]]
+                        label[s:e][np.isin(label[s:e], label[near])] = label[x]
+                    others = others[label[others] != label[x]]
+        pairs = np.array(found, "int64").reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(k[pairs].max(axis=1)), pa.array(k[pairs].min(axis=1))], ["a", "b"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # of one group, which may go on
@@ -336,16 +376,16 @@ def _across(rows: DataFrame, similarity: float, whole: int) -> DataFrame:
                 continue
             keys = np.column_stack([b.column(c).to_numpy() for c in group])
             if held and [held[-1].column(c)[-1].as_py() for c in group] != keys[0].tolist():
-                yield from solve(pa.Table.from_batches(held))
+                yield solve(pa.Table.from_batches(held))
                 held = []
             before = np.flatnonzero((keys != keys[-1]).any(axis=1))
             cut = int(before[-1]) + 1 if len(before) else 0
             if cut:
-                yield from solve(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                yield solve(pa.Table.from_batches([*held, b.slice(0, cut)]))
                 held = []
             held.append(b.slice(cut))
         if held:
-            yield from solve(pa.Table.from_batches(held))
+            yield solve(pa.Table.from_batches(held))
 
     return df.mapInArrow(walk, "a long, b long").distinct()
 
@@ -356,8 +396,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, whole: int = WH
     doc_id share a component.
 
     Texts of equal shingles are a class. Classes that agree in a band of minimum hashes meet (the README has the odds),
-    and what links two of them is always the exact share. A first round tries each class against the first one of each
-    of its bands, by aggregates and joins alone; the second one tries all pairs of a band that the first has not
+    and what links two of them is always the exact share. A first round tries each class against the first one of all
+    its bands, by aggregates and joins alone; the second one tries all pairs of a band that the first has not
     brought together, but those that differ in so many bits of the wide SimHash fingerprint that they cannot be near.
     """
 
@@ -378,19 +418,21 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, whole: int = WH
     least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).where("n > 1")
     limit = max(1, int(HUB * BANDS * classes.count()))
     met = staged(with_least(rows, least, limit))  # (band, class, first class of the band)
-    stars = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    stars = met.groupBy(F.col("b").alias("a")).agg(F.min("m").alias("b")).where("a <> b")  # a pair a class, at most
     first = _verified(staged(_near(stars, classes, similarity, 0.0)), docs, classes, similarity)
     joined = components(first)
     settled = met.select("a", "b").join(joined, F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("component", "b").alias("component"))
-    settled = staged(settled)
-    mixed = settled.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-    open_ = with_least(settled, mixed.select("a", F.col("n").alias("m"), "n"), limit, "component")
-    open_ = open_.select(F.col("a").alias("band"), F.col("b").alias("key"), "component", F.col("m").alias("count")).join(classes.select("key", "n", "wide"), "key")
-    second = _verified(staged(_across(open_, similarity, whole)), docs, classes, similarity)
-    links_ = first.unionByName(second).select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    settled = staged(settled.join(classes.select(F.col("key").alias("b"), F.col("n").alias("size")), "b"))
+    mixed = settled.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("size").alias("total")).where("low <> high")
+    open_ = staged(with_least(settled, mixed.select("a", F.col("total").alias("m"), "n"), limit, "component"))
+    open_ = open_.select(F.col("a").alias("band"), F.col("b").alias("key"), "component", F.col("m").alias("total"))
+    sets = _sets(open_.select("key").distinct(), docs, classes).select("key", "hashes").join(classes.select("key", "n", "wide", "bands"), "key")
+    second = staged(_across(open_.join(staged(sets), "key"), similarity, whole))
+    ids = classes.select("key", "id")
+    second = second.join(ids.select(F.col("key").alias("a"), F.col("id").alias("first_a")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("first_b")), "b")
+    links_ = first.unionByName(second.select(first.columns)).select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
     named = own.select("doc_id", "key")
     several = named.groupBy("doc_id").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 <> k1").drop("k1")  # rows that share a doc_id
-    ids = classes.select("key", "id")
     shared = named.join(several, "doc_id").join(ids, "key").join(ids.select(F.col("key").alias("k0"), F.col("id").alias("b")), "k0").select(F.col("id").alias("a"), "b")
     found = components(links_.unionByName(shared))
     known = staged(ids.join(found, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component_id")))
