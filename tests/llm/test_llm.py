@@ -153,6 +153,80 @@ def test_held_out_accuracy(spark):
         assert got["score"].between(0, 1).all()
 
 
+def test_label_model_finds_accuracies_without_labels():
+    """Independent voters of known accuracy, and one that repeats another: brute-force Bayes is what it comes to."""
+    rng = np.random.default_rng(2)
+    y = rng.random(6000) < 0.3
+    right = [0.9, 0.8, 0.75, 0.85]
+    votes = np.column_stack([np.where(rng.random(6000) < r, np.where(y, 1, -1), np.where(y, -1, 1)) * (rng.random(6000) < 0.9) for r in right])
+    model = toxicity.LabelModel(votes)
+    for k, r in enumerate(right):
+        said = model.table[1, k]
+        assert abs(said[2] / (said[0] + said[2]) - r) < 0.06
+    odds = np.log(0.3 / 0.7) + (votes * np.log(np.array(right) / (1 - np.array(right)))).sum(axis=1)
+    assert ((model.posterior(votes) >= 0.5) == (odds >= 0)).mean() > 0.95
+    twice = toxicity.LabelModel(np.column_stack([votes, votes[:, 0], votes[:, 0]]))
+    assert twice.weight[0] < 0.6 < twice.weight[1]  # three alike share their weight
+
+
+def test_classifier_learns_posteriors_that_saw_no_labels(monkeypatch):
+    rng = np.random.default_rng(3)
+    bad, fine = [f"bad{k}" for k in range(12)], [f"word{k}" for k in range(400)]
+    y = (rng.random(900) < 0.2).astype("i8")
+    texts = [" ".join([*rng.choice(fine, 60), *(rng.choice(bad, 8) if t else [])]) for t in y]
+    hidden = np.where(np.arange(900) % 3 == 0, -1, y)
+    bags, fixed = [toxicity._terms(t) for t in texts], np.array([toxicity.patterns(t, toxicity.words_of(t)) for t in texts])
+    q, listed, _ = toxicity.weak_labels(bags, fixed, hidden)
+    assert ((q >= 0.5) == y)[hidden < 0].mean() > 0.98  # rows whose labels nothing has seen
+    scorer = toxicity.Scorer(*toxicity.fit_sample(texts, hidden))
+    assert np.mean([(scorer.score(t) >= 0.5) == k for t, k in zip(texts, y)]) > 0.98
+    seen = []
+    monkeypatch.setattr(toxicity, "logistic", lambda b, targets: seen.append(targets) or (np.zeros(toxicity.BUCKETS), 0.0))
+    toxicity.fit_sample(texts, hidden)
+    assert np.allclose(seen[0], q) and not set(np.unique(seen[0])) <= {0.0, 1.0}  # posteriors, not labels
+
+
+def test_logistic_and_quality_training_against_plain_loops():
+    """Both trainers on tiny data, held against their formulas written out one number at a time."""
+    bags, q = [np.array([1, 3]), np.array([2]), np.array([1])], np.array([0.9, 0.1, 0.8])
+    w, bias = toxicity.logistic(bags, q, buckets=8)
+    rng, v, g2, last, b, gb, t = np.random.default_rng(toxicity.SEED), [0.0] * 8, [1e-2] * 8, [0] * 8, float(np.log((q.mean() + 1e-3) / (1 - q.mean() + 1e-3))), 1e-2, 0
+    shrink = lambda x, by: float(np.sign(x) * max(abs(x) - by, 0))
+    for _ in range(toxicity.EPOCHS):
+        for k in rng.permutation(3):
+            t += 1
+            for i in bags[k]:
+                v[i] = shrink(v[i], toxicity.RATE / g2[i] ** 0.5 * toxicity.SHRINK * (t - last[i]))
+            g = 1 / (1 + np.exp(-(b + sum(v[i] for i in bags[k])))) - q[k]
+            for i in bags[k]:
+                rate = toxicity.RATE / g2[i] ** 0.5
+                g2[i] += g * g
+                v[i] -= rate * g
+                last[i] = t
+            gb += g * g
+            b -= toxicity.RATE / gb**0.5 * g
+    v = [shrink(v[i], toxicity.RATE / g2[i] ** 0.5 * toxicity.SHRINK * (t - last[i])) for i in range(8)]
+    assert np.allclose(w, v) and bias == pytest.approx(b)
+    bags = [(np.array([0, 2]), np.array([1.0, 3.0], "f4")), (np.array([1]), np.array([2.0], "f4"))]
+    got, b = quality.train(bags, np.array([1, 0]), buckets=4, width=3, epochs=6)
+    rng = np.random.default_rng(quality.SEED)
+    vec, out, bias = rng.uniform(-1 / 3, 1 / 3, (4, 3)), np.zeros((3, 2)), np.zeros(2)
+    for step in range(12):
+        if step % 2 == 0:
+            order = rng.permutation(2)
+        k, lr = order[step % 2], quality.RATE * (1 - step / 12)
+        ids, n = bags[k]
+        mean = sum(c / n.sum() * vec[i] for i, c in zip(ids, n))
+        p = np.exp(mean @ out + bias)
+        p /= p.sum()
+        p[[1, 0][k]] -= 1
+        back = out @ p
+        out, bias = out - lr * np.outer(mean, p), bias - lr * p
+        for i, c in zip(ids, n):
+            vec[i] -= lr * c / n.sum() * back
+    assert np.allclose(got, vec @ (out[:, 1] - out[:, 0]), atol=1e-4) and b == pytest.approx(bias[1] - bias[0], abs=1e-4)
+
+
 def test_scores_use_whole_texts_and_survive_clashing_columns(spark, docs):
     model = toxicity.fit_sample(["you idiot stupid trash"] * 30 + ["nice words here"] * 90, np.array([1] * 30 + [0] * 90))
     scorer = toxicity.Scorer(*model)

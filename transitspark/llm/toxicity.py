@@ -1,10 +1,13 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier on its posteriors.
 
-Voters are word lists (one of common insults, others mined as words and word beginnings that the labelled rows mark)
-and patterns. Each says toxic, clean or nothing about a document. The label model estimates by expectation
-maximisation how often each voter says what about either kind of document, and from what is left over which voters
-go together, so that correlated ones count less. A logistic regression on hashed words and word beginnings, with
-weights drawn to zero, then learns the posterior labels; it alone scores documents.
+Voters are word lists (one of common insults, others mined as words and word beginnings that labelled rows mark) and
+patterns. Each says toxic, clean or nothing about a document. Mined lists vote only on rows that they were not mined
+from: labelled rows are halved, each half has lists of its own, and votes on the other half. The label model sees votes
+alone, of labelled and unlabelled rows alike: expectation maximisation from the voters' majority estimates how often
+each voter says what about either kind of document, and from what is left over which voters go together, so that
+correlated ones count less. Labels only say which terms to list and how sure a posterior is to be taken (`calibrated`).
+A logistic regression on hashed words and word beginnings, with weights drawn to zero, then learns the posteriors of all
+rows; it alone scores documents.
 """
 
 from __future__ import annotations
@@ -23,15 +26,16 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import crc_of_id, labelled_sample, table
 
 BUCKETS = 1 << 19
-#: Labelled rows that the voters, the label model and the classifier are fitted on, at most.
-SAMPLE = 8_000
+#: Labelled rows that the voters, the label model and the classifier are fitted on, at most, and unlabelled ones.
+SAMPLE, UNLABELLED = 8_000, 4_000
 #: Lengths of the word beginnings that count as terms besides whole words.
 BEGINNINGS = (4, 5, 6, 7)
 LISTS, EPOCHS, RATE, SHRINK, SEED = 16, 20, 0.3, 2e-5, 11
 REMEMBERED = 1_000_000
-#: How strong a mined term must be (rows it marks times log odds: chance alone gives few above this), and how often
-#: the label model takes the annotator to be right.
-STRENGTH, ANNOTATOR = 16.0, 0.97
+#: How strong a mined term must be: rows it marks times log odds; chance alone gives few above this.
+STRENGTH = 16.0
+#: Voters on how many listed terms a text has, and on their share of its terms: clean below the first, toxic from the second on.
+COUNTS, SHARES = ((1, 10**9), (3, 6), (4, 10)), ((0.003, 0.006), (0.003, 0.01), (0.006, 0.02))
 #: Common English insults; fixed values.
 INSULTS = "asshole bastard bitch clown coward creep crap cretin damn disgusting dumb fool freak fuck garbage hate idiot imbecile jerk kill liar loser moron pathetic pig scum shit sick slut stupid trash ugly vermin whore worthless".split()
 WORD = re.compile(r"[^\W_]+")
@@ -66,47 +70,62 @@ def patterns(text: str, words: set[str]) -> list[int]:
 
 
 def mined(bags: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS) -> list[np.ndarray]:
-    """Word lists: buckets far more frequent in toxic rows, strongest first, cut into lists of alike strength. They are
-    also the terms that the classifier may weigh; all others keep weight zero."""
+    """Word lists: buckets far more frequent in toxic rows, strongest first, cut into LISTS lists of alike strength."""
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
     count = lambda k: np.bincount(np.concatenate([b for b, t in zip(bags, y) if t == k] or [np.empty(0, "i4")]), minlength=buckets)
     c1, c0 = count(1), count(0)
     p1, p0 = c1 / n1, (c0 + 0.5) / n0
     strength = c1 * np.log(np.maximum(p1, 1e-9) / p0)
     strength = np.where((c1 >= 3) & (p1 > 4 * p0) & (strength > STRENGTH), strength, 0)
-    best = np.argsort(-strength, kind="stable")[: 256 * LISTS]
+    best = np.argsort(-strength, kind="stable")
     best = best[strength[best] > 0]
-    return [x for x in np.array_split(best, LISTS) if len(x)] if len(best) else []
+    return np.array_split(best, LISTS)
 
 
 class LabelModel:
-    """P(vote | label) of each voter, and how much voters repeat each other."""
+    """P(vote | label) of each voter, and how much voters repeat each other, from votes without labels."""
 
-    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 25):
-        """votes: documents x voters of -1, 0, 1, the annotator last; start: first guess at P(toxic) of each document."""
+    def __init__(self, votes: np.ndarray, rounds: int = 25):
+        """votes: documents x voters of -1, 0, 1."""
         n, m = votes.shape
         hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype("f8")
-        q = start.astype("f8")
+        q = 1 / (1 + np.exp(-votes.sum(axis=1).astype("f8")))  # the majority
         for _ in range(rounds):
             self.prior = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
             said = np.stack([np.einsum("n,nmv->mv", w, hot) + 0.5 for w in (1 - q, q)])
             self.table = said / said.sum(axis=2, keepdims=True)  # [label, voter, vote]
-            self.table[:, -1] = [[ANNOTATOR, 0.01, 0.99 - ANNOTATOR], [0.99 - ANNOTATOR, 0.01, ANNOTATOR]]
             # what is left of the votes once the label is known: voters that still move together share their weight
             expected = np.einsum("nl,lm->nm", np.column_stack([1 - q, q]), self.table[:, :, 2] - self.table[:, :, 0])
             rest = votes - expected
-            scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
+            scale = np.sqrt((rest**2).mean(axis=0)) + 0.01  # voters that are hardly ever wrong are not held to be wrong together
             self.correlation = (rest / scale).T @ (rest / scale) / n
             other = np.abs(self.correlation) - np.eye(m) * np.abs(self.correlation)
             self.weight = 1 / (1 + np.where(other > 0.1, other, 0).sum(axis=1))
-            self.weight[-1] = 1
             q = self.posterior(votes)
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def evidence(self, votes: np.ndarray) -> np.ndarray:
+        """Log odds of toxic."""
         logs = np.log(self.table)
         at = votes.astype("i8") + 1
-        z = np.log(self.prior / (1 - self.prior)) + sum(self.weight[j] * (logs[1, j, at[:, j]] - logs[0, j, at[:, j]]) for j in range(votes.shape[1]))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return np.log(self.prior / (1 - self.prior)) + sum(self.weight[j] * (logs[1, j, at[:, j]] - logs[0, j, at[:, j]]) for j in range(votes.shape[1]))
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.evidence(votes), -30, 30)))
+
+
+def calibrated(z: np.ndarray, known: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Posteriors from log odds: a line through them, fitted to the labels of the known rows by Newton's method. A line
+    that falls, or none, leaves them as they are."""
+    x, t = np.clip(z[known], -30, 30), y.astype("f8")
+    w = np.array([0.0, 1.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(w[0] + w[1] * x, -30, 30)))
+        a = np.column_stack([np.ones(len(x)), x])
+        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
+        w = w - np.linalg.solve(h, a.T @ (p - t) + 1e-3 * (w - [0.0, 1.0]))
+    if not np.isfinite(w).all() or w[1] <= 0:
+        w = np.array([0.0, 1.0])
+    return 1 / (1 + np.exp(-np.clip(w[0] + w[1] * np.clip(z, -30, 30), -30, 30)))
 
 
 def logistic(bags: list[np.ndarray], q: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
@@ -132,34 +151,43 @@ def logistic(bags: list[np.ndarray], q: np.ndarray, buckets: int = BUCKETS) -> t
 
 
 def fit_sample(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
-    """A model from labelled texts, in memory."""
-    return _fit([_terms(t) for t in texts], [patterns(t, words_of(t)) for t in texts], y)
+    """A model from texts, in memory; a label of -1 is none."""
+    return _fit([_terms(t) for t in texts], np.array([patterns(t, words_of(t)) for t in texts]), y)
 
 
 def _terms(text: str) -> np.ndarray:
     return np.unique(np.array([f for w in words_of(text) for f in terms(w)], "i4"))
 
 
-def _fit(bags: list[np.ndarray], fixed: list[list[int]], y: np.ndarray) -> tuple[np.ndarray, float]:
-    if len(np.unique(y)) < 2:
-        share = min(max(y.mean() if len(y) else 0.0, 0.01), 0.99)
+def weak_labels(bags: list[np.ndarray], fixed: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, LabelModel]:
+    """(posteriors, listed terms, label model) of rows with labels 1, 0 or -1 for none."""
+    rows, known = np.arange(len(y)), y >= 0
+    half = np.cumsum(known) % 2  # labelled rows in turn; an unlabelled row goes with the one before it
+    halves = [mined([bags[k] for k in rows[known & (half == h)]], y[known & (half == h)]) for h in (0, 1)]
+    listed = np.zeros(BUCKETS, bool)
+    hits = np.zeros((len(y), LISTS), "i8")
+    for h in (0, 1):
+        which = np.full(BUCKETS, LISTS)
+        for k, x in enumerate(halves[1 - h]):  # the other half's lists
+            which[x] = k
+            listed[x] = True
+        for k in rows[half == h]:
+            hits[k] = np.bincount(which[bags[k]], minlength=LISTS + 1)[:LISTS]
+    many = hits.sum(axis=1)
+    share = many / np.maximum([len(b) for b in bags], 1)
+    vote = lambda x, low, high: np.where(x >= high, 1, np.where(x < low, -1, 0))
+    votes = np.column_stack([fixed, (hits > 0).astype("i8"), *(vote(many, *e) for e in COUNTS), *(vote(share, *e) for e in SHARES)])
+    model = LabelModel(votes)
+    return calibrated(model.evidence(votes), known, y[known]), listed, model
+
+
+def _fit(bags: list[np.ndarray], fixed: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    labels = y[y >= 0]
+    if len(np.unique(labels)) < 2:
+        share = min(max(labels.mean() if len(labels) else 0.0, 0.01), 0.99)
         return np.zeros(BUCKETS), float(np.log(share / (1 - share)))
-    lists = mined(bags, y)
-    which = np.full(BUCKETS, -1)
-    for k, x in enumerate(lists):
-        which[x] = k
-    hits = np.array([np.bincount(which[b][which[b] >= 0], minlength=len(lists) or 1) for b in bags])
-    any_ = hits.sum(axis=1)
-    votes = np.column_stack([
-        np.array(fixed),
-        (hits > 0).astype("i8"),
-        np.where(any_ == 0, -1, 0),  # no listed term at all
-        np.where(any_ >= 2, 1, 0),
-        np.where(y == 1, 1, -1),  # the annotator, one voter more
-    ])
-    model = LabelModel(votes, np.clip(y, 0.05, 0.95))
-    chosen = which >= 0
-    return logistic([b[chosen[b]] for b in bags], model.posterior(votes))
+    q, listed, _ = weak_labels(bags, fixed, y)
+    return logistic([b[listed[b]] for b in bags], q)
 
 
 class Scorer:
@@ -182,17 +210,23 @@ class Scorer:
         return float(1 / (1 + np.exp(-min(max(z, -30), 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn: Column | None = None, rows: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """A model from at most `rows` labelled documents of those that may be learnt from; without labels of both kinds
-    it says the share of toxic rows. Terms and votes are made in tasks; the driver gets `rows` of them at most."""
-    sample = labelled_sample(docs, labels, label, F.lit(True) if may_learn is None else may_learn, rows)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn: Column | None = None, rows: int = SAMPLE, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float]:
+    """A model from at most `rows` labelled and `unlabelled` other documents of those that may be learnt from; without
+    labels of both kinds it says the share of toxic rows. Terms and votes are made in tasks; the driver gets so many
+    rows of them at most."""
+    allowed = F.lit(True) if may_learn is None else may_learn
+    sample = labelled_sample(docs, labels, label, allowed, rows)
+    more = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & allowed).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(unlabelled).distinct()
+    more = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(more), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "ids": [_terms(t).tobytes() for t in pdf["text"]], "votes": [patterns(t, words_of(t)) for t in pdf["text"]]})
 
-    t = sample.mapInPandas(seen, "doc_id long, label int, ids binary, votes array<int>").toPandas().sort_values("doc_id")
-    return _fit([np.frombuffer(i, "i4") for i in t["ids"]], [list(v) for v in t["votes"]], t["label"].clip(0, 1).to_numpy().astype("int64"))
+    both = sample.select("doc_id", "text", "label").unionByName(more.select("doc_id", "text", F.lit(-1).alias("label")))
+    t = both.mapInPandas(seen, "doc_id long, label int, ids binary, votes array<int>").toPandas()
+    t = t.sort_values(["doc_id", "label"]).drop_duplicates("doc_id", keep="last")  # of a row in both samples, the label
+    return _fit([np.frombuffer(i, "i4") for i in t["ids"]], np.array([list(v) for v in t["votes"]]), t["label"].clip(-1, 1).to_numpy().astype("int64"))
 
 
 def scored(docs: DataFrame, weights: np.ndarray, bias: float, column: str = "score") -> DataFrame:
@@ -213,6 +247,8 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, column: str = "sco
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: whether its labels are held out, its score, and whether that is 0.7 or more. A null text
+    scores as an empty one."""
     docs, fold = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), crc_of_id("doc_id") % 3
     model = fit(docs, table(spark, sf_dir, "labels"), "toxic", fold != 1)
     return scored(docs, *model).select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
