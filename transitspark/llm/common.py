@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,24 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What this Python worker keeps from one task to the next, by name, and how it lets go of it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def forget_others(name: str = "", forget: Callable[[], None] | None = None) -> None:
+    """A worker serves one operator after the other; what it remembers for an earlier one goes, all but `name`."""
+    gone = [k for k in _kept if k != name]
+    for k in gone:
+        _kept.pop(k)()
+    if gone:
+        try:
+            ctypes.CDLL(None).malloc_trim(0)  # the C library gives back what is free
+        except (OSError, AttributeError):
+            pass
+    if forget:
+        _kept[name] = forget
+
+
 def crc_of_id(column: str) -> Column:
     """crc32 of an id written as text: the folds of the labelled rows are its remainders."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import forget_others, table
 from .token_files import tokenizer_path
 
 MARK = "▁"
@@ -418,6 +418,7 @@ _models: dict[str, PieceModel] = {}
 
 
 def model(path: str) -> PieceModel:
+    forget_others(path, _models.clear)
     if path not in _models:
         _models[path] = PieceModel.load(path)
     return _models[path]

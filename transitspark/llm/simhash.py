@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HUB, components, staged, table, with_least
+from .common import HUB, components, forget_others, staged, table, with_least
 from .linking import members, unite
 
 WORDS, SEED, BUDGET = 3, 42, 2
 #: Fingerprints of one block beyond which the trie is taken apart DEEP bits further down before dealing.
 HOT, DEEP = 100_000, 12
 #: Node pairs that go down together.
-FRONTIER = 1_000_000
+FRONTIER = 200_000
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -402,6 +402,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, whole: int = WH
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for whole_batch in batches:
             for at in range(0, len(whole_batch), 500):
                 b = whole_batch.slice(at, 500)

@@ -12,12 +12,16 @@ import re
 
 import numpy as np
 
+from .common import forget_others
+
 #: White space as the tokenizer files mean it (Unicode White_Space) apart from the space and \n; fixed values.
 OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What str.split() takes for white space and the tokenizer files don't; fixed values.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: Words that a worker remembers at most; beyond that it forgets them all and starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 1_000_000
+#: Characters of a word beyond which it is encoded each time.
+LONGEST = 64
 
 _loaded: dict[str, "WordTokenizer"] = {}
 
@@ -38,7 +42,8 @@ class _Known(dict):
             ids = self[small]
         else:
             ids = self.encode(word)
-        self[word] = ids
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
     def tail(self, mark: str) -> bytes:
@@ -90,6 +95,7 @@ class WordTokenizer:
 
 
 def tokenizer(path: str) -> WordTokenizer:
+    forget_others(path, _loaded.clear)
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
     return _loaded[path]

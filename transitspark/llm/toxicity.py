@@ -23,15 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_of_id, labelled_sample, table
+from .common import crc_of_id, forget_others, labelled_sample, table
 
 BUCKETS = 1 << 19
 #: Labelled rows that the voters, the label model and the classifier are fitted on, at most, and unlabelled ones.
-SAMPLE, UNLABELLED = 8_000, 4_000
+SAMPLE, UNLABELLED = 6_000, 3_000
 #: Lengths of the word beginnings that count as terms besides whole words.
 BEGINNINGS = (4, 5, 6, 7)
 LISTS, EPOCHS, RATE, SHRINK, SEED = 16, 20, 0.3, 2e-5, 11
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: How strong a mined term must be: rows it marks times log odds; chance alone gives few above this.
 STRENGTH = 16.0
 #: Voters on how many listed terms a text has, and on their share of its terms: clean below the first, toxic from the second on.
@@ -236,6 +236,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, column: str = "sco
     docs = docs.drop(column)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         at, w, n, b0 = model.value
         full = np.zeros(n)
         full[at] = w
