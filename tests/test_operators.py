@@ -223,6 +223,61 @@ def test_a_chain_in_two_chunks_is_the_chain_in_one(spark, tmp_path):
     assert again.count() == len(parts)
 
 
+def test_a_chain_goes_on_with_other_chunks_but_not_with_other_data(spark, tmp_path):
+    timing, t, event, x, y = _observations(3e-4)
+    keep = event < 2
+    pdf = pd.DataFrame({"target_id": 1, "cadence_id": np.arange(len(t)), "time": t, "flux": y, "flux_err": 3e-4, "event_number": event, "offset": x})[keep]
+    c = sampling.SamplerConfig(ensembles=1, walkers=16, supersample=3)
+    center = [math.log(0.1), math.log(9.0), 0.3, 0.36, 0.33, math.log(3e-4), 0.0, 0.0]
+    centers = spark.createDataFrame([(1, *center)], "target_id long, " + ", ".join(f"{p} double" for p in sampling.PARAMETERS))
+    df, at = spark.createDataFrame(pdf), str(tmp_path / "c")
+    order = ["ensemble", "walker", "step"]
+    assert sampling.run(df, centers, timing, c, 3, 2, at).select("step").distinct().count() == 3  # steps 1-2 and 3-3
+    longer = sampling.run(df, centers, timing, c, 6, 4, at).orderBy(*order).toPandas()  # and 4-6
+    whole = sampling.run(df, centers, timing, c, 6, 6, str(tmp_path / "d")).orderBy(*order).toPandas()
+    assert sorted(set(longer["step"])) == [1, 2, 3, 4, 5, 6] and np.allclose(longer.to_numpy(float), whole.to_numpy(float))
+    assert sampling.run(df, centers, timing, c, 2, 2, str(tmp_path / "d")).select("step").distinct().count() == 2  # part of a chunk
+    for other in ((df.withColumn("flux", F.col("flux") + 1e-6), timing, c), (df, transit.Timing(timing.period + 1e-9, timing.epoch), c), (df, timing, sampling.SamplerConfig(ensembles=1, walkers=18, supersample=3))):
+        with pytest.raises(ValueError, match="other data"):
+            sampling.run(other[0], centers, *other[1:], 3, 2, at)
+
+
+def test_refined_candidates_come_closer(spark):
+    e, rng = Ephemeris(9.7, 2.0, 0.25), np.random.default_rng(5)
+    t = np.arange(0, 80, 0.02)
+    df = curve(spark, t, dipped(t, e, 0.01) + rng.normal(0, 5e-4, len(t)))
+    c = search.SearchConfig(min_period=5.0, max_period=20.0, n_periods=80, n_durations=5, local_cap=400)
+    coarse = spark.createDataFrame([(1, 1, 9.75, 0.01, 0.2, 2.0, 0.1), (1, 2, 14.0, 0.005, 0.2, 1.0, 0.1)], "target_id long, rank int, period double, power double, duration double, transit_time double, step double")
+    got = {r["coarse_rank"]: r for r in search.refine(df, coarse, c).collect()}
+    best = got[1]
+    assert best["refined_rank"] == 1 and got[2]["refined_rank"] == 2
+    assert abs(best["refined_period"] - 9.7) < 0.02 and abs(best["refined_duration"] - 0.25) <= 0.04
+    assert best["drift_of_duration"] <= c.drift + 0.02 and best["n_periods"] <= 400 and best["n_events"] == 9
+    assert "maximum_boundary" not in best["warnings"]
+    three = {r["alias"]: r for r in search.aliases(df, got_frame(spark, best), c).collect()}
+    assert three["P"]["power"] > three["P/2"]["power"] if three["P/2"]["valid"] else True
+    assert not three["P/2"]["valid"] and three["P/2"]["power"] is None and three["2P"]["valid"]
+
+
+def got_frame(spark, row):
+    return spark.createDataFrame([(row["target_id"], row["refined_period"])], "target_id long, period double")
+
+
+def test_convergence_needs_all_criteria(spark):
+    rng = np.random.default_rng(1)
+    rows = [(e, w, s, p, float(rng.normal())) for p in ("a", "b") for e in range(2) for w in range(6) for s in range(400)]
+    draws = spark.createDataFrame(rows, "ensemble int, walker int, step int, parameter string, value double")
+    sizes, rhat, agrees = sampling.effective_sizes(draws), posterior.split_rhat(draws), posterior.agreement(draws)
+    stable, finite = spark.createDataFrame([(True,)], "stable boolean"), spark.createDataFrame([(True,)] * 3, "is_finite boolean")
+    held = lambda *a, **k: {r["criterion"]: r["holds"] for r in posterior.criteria(*a, **k).collect()}
+    fine = held(rhat, sizes, stable, agrees, finite, ["a", "b"], 400)
+    assert len(fine) == 11 and all(fine.values())
+    assert not held(rhat, sizes, stable, agrees, finite, ["a", "b", "c"], 400)["complete_valid_rhat"]
+    assert not held(rhat, sizes, stable, agrees, finite, ["a", "b"], 10)["chain_length_exceeds_tau_multiple"]
+    assert not held(rhat, sizes, stable.limit(0), agrees, finite, ["a", "b"], 400)["posterior_summary_stability"]
+    assert not held(rhat, sizes, stable, agrees, finite.unionByName(spark.createDataFrame([(False,)], "is_finite boolean")), ["a", "b"], 400)["finite_log_probability_fraction_is_one"]
+
+
 def test_convergence_measures(spark):
     rng = np.random.default_rng(0)
     rows = [(e, w, s, "p", float(rng.normal() + 1.0 * e)) for e in range(2) for w in range(4) for s in range(40)]

@@ -252,11 +252,12 @@ def odd_even(spark, sf_dir):
  f AS (SELECT *, {_INSIDE} AS i, {_BASE} AS b FROM win), u AS (SELECT *, count(*) FILTER (i) OVER w >= {events.MIN_IN} AND count(*) FILTER (b) OVER w >= {events.MIN_BASE} AS usable FROM f WINDOW w AS (PARTITION BY target_id, cycle)),
  h AS (SELECT target_id, count(DISTINCT cycle) AS n_events, count(DISTINCT cycle) FILTER (usable) AS n_usable, median(flux) FILTER (usable AND i) AS flux_in, median(flux) FILTER (usable AND b) AS flux_base,
   stddev_pop(flux) FILTER (usable AND b) AS scatter, count(flux) FILTER (usable AND i) AS n_in, count(flux) FILTER (usable AND b) AS n_base FROM u GROUP BY target_id),
- h2 AS (SELECT *, flux_base - flux_in AS depth, CASE WHEN n_usable = 0 THEN NULL WHEN scatter > 0 THEN (flux_base - flux_in) / (scatter * sqrt(1 / n_in::DOUBLE + 1 / n_base::DOUBLE)) WHEN flux_base - flux_in <= 0 THEN 0 END AS snr FROM h)
- {sql_rounded('target_id n_events n_usable ~flux_in ~flux_base ~scatter n_in n_base ~depth ~snr', 'h2')}""")
+ hs AS (SELECT target_id, 0.002::DOUBLE * (max(time) - min(time)) / {P} AS drift FROM hd GROUP BY target_id),
+ h2 AS (SELECT *, drift / {D} AS drift_of_duration, flux_base - flux_in AS depth, CASE WHEN n_usable = 0 THEN NULL WHEN scatter > 0 THEN (flux_base - flux_in) / (scatter * sqrt(1 / n_in::DOUBLE + 1 / n_base::DOUBLE)) WHEN flux_base - flux_in <= 0 THEN 0 END AS snr FROM h LEFT JOIN hs USING (target_id))
+ {sql_rounded('target_id n_events n_usable ~flux_in ~flux_base ~scatter n_in n_base ~depth ~snr ~drift ~drift_of_duration', 'h2')}""")
 def holdout(spark, sf_dir):
     kept_back = cleaning.chronological_split(finite_curves(spark, sf_dir), FRACTION).where("not is_training")
-    return rounded(events.holdout(kept_back, E))
+    return rounded(events.holdout(kept_back, E, 0.002))
 
 
 # ------------------------------------------------------------------------------------------------ windows and fits
@@ -357,6 +358,29 @@ def marginal_loglike_events(spark, sf_dir):
     return rounded(residuals.event_log_likelihood(_accepted(spark, sf_dir), "model", 0.01), 4)
 
 
+@query(f"""WITH {FIN}, {_AUDIT}, {_MODEL}, x0 AS (SELECT *, max(abs("offset")) OVER (PARTITION BY target_id, event_number) AS sc FROM accm),
+ x AS (SELECT target_id, event_number, model AS m, CASE WHEN sc > 0 THEN "offset" / sc ELSE 0 END AS x, flux - model AS r, flux_err * flux_err + 0.01 * 0.01 AS v FROM x0),
+ s AS (SELECT target_id, event_number, sum(m * m / v) + 400 AS a, sum(m * m * x / v) AS b, sum(m * m * x * x / v) + 400 AS d, sum(m * r / v) AS p, sum(m * x * r / v) AS q FROM x GROUP BY ALL),
+ y AS (SELECT target_id, event_number, 1 + (p * d - q * b) / (a * d - b * b) AS intercept_mean, (q * a - p * b) / (a * d - b * b) AS slope_mean, sqrt(d / (a * d - b * b)) AS intercept_sd,
+  sqrt(a / (a * d - b * b)) AS slope_sd, -b / (a * d - b * b) AS covariance FROM s) {sql_rounded('target_id event_number ~intercept_mean ~slope_mean ~intercept_sd ~slope_sd ~covariance', 'y')}""")
+def baseline_conditionals(spark, sf_dir):
+    return rounded(residuals.event_conditionals(_accepted(spark, sf_dir), "model", 0.01))
+
+
+@query(f"""WITH {FIN}, {_RES}, d AS (SELECT *, CASE WHEN abs("offset") <= {1.1 * E.duration / 2!r}::DOUBLE THEN 0.9::DOUBLE ELSE 1::DOUBLE END - model AS gap FROM res),
+ y AS (SELECT target_id, max(abs(gap)) AS largest, sqrt(avg(gap * gap)) AS rms, stddev_samp(residual) AS scatter FROM d GROUP BY ALL), z AS (SELECT *, CASE WHEN scatter > 0 THEN largest / scatter END AS of_scatter FROM y)
+ {sql_rounded('target_id ~largest ~rms ~scatter ~of_scatter', 'z')}""")
+def model_convergence(spark, sf_dir):
+    """A box a tenth wider stands for the model of finer samples."""
+    rows = _residuals(spark, sf_dir).withColumn("finer", F.when(F.abs("offset") <= 1.1 * E.duration / 2, 0.9).otherwise(1.0))
+    return rounded(residuals.model_difference(rows, "model", "finer", "residual"))
+
+
+@query(f"WITH {FIN} SELECT target_id, product_id, CASE WHEN count(DISTINCT flux_err) = 1 THEN max(flux_err) END AS flux_err, CASE WHEN count(DISTINCT product_id) = 1 THEN max(product_id) END AS product FROM fin GROUP BY ALL")
+def unique_or_null(spark, sf_dir):
+    return finite_curves(spark, sf_dir).groupBy("target_id", "product_id").agg(recovery.unique_or_null("flux_err").alias("flux_err"), recovery.unique_or_null("product_id").alias("product"))
+
+
 # -------------------------------------------------------------------------------------------------------- snapshots
 @query(f"WITH {FIN}, {_AUDIT} SELECT target_id, count(*) AS n, count(*) FILTER (NOT (isfinite(time) AND isfinite(flux) AND isfinite(flux_err) AND isfinite(center))) AS not_finite, count(*) FILTER (flux_err <= 0) AS not_positive, count(*) FILTER (trim(product_id) = '') AS blank_product, count(*) FILTER (event_number < 0) AS negative_event FROM acc GROUP BY target_id")
 def snapshot_violations(spark, sf_dir):
@@ -425,6 +449,41 @@ def bls_top_candidates(spark, sf_dir):
     return rounded(search.harmonic_families(search.distinct_peaks(search.periodogram(curves, search.period_grid(curves, c), c), c.top)))
 
 
+_COARSE = search.SearchConfig(n_periods=12, max_duration=0.1, n_durations=2, oversample=4)
+_WIDTH = _COARSE.min_duration / _COARSE.oversample
+_LENGTHS = [max(1, round(d / _WIDTH)) for d in _COARSE.durations]
+
+
+@query(f"""WITH {FIN}, {_sql_grid(_COARSE)}, o AS (SELECT target_id, median(flux) AS m, min(time) AS t0, count(*) AS n FROM fin GROUP BY target_id HAVING count(*) > 2),
+ y AS (SELECT fin.target_id, time - t0 AS t, flux - m AS y, n FROM fin JOIN o USING (target_id)), s AS (SELECT target_id, sum(y) AS total, any_value(n) AS n FROM y GROUP BY target_id),
+ g AS (SELECT target_id, period, CAST(ceil(period / {_WIDTH!r}::DOUBLE) AS INTEGER) AS bins FROM grid), b AS (SELECT target_id, period, least(CAST(floor(fmod(t, period) / {_WIDTH!r}::DOUBLE) AS INTEGER), bins - 1) AS at, count(*) AS w, sum(y) AS s FROM y JOIN g USING (target_id) GROUP BY ALL),
+ e AS (SELECT target_id, period, bins, unnest({_LENGTHS}) AS k FROM g), p AS (SELECT e.target_id, e.period, k, ((b.at - j.j) % bins + bins) % bins AS start, w, s FROM e JOIN b USING (target_id, period), LATERAL (SELECT unnest(generate_series(0, k - 1)) AS j) j),
+ q AS (SELECT target_id, period, k, start, sum(w) AS w, sum(s) AS s FROM p GROUP BY ALL), r AS (SELECT q.*, (total - q.s) / (n - w) - q.s / w AS deep FROM q JOIN s USING (target_id) WHERE w < n),
+ z AS (SELECT target_id, period, greatest(max(CASE WHEN deep >= 0 THEN 0.5 * w * deep * deep ELSE 0 END), 0) AS power FROM r GROUP BY ALL) {sql_rounded('target_id ~period ~power', 'z', 4)}""")
+def bls_power(spark, sf_dir):
+    """The power of a coarse search: what the best box at each of twelve periods explains."""
+    curves = finite_curves(spark, sf_dir)
+    return rounded(search.periodogram(curves, search.period_grid(curves, _COARSE), _COARSE).select("target_id", "period", "power"), 4)
+
+
+@query()
+def refined_candidates(spark, sf_dir):
+    """Distinct peaks of a broad search, searched again around their periods."""
+    curves, c = finite_curves(spark, sf_dir), search.SearchConfig(n_periods=60, max_duration=0.4, n_durations=4, top=3, local_cap=150, local_duration_step=0.05)
+    grid = search.period_grid(curves, c)
+    scan = search.periodogram(curves, grid, c)
+    step = grid.join(grid.select("target_id", (F.col("k") + 1).alias("k"), F.col("period").alias("before")), ["target_id", "k"], "left").select("target_id", "period", F.abs(F.col("period") - F.coalesce("before", "period")).alias("step"))
+    peaks = search.distinct_peaks(scan, c.top).select("target_id", "rank", "period")
+    return rounded(search.refine(curves, peaks.join(scan, ["target_id", "period"]).join(step, ["target_id", "period"]), c))
+
+
+@query()
+def alias_diagnostics(spark, sf_dir):
+    """Boxes at half, once and twice the period of the known dip."""
+    curves, c = finite_curves(spark, sf_dir), search.SearchConfig(max_duration=0.4, local_duration_step=0.05)
+    return rounded(search.aliases(curves, curves.select("target_id").distinct().withColumn("period", F.lit(E.period)), c))
+
+
 def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders of a customer stand for the peaks of a target."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -524,6 +583,42 @@ def ensemble_agreement(spark, sf_dir):
     return rounded(posterior.agreement(_draws(spark, sf_dir)))
 
 
+@query(f"""WITH {_CHAIN}, {_sql_summary('parameter')}, t AS (SELECT unnest(['log_rp', 'log_a', 'z_b']) AS parameter, unnest([3.0::DOUBLE, 0.2::DOUBLE, 0.0::DOUBLE]) AS injected),
+ x AS (SELECT parameter, injected, median, q84 - q16 AS width_68, q97_5 - q02_5 AS width_95, injected BETWEEN q16 AND q84 AS inside_68, injected BETWEEN q02_5 AND q97_5 AS inside_95 FROM su JOIN t USING (parameter))
+ {sql_rounded('parameter injected ~median ~width_68 ~width_95 inside_68 inside_95', 'x')}""")
+def truth_coverage(spark, sf_dir):
+    truth = spark.createDataFrame(list(zip(_PARAMETERS, (3.0, 0.2, 0.0))), "parameter string, injected double")
+    return rounded(posterior.truth_coverage(posterior.summary(_draws(spark, sf_dir)), truth))
+
+
+@query(f"""WITH {_CHAIN}, l AS (SELECT -log_a AS v FROM ch), m AS (SELECT max(v) AS best FROM l), d AS (SELECT unnest([1.0::DOUBLE, 2.0::DOUBLE, 5.0::DOUBLE, 10.0::DOUBLE]) AS distance),
+ x AS (SELECT distance, avg(CASE WHEN v >= best - distance THEN 1.0 ELSE 0.0 END) AS fraction FROM l, m, d GROUP BY ALL) {sql_rounded('distance ~fraction', 'x')}""")
+def near_best_fractions(spark, sf_dir):
+    """The negative price of a line stands for the log probability of a draw."""
+    return rounded(posterior.near_best(_chain(spark, sf_dir).select((-F.col("log_a")).alias("value"))))
+
+
+@query(f"""WITH {_CHAIN}, e AS (SELECT parameter, min(value) AS low, max(value) AS high FROM dr GROUP BY ALL)
+ SELECT parameter, CAST(least(floor((value - low) / (high - low) * 30), 29) AS INTEGER) AS bin, count(*) AS n FROM dr JOIN e USING (parameter) GROUP BY ALL""")
+def posterior_histogram(spark, sf_dir):
+    return posterior.histogram(_draws(spark, sf_dir))
+
+
+@query(f"""WITH {_CHAIN}, x AS ({' UNION ALL '.join(f"SELECT '{x}' AS x, '{y}' AS y, corr({x}, {y}) AS correlation FROM ch" for i, x in enumerate(_PARAMETERS) for y in _PARAMETERS[i:])}) {sql_rounded('x y ~correlation', 'x')}""")
+def posterior_correlation(spark, sf_dir):
+    return rounded(posterior.correlations(_chain(spark, sf_dir), _PARAMETERS))
+
+
+@query()
+def convergence_criteria(spark, sf_dir):
+    """The eleven conditions on the draws of four ensembles."""
+    draws = _draws(spark, sf_dir)
+    grown = draws.withColumn("chunk", F.explode(F.array(*map(F.lit, range(1, 5))))).where("ensemble < chunk").withColumn("steps", F.col("chunk") * 100)
+    stable = posterior.stability(posterior.summary(grown, "steps"))
+    finite_ = _chain(spark, sf_dir).select(finite("log_a").alias("is_finite"))
+    return posterior.criteria(posterior.split_rhat(draws), sampling.effective_sizes(draws), stable, posterior.agreement(draws), finite_, _PARAMETERS, 1000)
+
+
 # ---------------------------------------------------------------------------------------------------------- scalars
 @query("""WITH p AS (SELECT p_partkey, p_size / 50.0::DOUBLE AS q1, (p_partkey % 100) / 100.0::DOUBLE AS q2 FROM part), u AS (SELECT *, 2 * sqrt(q1) * q2 AS u1, sqrt(q1) * (1 - 2 * q2) AS u2 FROM p)
  SELECT p_partkey, round(u1, 6) AS u1, round(u2, 6) AS u2, round((u1 + u2) * (u1 + u2), 6) AS q1, round(CASE WHEN u1 + u2 > 0 THEN u1 / (2 * (u1 + u2)) END, 6) AS q2 FROM u""")

@@ -61,8 +61,11 @@ def odd_even(events: DataFrame) -> DataFrame:
     return df.withColumn("trigger", F.coalesce(trigger, F.lit("none")))
 
 
-def holdout(cadences: DataFrame, e: Ephemeris) -> DataFrame:
-    """Per target, the dip in cadences that were kept back, pooled over usable events; cadences of two events count twice."""
+def holdout(cadences: DataFrame, e: Ephemeris, step: float = 0.0) -> DataFrame:
+    """Per target, the dip in cadences that were kept back, pooled over usable events; cadences of two events count twice.
+
+    step: how far the period may be off; drift is what that adds up to over the time kept back.
+    """
     df = windows(cadences, e, OUTER * e.duration)
     inside, base = _sides(e)
     own = W.partitionBy("target_id", "cycle")
@@ -74,4 +77,7 @@ def holdout(cadences: DataFrame, e: Ephemeris) -> DataFrame:
         F.stddev_pop(b).alias("scatter"), F.count(i).alias("n_in"), F.count(b).alias("n_base"),
     )
     out = out.withColumn("depth", F.col("flux_base") - F.col("flux_in"))
+    span = cadences.groupBy("target_id").agg((F.max("time") - F.min("time")).alias("_span"))
+    out = out.join(span, "target_id", "left").withColumn("drift", F.abs(F.lit(step)) * F.col("_span") / e.period).drop("_span")
+    out = out.withColumn("drift_of_duration", F.col("drift") / e.duration)
     return out.withColumn("snr", F.when(F.col("n_usable") > 0, snr(F.col("depth"), F.col("scatter"), F.nullif(F.col("n_in"), F.lit(0)), F.nullif(F.col("n_base"), F.lit(0)))))

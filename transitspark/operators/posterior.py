@@ -60,3 +60,62 @@ def agreement(draws: DataFrame) -> DataFrame:
     least = F.greatest(F.least(F.col("e.q84") - F.col("e.q16"), F.col("c.q84") - F.col("c.q16")), F.lit(1e-12))
     df = df.select("parameter", "ensemble", (F.abs(F.col("e.median") - F.col("c.median")) / scale).alias("shift"), (width / least).alias("overlap"))
     return df.withColumn("agrees", (F.col("shift") <= SHIFT) & (F.col("overlap") >= OVERLAP))
+
+
+def truth_coverage(summaries: DataFrame, truth: DataFrame) -> DataFrame:
+    """summaries(parameter, quantiles) against truth(parameter, injected): widths, and whether the intervals hold it."""
+    df = summaries.join(truth, "parameter")
+    inside = lambda low, high: F.col("injected").between(F.col(low), F.col(high))
+    return df.select(
+        "parameter", "injected", "median", (F.col("q84") - F.col("q16")).alias("width_68"), (F.col("q97_5") - F.col("q02_5")).alias("width_95"),
+        inside("q16", "q84").alias("inside_68"), inside("q02_5", "q97_5").alias("inside_95"),
+    )
+
+
+def near_best(log_prob: DataFrame, distances: tuple[float, ...] = (1.0, 2.0, 5.0, 10.0)) -> DataFrame:
+    """(distance, fraction) of log_prob(value): the share of finite values that lie so near the best; 0 without any."""
+    ok = log_prob.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    best = ok.agg(F.max("value").alias("best"))  # one row
+    near = ok.crossJoin(F.broadcast(best)).select(*(F.avg((F.col("value") >= F.col("best") - d).cast("double")).alias(f"d{k}") for k, d in enumerate(distances)))
+    pairs = F.array(*(F.struct(F.lit(d).alias("distance"), F.coalesce(F.col(f"d{k}"), F.lit(0.0)).alias("fraction")) for k, d in enumerate(distances)))
+    return near.select(F.explode(pairs).alias("x")).select("x.*")
+
+
+def histogram(draws: DataFrame, bins: int = 30) -> DataFrame:
+    """(parameter, bin, n) in equal bins from the least to the greatest value, the last one closed; empty bins are left out."""
+    edges = draws.groupBy("parameter").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    df = draws.join(F.broadcast(edges), "parameter")
+    at = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))).otherwise(F.lit(bins // 2))
+    return df.groupBy("parameter", at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def correlations(chain: DataFrame, parameters: list[str]) -> DataFrame:
+    """(x, y, correlation) of every two parameters, in one aggregate over the chain."""
+    pairs = [(x, y) for i, x in enumerate(parameters) for y in parameters[i:]]
+    one = chain.agg(*(F.corr(x, y).alias(f"{x}~{y}") for x, y in pairs))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"`{x}~{y}`").alias("correlation")) for x, y in pairs))).alias("p")).select("p.*")
+
+
+def criteria(rhat: DataFrame, sizes: DataFrame, stable: DataFrame, agrees: DataFrame, finite: DataFrame, parameters: list[str], steps: int, most_rhat: float = 1.01, least_size: float = 1000.0, times: float = 50.0) -> DataFrame:
+    """(criterion, holds): the eleven conditions of a converged chain, each a row; a chain has converged if all hold.
+
+    rhat(parameter, rhat), sizes(parameter, ess, tail_ess, tau), stable(stable) and agrees(agrees) as made above;
+    finite(is_finite) has a row for each draw. A measure that lacks or is not finite for a parameter is incomplete, and
+    none of the conditions on it holds.
+    """
+    n = len(parameters)
+    known = F.col("parameter").isin(parameters)
+    usable = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    count = lambda cond: F.count_if(known & F.coalesce(cond, F.lit(False))) == n
+    r = rhat.agg(count(usable("rhat")).alias("complete_valid_rhat"), count(usable("rhat") & (F.col("rhat") < most_rhat)).alias("rhat_all_below_threshold"))
+    s = sizes.agg(
+        count(usable("ess")).alias("complete_valid_bulk_ess"), count(usable("tail_ess")).alias("complete_valid_tail_ess"), count(usable("ess") & (F.col("ess") >= least_size)).alias("ess_all_above_minimum"),
+        count(usable("tail_ess") & (F.col("tail_ess") >= least_size)).alias("tail_ess_all_above_minimum"), count(usable("tau")).alias("complete_valid_autocorrelation"),
+        count(usable("tau") & (F.lit(steps) > times * F.col("tau"))).alias("chain_length_exceeds_tau_multiple"),
+    )
+    all_of = lambda df, c, name: df.agg(F.coalesce(F.every(F.coalesce(F.col(c), F.lit(False))), F.lit(False)).alias(name))
+    ends = [all_of(stable, "stable", "posterior_summary_stability"), all_of(agrees, "agrees", "independent_ensemble_agreement"), all_of(finite, "is_finite", "finite_log_probability_fraction_is_one")]
+    one = r.crossJoin(s)  # rows of one aggregate each
+    for e in ends:
+        one = one.crossJoin(e)
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("criterion"), F.col(c).alias("holds")) for c in one.columns))).alias("x")).select("x.*")

@@ -30,6 +30,11 @@ def _depths(df: DataFrame, value: str, inside: Column, outside: Column, *by: str
     return stats.withColumn("snr", snr(F.col("depth"), F.col("scatter_out"), F.col("n_in"), F.col("n_out")))
 
 
+def unique_or_null(column: str) -> Column:
+    """The value of a group that has just one, else null; nulls don't count."""
+    return F.when(F.count_distinct(column) == 1, F.max(column))
+
+
 def known_signal(cadences: DataFrame, e: Ephemeris, scale: float = 1.0) -> DataFrame:
     """Per target, the dip at a known period: medians inside and outside its window. Targets without both are left out."""
     inside = in_window(F.col("time"), e, scale)

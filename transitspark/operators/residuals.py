@@ -52,19 +52,42 @@ def binned_scatter(residuals: DataFrame, sizes: tuple[int, ...] = (1, 2, 4, 8, 1
     return out.join(base, "target_id").select("target_id", "size", "n_blocks", "rms", (F.col("base") / F.sqrt("size")).alias("expected"))
 
 
-def event_log_likelihood(accepted: DataFrame, model: str, jitter: float, sigma0: float = 0.05, sigma1: float = 0.05) -> DataFrame:
-    """Per event, the log likelihood with the line's two coefficients (prior means 1 and 0) integrated out in closed
-    form: sums per event and a 2 x 2 determinant, no loop over cadences."""
+def _line_sums(accepted: DataFrame, model: str, jitter: float, sigma0: float, sigma1: float) -> DataFrame:
+    """Per event, the precision matrix (a b, b d) of the line's coefficients with their priors, and what else of the
+    likelihood is a sum."""
     own = W.partitionBy("target_id", "event_number")
     scale = F.max(F.abs("offset")).over(own)
     df = accepted.withColumn("_x", F.when(scale > 0, F.col("offset") / scale).otherwise(0.0))
     v, m, x, r = F.pow(F.col("flux_err"), 2) + jitter**2, F.col(model), F.col("_x"), F.col("flux") - F.col(model)
-    s = df.groupBy("target_id", "event_number").agg(
-        F.sum(m * m / v).alias("a"), F.sum(m * m * x / v).alias("b"), F.sum(m * m * x * x / v).alias("d"), F.sum(m * r / v).alias("p"), F.sum(m * x * r / v).alias("q"),
+    return df.groupBy("target_id", "event_number").agg(
+        (F.sum(m * m / v) + 1 / sigma0**2).alias("a"), F.sum(m * m * x / v).alias("b"), (F.sum(m * m * x * x / v) + 1 / sigma1**2).alias("d"), F.sum(m * r / v).alias("p"), F.sum(m * x * r / v).alias("q"),
         F.sum(r * r / v).alias("rr"), F.sum(F.log(v)).alias("logs"), F.count("*").alias("n"),
-    )
-    a, d, b = F.col("a") + 1 / sigma0**2, F.col("d") + 1 / sigma1**2, F.col("b")
-    det = a * d - b * b
+    ).withColumn("det", F.col("a") * F.col("d") - F.col("b") * F.col("b"))
+
+
+def event_log_likelihood(accepted: DataFrame, model: str, jitter: float, sigma0: float = 0.05, sigma1: float = 0.05) -> DataFrame:
+    """Per event, the log likelihood with the line's two coefficients (prior means 1 and 0) integrated out in closed
+    form: sums per event and a 2 x 2 determinant, no loop over cadences."""
+    s = _line_sums(accepted, model, jitter, sigma0, sigma1)
+    a, b, d, det = (F.col(c) for c in ("a", "b", "d", "det"))
     quad = F.col("rr") - (F.col("p") ** 2 * d - 2 * F.col("p") * F.col("q") * b + F.col("q") ** 2 * a) / det
     total = quad + F.col("logs") + F.log(F.lit(sigma0**2 * sigma1**2)) + F.log(det) + F.col("n") * F.log(F.lit(2.0) * F.pi())
     return s.select("target_id", "event_number", "n", (-0.5 * total).alias("log_likelihood"))
+
+
+def event_conditionals(accepted: DataFrame, model: str, jitter: float, sigma0: float = 0.05, sigma1: float = 0.05) -> DataFrame:
+    """Per event, mean, deviation and covariance of the line's two coefficients, given model and data."""
+    s = _line_sums(accepted, model, jitter, sigma0, sigma1)
+    a, b, d, p, q, det = (F.col(c) for c in ("a", "b", "d", "p", "q", "det"))
+    return s.select(
+        "target_id", "event_number", (1 + (p * d - q * b) / det).alias("intercept_mean"), ((q * a - p * b) / det).alias("slope_mean"),
+        F.sqrt(d / det).alias("intercept_sd"), F.sqrt(a / det).alias("slope_sd"), (-b / det).alias("covariance"),
+    )
+
+
+def model_difference(rows: DataFrame, one: str, other: str, residual: str) -> DataFrame:
+    """Per target, how far two model columns are apart, and as a share of the scatter of a residual column: whether a
+    model is sampled finely enough."""
+    gap = F.col(other) - F.col(one)
+    s = rows.groupBy("target_id").agg(F.max(F.abs(gap)).alias("largest"), F.sqrt(F.avg(gap * gap)).alias("rms"), F.stddev_samp(residual).alias("scatter"))
+    return s.withColumn("of_scatter", F.when(F.col("scatter") > 0, F.col("largest") / F.col("scatter")))
