@@ -5,8 +5,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,13 @@ def forget_others(name: str = "", forget: Callable[[], None] | None = None) -> N
         _kept[name] = forget
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows each, so that a worker holds few texts as Python objects at a time."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def crc_of_id(column: str) -> Column:
     """crc32 of an id written as text: the folds of the labelled rows are its remainders."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

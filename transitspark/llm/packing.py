@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import sliced, staged, table
 from .token_files import tokenizer_path
 from .tokens import tokenizer
 
@@ -96,7 +96,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = LENGTH, end_id: i
             at, held = at + len(out), []
             return out
 
-        for b in batches:
+        for b in sliced(batches):
             keys = b.column("doc_id").to_pylist()
             for key, ids in zip(keys, own.encode([t or "" for t in b.column("text").to_pylist()])):
                 ids += end

@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, forget_others, labelled_sample, table
+from .common import crc_of_id, forget_others, labelled_sample, sliced, table
 
 BUCKETS, WIDTH, EPOCHS, RATE, SEED = 1 << 16, 12, 10, 0.5, 7
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 4_000
 NGRAMS = (2, 3, 4)
 #: Words that a worker remembers at most.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def features(word: bytes, buckets: int = BUCKETS) -> list[int]:
@@ -136,7 +136,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, column: str = "sco
         forget_others()
         w, b0 = model.value
         own = Scorer(w.astype("f8"), b0)
-        for b in batches:
+        for b in sliced(batches):
             yield b.append_column(column, pa.array([own.score(t or "") for t in b.column("text").to_pylist()], pa.float64()))
 
     from pyspark.sql.types import DoubleType, StructField, StructType

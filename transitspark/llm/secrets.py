@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import Automaton
-from .common import table
+from .common import sliced, table
 
 
 @dataclass(frozen=True)
@@ -193,7 +193,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
+        for b in sliced(batches, 2000):
             found = own.code_point_spans([t or "" for t in b.column("text").to_pylist()])
             rows = [[{"kind": own.kinds[r], "start": s, "end": e} for s, e, r in x] for x in found]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, kind)], ["doc_id", "secrets"])
@@ -206,7 +206,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scanner(rules)
-        for b in batches:
+        for b in sliced(batches, 2000):
             texts = b.column("text").to_pylist()
             for k, found in enumerate(own.code_point_spans([t or "" for t in texts])):
                 if found:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HUB, components, forget_others, staged, table, with_least
+from .common import HUB, components, forget_others, sliced, staged, table, with_least
 from .linking import members, unite
 
 WORDS, SEED, BUDGET = 3, 42, 2
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
     """(doc_id, fp): a null or wordless text has fingerprint 0; fp is the 64 bits as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fp = np.array([fingerprint(t or "", words, seed) for t in b.column("text").to_pylist()], "u8")
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view("i8"))], ["doc_id", "fp"])
 
@@ -274,12 +274,10 @@ def _sets(keys: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, id, hashes) of the classes of keys(key): their texts are read again, and made shingles once more."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 200):
-                b = whole.slice(at, 200)
-                hashes = [shingle_hashes(t or "") for t in b.column("text").to_pylist()]
-                own = pa.array([set_key(h) == k for h, k in zip(hashes, b.column("key").to_pylist())], pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array([h.view("i8") for h in hashes], pa.list_(pa.int64()))], ["key", "id", "hashes"]).filter(own)
+        for b in sliced(batches, 200):
+            hashes = [shingle_hashes(t or "") for t in b.column("text").to_pylist()]
+            own = pa.array([set_key(h) == k for h, k in zip(hashes, b.column("key").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array([h.view("i8") for h in hashes], pa.list_(pa.int64()))], ["key", "id", "hashes"]).filter(own)
 
     texts = docs.join(keys.join(classes.select("key", "id"), "key"), F.col("doc_id") == F.col("id")).select("key", "id", "text")
     return staged(texts.mapInArrow(sets, "key long, id long, hashes array<long>").dropDuplicates(["key"]))
@@ -403,14 +401,12 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, whole: int = WH
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others()
-        for whole_batch in batches:
-            for at in range(0, len(whole_batch), 500):
-                b = whole_batch.slice(at, 500)
-                hashes = [shingle_hashes(t or "") for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([
-                    b.column("doc_id"), pa.array([set_key(h) for h in hashes], pa.int64()), pa.array([len(h) for h in hashes], pa.int32()),
-                    pa.array([wide_fingerprint(h).view("i8") for h in hashes], pa.list_(pa.int64())), pa.array([bands(h).view("i8") for h in hashes], pa.list_(pa.int64())),
-                ], ["doc_id", "key", "n", "wide", "bands"])
+        for b in sliced(batches):
+            hashes = [shingle_hashes(t or "") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                b.column("doc_id"), pa.array([set_key(h) for h in hashes], pa.int64()), pa.array([len(h) for h in hashes], pa.int32()),
+                pa.array([wide_fingerprint(h).view("i8") for h in hashes], pa.list_(pa.int64())), pa.array([bands(h).view("i8") for h in hashes], pa.list_(pa.int64())),
+            ], ["doc_id", "key", "n", "wide", "bands"])
 
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     own = staged(docs.mapInArrow(each, "doc_id long, key long, n int, wide array<long>, bands array<long>"))

@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, staged, table
+from .common import shared_folder, sliced, staged, table
 from .tokens import tokenizer
 
 END_ID = 1
@@ -51,7 +51,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
     """Encodes every text of docs(doc_id, text) in ascending doc_id order and writes the shards and the manifest.
 
     Null texts count as empty: they have the end id alone. Null doc_ids are left out, for they have no place in the
-    order; of equal doc_ids each row is written. Documents are dealt by ranges of doc_id, one shard a task. A task
+    order; of equal doc_ids each row is written, in order of text. Documents are dealt by ranges of doc_id, one shard a task. A task
     writes files under a name of its own, so a task that is run again leaves stray files but no wrong ones; only
     those of the task that Spark accepted enter the manifest. Returns (shard, base, docs, ids).
     """
@@ -64,9 +64,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
         end = np.array([end_id], "<u4").tobytes()
         with fs.open_output_stream(f"{base}/{name}.ids") as ids, fs.open_output_stream(f"{base}/{name}.docs") as doc, fs.open_output_stream(f"{base}/{name}.offsets") as off:
             off.write(np.zeros(1, "<u8").tobytes())
-            for b in batches:
-                if not len(b):
-                    continue
+            for b in sliced(batches):
                 parts = [x + end for x in own.encode([t or "" for t in b.column("text").to_pylist()])]
                 flat = np.frombuffer(b"".join(parts), "<u4")
                 if len(flat) and flat.max() >= 1 << 8 * id_bytes:
@@ -81,7 +79,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
         if n_docs:
             yield pa.RecordBatch.from_pylist([{"shard": name, "first": first, "docs": n_docs, "ids": n_ids}])
 
-    ordered = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shards = staged(ordered.mapInArrow(write, "shard string, first long, docs long, ids long"))
     rows = sorted(shards.collect(), key=lambda r: r["first"])  # one row a task
     base, listed = 0, []

@@ -19,7 +19,7 @@ OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2
 #: What str.split() takes for white space and the tokenizer files don't; fixed values.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: Words that a worker remembers at most; beyond that it forgets them all and starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Characters of a word beyond which it is encoded each time.
 LONGEST = 64
 

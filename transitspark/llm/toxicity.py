@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_of_id, forget_others, labelled_sample, table
+from .common import crc_of_id, forget_others, labelled_sample, sliced, table
 
 BUCKETS = 1 << 19
 #: Labelled rows that the voters, the label model and the classifier are fitted on, at most, and unlabelled ones.
@@ -31,7 +31,7 @@ SAMPLE, UNLABELLED = 6_000, 3_000
 #: Lengths of the word beginnings that count as terms besides whole words.
 BEGINNINGS = (4, 5, 6, 7)
 LISTS, EPOCHS, RATE, SHRINK, SEED = 16, 20, 0.3, 2e-5, 11
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: How strong a mined term must be: rows it marks times log odds; chance alone gives few above this.
 STRENGTH = 16.0
 #: Voters on how many listed terms a text has, and on their share of its terms: clean below the first, toxic from the second on.
@@ -241,7 +241,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, column: str = "sco
         full = np.zeros(n)
         full[at] = w
         own = Scorer(full, b0)
-        for b in batches:
+        for b in sliced(batches):
             yield b.append_column(column, pa.array([own.score(t or "") for t in b.column("text").to_pylist()], pa.float64()))
 
     return docs.mapInArrow(each, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
