@@ -477,6 +477,28 @@ def test_edited_texts_and_likeness(spark, sf):
             assert got[i]["near_next"] == 1
 
 
+def test_fingerprints_and_likeness_are_those_of_the_definition(spark, sf):
+    """Fingerprints by plain loops over the same hashes of units and runs; likeness from the hexadecimal digits."""
+    got = {r["doc_id"]: r for r in registry.QUERIES["op6_document_fingerprints"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.transform(syncmers.units(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).collect()}
+    runs = {i: [h[k : k + 8] for k in range(len(h) - 7) if min(h[k : k + 8]) in (h[k], h[k + 7])] if len(h) >= 8 else [h] * bool(h) for i, h in hashes.items()}
+    rows = [(i, k, r) for i, own in runs.items() for k, r in enumerate(own)]
+    named = spark.createDataFrame(rows, "doc_id long, k int, r array<long>").select("doc_id", F.xxhash64("r").alias("x")).collect()
+    sets = {i: set() for i in hashes}
+    for r in named:
+        sets[r["doc_id"]].add((r["x"] & (1 << 64) - 1) >> 32)
+    sketch = {i: sorted(x)[: syncmers.SKETCH] for i, x in sets.items()}
+    parse = lambda t: [int(t[k : k + 8], 16) for k in range(0, len(t), 8)]
+    ids = sorted(hashes)
+    for i, after in zip(ids, [*ids[1:], ids[0]]):
+        assert parse(got[i]["fingerprint"]) == sketch[i]
+        for name, other in (("near_edited", parse(got[i]["edited_fingerprint"])), ("near_next", sketch[after])):
+            both = sorted(set(sketch[i]) | set(other))[: syncmers.SKETCH]
+            common = len(set(both) & set(sketch[i]) & set(other))
+            assert got[i][name] == pytest.approx(common / len(both) if both else 1.0)
+
+
 def test_chosen_runs_are_closed_syncmers(spark):
     rng = np.random.default_rng(6)
     text = " ".join(f"word{k}" for k in rng.integers(0, 60, 300))

@@ -162,6 +162,7 @@ def placed(sequences: DataFrame) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per piece of a document: its sequence and the place in it. Null and empty texts are the end id alone."""
     return placed(pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -145,6 +145,8 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, column: str = "sco
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: whether its labels are held out, its score, and whether that is 0.3 or more. A null text
+    scores as an empty one."""
     docs, fold = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), crc_of_id("doc_id") % 5
     model = fit(docs, table(spark, sf_dir, "labels"), "quality", fold != 0)
     return scored(docs, *model).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -106,9 +106,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     ascending doc_id; after the last comes the first. Null texts are empty. Null doc_ids have no place in the order and
     are left out; rows that share a doc_id follow each other by text.
 
-    Texts are shuffled once, by runs of RUN ids, which hold RUN documents at most. A window over a run gives each
-    document the next one; only the last of a run gets it from the first of the next run, by a join on the run, which
-    keeps the partitioning.
+    Texts are shuffled by runs of RUN ids, which hold RUN documents at most where ids are unique (rows that share an id
+    share a run). A window over a run gives each document the next one; only the last of a run gets it from the first
+    of the next run, by a join on the run, for which texts are shuffled and fingerprinted a second time.
     """
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("run", F.floor(F.col("doc_id") / RUN))
@@ -127,6 +127,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents with a doc_id: fingerprints of its text and of its edited text, and how alike the first is
+    to the second and to that of the next document. Null texts are empty; two empty texts are wholly alike."""
     got = edited_fingerprints(table(spark, sf_dir, "documents"))
     return got.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), text_of(F.col("fingerprint")).alias("fingerprint"), text_of(F.col("edited_fingerprint")).alias("edited_fingerprint"),

@@ -124,6 +124,8 @@ def _read(spark: SparkSession, folder: str, with_ids: bool) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents with a doc_id, read back from the files: where its ids begin, how many, and their crc32.
+    Null and empty texts have the end id alone."""
     folder = shared_folder(spark)
     write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"))
     return _read(spark, folder, with_ids=False)

@@ -306,12 +306,15 @@ def write_pages(pages: DataFrame, folder: str, least: int = 0) -> None:
 
 
 def read_archives(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
+    """The records of a folder of archives; turns on, for the session, that filters are pushed into Python sources."""
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").option("payload", str(payload).lower()).load(folder)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of pages with a page_id, what its record in the archives says: length and digest of the payload, its
+    type, and what a revisit refers to. A null html is an empty payload; no pages give no rows."""
     folder = shared_folder(spark)
     write_pages(table(spark, sf_dir, "pages"), folder)
     got = read_archives(spark, folder)
