@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: five stages, each written and read again before the next one.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs. All but the last return the columns of docs, in
-their order and whatever they are; only doc_id and text are looked at. An empty table goes through as one.
+their order and whatever they are; only doc_id and text are looked at. An empty table goes through as one. Null texts
+are empty ones to every stage: scores are those of an empty text, and all of them are copies of each other.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ TOXIC, POOR = 0.7, 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC; learns from the labelled rows that the query learns from."""
+    """Documents whose toxicity score is below TOXIC; learns from the rows that the query learns from. A null text scores
+    as an empty one."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", crc_of_id("doc_id") % 3 != 1)
     return toxicity.scored(docs, *model, column="_toxicity").where(F.col("_toxicity") < TOXIC).select(docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is POOR or more."""
+    """Documents whose quality score is POOR or more. A null text scores as an empty one."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", crc_of_id("doc_id") % 5 != 0)
     return quality.scored(docs, *model, column="_quality").where(F.col("_quality") >= POOR).select(docs.columns)
 

@@ -194,6 +194,29 @@ def test_fit_recovers_the_planet(spark):
     assert abs(r["rp"] - 0.1) < 0.025 and abs(r["a"] - 9.0) < 1.5
 
 
+def test_exposures_differ_by_cadence(spark):
+    """Short and long cadences of one target: with each one's own exposure the planet is found, with one for all it isn't as well."""
+    timing, theta = transit.Timing(3.0, 1.0), np.array([0.1, 9.0, 0.3, 0.36, 1 / 3])
+    t = np.concatenate([1 + 3 * k + np.linspace(-0.25, 0.25, 60) for k in range(4)])
+    long = np.where(np.arange(len(t)) % 2 == 0, 0.002, 0.06)
+    y = transit.model_flux(t, long, theta, timing)
+    assert np.allclose(y[::2], transit.model_flux(t[::2], 0.002, theta, timing))
+    pdf = pd.DataFrame({"target_id": 1, "cadence_id": np.arange(len(t)), "time": t, "flux": y, "flux_err": 1e-4, "event_number": np.repeat(np.arange(4), 60), "offset": np.tile(np.linspace(-0.25, 0.25, 60), 4), "exposure": long})
+    df = spark.createDataFrame(pdf)
+    own = transit.fit_targets(df, timing, 0.11, 0.02, n_starts=2).first()
+    one = transit.fit_targets(df.drop("exposure"), timing, 0.11, 0.02, n_starts=2).first()
+    assert abs(own["rp"] - 0.1) < 0.005 and own["objective"] < one["objective"]
+    parts = transit.stability_fits(df.withColumn("quarter", F.lit("q1")), timing, 0.11, 0.02, "quarter", n_starts=1)
+    assert {r["subset"] for r in parts.collect()} == {"first_half", "second_half", "q1"}
+
+
+def test_warnings_on_starts(spark):
+    rows = [(1, 0, 0.1, 9.0, 0.3, 0.3, 0.3, 0.0, 10.0, 50, ""), (1, 1, 0.13, 9.0, 0.3, 0.3, 0.3, 0.0, 11.5, 50, ""), (2, 0, 0.1, 9.0, 0.0, 0.3, 0.3, 0.0, 10.0, 50, "b_lower"), (2, 1, 0.2, 9.0, 0.3, 0.3, 0.3, 0.0, 13.0, 50, "")]
+    each = spark.createDataFrame(rows, "target_id long, start int, rp double, a double, b double, q1 double, q2 double, jitter double, objective double, n long, boundary_hits string")
+    got = {r["target_id"]: r["warnings"] for r in transit.best_fits(each).collect()}
+    assert got == {1: "materially_different_near_equal_multistart_solutions", 2: "one_or_more_optimizer_solutions_hit_bounds"}
+
+
 def test_exposure_sampling_converges():
     timing = transit.Timing(5.0, 1.0)
     t, theta = np.arange(0.8, 1.2, 0.005), np.array([0.1, 9.0, 0.35, 0.36, 1 / 3])

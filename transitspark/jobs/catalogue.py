@@ -120,6 +120,17 @@ def normalize_global(spark, sf_dir):
     return rounded(cleaning.normalize(finite_curves(spark, sf_dir), "target_id").select("cadence_id", "flux_norm"))
 
 
+@query(f"""WITH {CAD}, c AS (SELECT * EXCLUDE (flux_err), CASE WHEN cadence_id % 5 = 0 THEN CAST('nan' AS DOUBLE) WHEN cadence_id % 7 = 0 THEN -1.0 ELSE flux_err END AS flux_err FROM cad),
+ f AS (SELECT target_id, product_id, median(flux_err) FILTER (isfinite(flux_err) AND flux_err > 0) AS fill FROM c GROUP BY ALL),
+ r AS (SELECT c.target_id, c.product_id, cadence_id, flux, CASE WHEN isfinite(flux_err) AND flux_err > 0 THEN flux_err ELSE coalesce(fill, 1) END AS err FROM c JOIN f USING (target_id, product_id) WHERE isfinite(time) AND isfinite(flux)),
+ m AS (SELECT target_id, product_id, CASE WHEN median(flux) = 0 THEN 1 ELSE median(flux) END AS m FROM r GROUP BY ALL), n AS (SELECT r.target_id, cadence_id, flux / m AS flux, err / abs(m) AS err FROM r JOIN m USING (target_id, product_id)),
+ t AS (SELECT target_id, CASE WHEN median(flux) = 0 THEN 1 ELSE median(flux) END AS m FROM n GROUP BY ALL), x AS (SELECT cadence_id, flux / m AS flux, err / abs(m) AS flux_err FROM n JOIN t USING (target_id)) {sql_rounded('cadence_id ~flux ~flux_err', 'x')}""")
+def observation_building(spark, sf_dir):
+    """Errors of every fifth cadence are missing and those of every seventh negative first, so that there is something to repair."""
+    broken = F.when(F.col("cadence_id") % 5 == 0, float("nan")).when(F.col("cadence_id") % 7 == 0, -1.0).otherwise(F.col("flux_err"))
+    return rounded(cleaning.observations(from_events(spark, sf_dir).withColumn("flux_err", broken)).select("cadence_id", "flux", "flux_err"))
+
+
 def _clip_query(mode: str):
     def f(spark, sf_dir):
         return cleaning.clip(from_events(spark, sf_dir), mode, SIGMA, E).select("cadence_id", "is_finite", "is_clipped", "is_retained")
@@ -669,6 +680,12 @@ def transit_fit(spark, sf_dir):
     return rounded(transit.fit_targets(_injected(spark, sf_dir), _TIMING, E.duration, _EXPOSURE, n_starts=2), 4)
 
 
+@query()
+def fit_stability(spark, sf_dir):
+    """Fits of halves of the time and of each product."""
+    return rounded(transit.stability_fits(_injected(spark, sf_dir), _TIMING, E.duration, _EXPOSURE, "product_id", n_starts=1), 4)
+
+
 @query()
 def posterior_sampling(spark, sf_dir):
     """Eight steps of two small ensembles per target around the injected transit, and what they say of each parameter."""

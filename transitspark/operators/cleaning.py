@@ -87,3 +87,27 @@ def split_summary(split: DataFrame) -> DataFrame:
         after.alias("holdout_min"), F.max(F.when(~train, F.col("time"))).alias("holdout_max"),
         F.count_if(train).alias("training_count"), F.count_if(~train).alias("holdout_count"), (after - before).alias("gap_across_split"),
     )
+
+
+def repaired_errors(cadences: DataFrame, *by: str) -> DataFrame:
+    """cadences whose flux_err is that of the median of usable ones over the columns `by` where it is null, not finite
+    or not positive; 1 where none is usable."""
+    good = finite("flux_err") & (F.col("flux_err") > 0)
+    fill = F.median(F.when(good, F.col("flux_err"))).over(W.partitionBy(*by))
+    return cadences.withColumn("flux_err", F.when(good, F.col("flux_err")).otherwise(F.coalesce(fill, F.lit(1.0))))
+
+
+def scaled(cadences: DataFrame, *by: str) -> DataFrame:
+    """cadences with flux over its median over the columns `by`, and flux_err over the size of that; a median that is
+    null or zero leaves both as they are."""
+    median = F.median("flux").over(W.partitionBy(*by))
+    scale = F.when(finite("_scale") & (F.col("_scale") != 0), F.col("_scale")).otherwise(1.0)
+    df = cadences.withColumn("_scale", median)
+    return df.withColumns({"flux": F.col("flux") / scale, "flux_err": F.col("flux_err") / F.abs(scale)}).drop("_scale")
+
+
+def observations(cadences: DataFrame) -> DataFrame:
+    """Observations of each target from its products: finite cadences, errors repaired and flux normalised by product,
+    then scaled to the median of the target."""
+    df = scaled(repaired_errors(cadences, "target_id", "product_id").where(finite("time", "flux")), "target_id", "product_id")
+    return scaled(df, "target_id")
