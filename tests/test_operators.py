@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from transitspark.functions.ephemeris import Ephemeris, near_events, phase, predicted_events
+from transitspark.sources import files, light_curves
 from transitspark.operators import cleaning, events, posterior, recovery, residuals, sampling, search, snapshots, transit, windows
 
 SCHEMA = "target_id long, product_id string, cadence_id long, time double, flux double, flux_err double"
@@ -373,3 +374,38 @@ def test_missing_values_and_order_change_nothing(spark):
     ok = cleaning.clip(noisy, "none", 5.0).where("is_retained")
     a, b = (sorted(map(tuple, events.event_diagnostics(x.select(*df.columns), e).collect())) for x in (df, ok))
     assert a == b
+
+
+def test_headers_of_fits_files(spark, tmp_path):
+    cards = ["SIMPLE  =                    T / conforms", "BITPIX  =                    8", "OBJECT  = 'Kepler-22 / b''s star'  / name", "TEFF    =               5518.0 / [K] temperature", "COMMENT free text = here", "HISTORY made up", "NUM_FRM =                  270", "END", "AFTER   =                    1"]
+    (tmp_path / "a.fits").write_bytes("".join(c.ljust(80) for c in cards).ljust(2880).encode() + b"\x00\xff" * 1000)
+    (tmp_path / "b.fits").write_bytes(b"not a header")
+    (tmp_path / "c.fits").write_bytes(b"")
+    got = {r["key"]: r for r in files.fits_headers(spark, str(tmp_path)).collect()}
+    assert {k: r["value"] for k, r in got.items()} == {"SIMPLE": "T", "BITPIX": "8", "OBJECT": "Kepler-22 / b's star", "TEFF": "5518.0", "COMMENT": None, "HISTORY": None, "NUM_FRM": "270"}
+    assert got["TEFF"]["comment"] == "[K] temperature" and got["OBJECT"]["comment"] == "name" and got["COMMENT"]["comment"] == "free text = here"
+
+
+def test_manifests_and_snapshots(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("target_id,event_number,cadence_id,product_id,time,flux,flux_err,center\n1,0,5,a,1.5,0.99,0.001,1.4\n")
+    (tmp_path / "fit.json").write_text('{"period": 2.5,\n "events": 1}')
+    before = files.checksums(spark, str(tmp_path)).toPandas()
+    assert set(before["name"]) == {"one.csv", "fit.json"} and before.set_index("name").loc["fit.json", "bytes"] == 29
+    accepted, summary = files.read_snapshot(spark, str(tmp_path / "one.csv"), str(tmp_path / "fit.json"))
+    assert accepted.first()["time"] == 1.5 and summary.first()["events"] == 1
+    (tmp_path / "one.csv").write_text("target_id,event_number,cadence_id,product_id,time,flux,flux_err,center\n")
+    (tmp_path / "new.txt").write_text("x")
+    (tmp_path / "fit.json").unlink()
+    states = files.changed(spark.createDataFrame(before), files.checksums(spark, str(tmp_path))).collect()
+    assert {(r["name"], r["state"]) for r in states} == {("one.csv", "changed"), ("new.txt", "new"), ("fit.json", "missing")}
+    with pytest.raises(ValueError):
+        files.read_snapshot(spark, str(tmp_path / "one.csv"), str(tmp_path / "new.txt"))
+
+
+def test_light_curves_from_parquet(spark, tmp_path):
+    df = curve(spark, np.arange(4.0), np.ones(4))
+    df.unionByName(df.withColumn("target_id", F.lit(2).cast("long"))).write.parquet(str(tmp_path / "lc"))
+    assert light_curves.read_light_curves(spark, str(tmp_path / "lc"), [2]).select("target_id").distinct().collect()[0][0] == 2
+    with pytest.raises(ValueError):
+        light_curves.read_light_curves(spark, str(tmp_path / "lc"), [3])
+    assert light_curves.stitch([df, df.drop("flux_err")]).where("flux_err is null").count() == 4

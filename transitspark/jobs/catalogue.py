@@ -565,6 +565,29 @@ def posterior_quantiles(spark, sf_dir):
     return rounded(posterior.summary(_draws(spark, sf_dir)))
 
 
+@query("WITH ch AS (SELECT CAST(l_orderkey % 4 AS INTEGER) AS ensemble, CAST(l_suppkey % 6 AS INTEGER) AS walker, l_orderkey * 8 + l_linenumber AS step FROM lineitem), l AS (SELECT *, max(step) OVER (PARTITION BY ensemble, walker) AS last FROM ch), "
+       "k AS (SELECT * FROM l WHERE step >= least(20000, last)) SELECT ensemble, walker, count(*) AS n, min(step) AS first FROM k GROUP BY ALL")
+def warmup_removal(spark, sf_dir):
+    return posterior.after_warmup(_chain(spark, sf_dir), 20_000).groupBy("ensemble", "walker").agg(F.count("*").alias("n"), F.min("step").alias("first"))
+
+
+@query("WITH i AS (SELECT o_orderkey AS run, o_orderstatus AS status, o_totalprice AS best FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS run, 'done' AS status, o_totalprice + 1 AS best FROM orders WHERE o_orderkey % 2 = 0) "
+       "SELECT run, status, round(best, 6) AS best FROM n UNION ALL SELECT run, status, round(best, 6) FROM i WHERE run NOT IN (SELECT run FROM n)")
+def run_index_upsert(spark, sf_dir):
+    """Orders stand for runs: a third is new, and every second one has news."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("best"))
+    news = o.where("run % 2 = 0").select("run", F.lit("done").alias("status"), (F.col("best") + 1).alias("best"))
+    return rounded(snapshots.upsert(o.where("run % 3 <> 0"), news, "run"))
+
+
+@query(f"""WITH {FIN}, {_sql_depths('fin', 'flux', f'abs({sql_phase()}) <= {E.duration / 2!r}::DOUBLE', f'NOT abs({sql_phase()}) <= {E.duration / 2!r}::DOUBLE')},
+ x AS (SELECT target_id, depth, flux_out, 2.0::DOUBLE AS depth_reference, 50.0::DOUBLE AS flux_out_reference, depth - 2 AS depth_difference, flux_out - 50 AS flux_out_difference, (depth - 2) / 2 AS depth_share, (flux_out - 50) / 50 AS flux_out_share FROM d2)
+ {sql_rounded('target_id ~depth ~flux_out depth_reference flux_out_reference ~depth_difference ~flux_out_difference ~depth_share ~flux_out_share', 'x')}""")
+def published_comparison(spark, sf_dir):
+    found = recovery.known_signal(finite_curves(spark, sf_dir), E)
+    return rounded(snapshots.compared(found, found.select("target_id", F.lit(2.0).alias("depth"), F.lit(50.0).alias("flux_out")), "depth", "flux_out"))
+
+
 @query(f"WITH {_CHAIN}, {_sql_summary('ensemble, parameter')} {sql_rounded('ensemble ' + _SUMMED, 'su')}")
 def ensemble_summary(spark, sf_dir):
     return rounded(posterior.summary(_draws(spark, sf_dir), "ensemble"))

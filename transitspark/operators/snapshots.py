@@ -49,3 +49,16 @@ def timing_corners(accepted: DataFrame, e: Ephemeris, half_period: float, half_e
     moved = F.col("epoch_side") * half_epoch + cycle * F.col("period_side") * half_period
     df = df.withColumn("moved", moved).withColumn("supported", (F.col("center") + F.col("moved") >= F.col("first")) & (F.col("center") + F.col("moved") <= F.col("last")))
     return df.groupBy("target_id", "period_side", "epoch_side").agg(F.count("*").alias("n_events"), F.max(F.abs("moved")).alias("largest_move"), F.count_if("supported").alias("n_supported"))
+
+
+def upsert(index: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
+    """index with rows put in by key: a row replaces the one of its key. Keys are taken to be unique on either side."""
+    kept = index.join(rows.select(*key).distinct(), list(key), "left_anti").select(index.columns)
+    return kept.unionByName(rows.select(index.columns))
+
+
+def compared(found: DataFrame, reference: DataFrame, *columns: str) -> DataFrame:
+    """By target_id, each column of found beside that of a reference, its difference, and that as a share of the latter."""
+    df = found.select("target_id", *columns).join(reference.select("target_id", *(F.col(c).alias(f"{c}_reference") for c in columns)), "target_id")
+    gap = lambda c: F.col(c) - F.col(f"{c}_reference")
+    return df.select("*", *(gap(c).alias(f"{c}_difference") for c in columns), *(F.try_divide(gap(c), F.abs(f"{c}_reference")).alias(f"{c}_share") for c in columns))
