@@ -376,16 +376,6 @@ def test_missing_values_and_order_change_nothing(spark):
     assert a == b
 
 
-def test_headers_of_fits_files(spark, tmp_path):
-    cards = ["SIMPLE  =                    T / conforms", "BITPIX  =                    8", "OBJECT  = 'Kepler-22 / b''s star'  / name", "TEFF    =               5518.0 / [K] temperature", "COMMENT free text = here", "HISTORY made up", "NUM_FRM =                  270", "END", "AFTER   =                    1"]
-    (tmp_path / "a.fits").write_bytes("".join(c.ljust(80) for c in cards).ljust(2880).encode() + b"\x00\xff" * 1000)
-    (tmp_path / "b.fits").write_bytes(b"not a header")
-    (tmp_path / "c.fits").write_bytes(b"")
-    got = {r["key"]: r for r in files.fits_headers(spark, str(tmp_path)).collect()}
-    assert {k: r["value"] for k, r in got.items()} == {"SIMPLE": "T", "BITPIX": "8", "OBJECT": "Kepler-22 / b's star", "TEFF": "5518.0", "COMMENT": None, "HISTORY": None, "NUM_FRM": "270"}
-    assert got["TEFF"]["comment"] == "[K] temperature" and got["OBJECT"]["comment"] == "name" and got["COMMENT"]["comment"] == "free text = here"
-
-
 def test_manifests_and_snapshots(spark, tmp_path):
     (tmp_path / "one.csv").write_text("target_id,event_number,cadence_id,product_id,time,flux,flux_err,center\n1,0,5,a,1.5,0.99,0.001,1.4\n")
     (tmp_path / "fit.json").write_text('{"period": 2.5,\n "events": 1}')

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.ephemeris import Ephemeris, center, finite, in_window, phase, predicted_events
 from ..functions.stellar import duration_informed_a, inclination_degrees, q_to_u, u_to_q
 from ..operators import cleaning, events, posterior, recovery, residuals, sampling, search, snapshots, transit, windows
-from ..sources.light_curves import from_events
+from ..sources import fits
+from ..sources.light_curves import from_events, read_fits_light_curves, write_fits_light_curves
+from ..sources.shared import shared_folder
 
 E = Ephemeris(2.5, 0.4, 0.4)
 SIGMA, HALF, FRACTION = 3.0, 0.6, 0.7
@@ -91,6 +93,29 @@ def sql_clip(mode: str, sigma: float = SIGMA, scale: float = 1.25) -> str:
     return ", ".join(out)
 
 
+# ------------------------------------------------------------------------------------------------------------ files
+def _fits_files(spark: SparkSession, sf_dir: str) -> str:
+    """Finite cadences as FITS files in the shared folder; the quality of every eleventh is 4, of every thirteenth 1."""
+    folder = shared_folder(spark)
+    quality = F.when(F.col("cadence_id") % 11 == 0, 4).otherwise(0) + F.when(F.col("cadence_id") % 13 == 0, 1).otherwise(0)
+    write_fits_light_curves(finite_curves(spark, sf_dir).withColumn("quality", quality), folder)
+    return folder
+
+
+@query(f"WITH {FIN} SELECT CAST(target_id AS VARCHAR) AS target_id, product_id, cadence_id, round(time, 6) AS time, round(flux, 6) AS flux, flux_err FROM fin WHERE cadence_id % 11 <> 0")
+def fits_light_curves(spark, sf_dir):
+    """Light curves written as FITS tables and read back, without the cadences whose quality has bit 4."""
+    return rounded(read_fits_light_curves(spark, _fits_files(spark, sf_dir), quality_mask=4))
+
+
+@query(f"WITH {FIN} SELECT CAST(target_id AS VARCHAR) AS target_id, product_id, count(*) AS n_rows, 40::BIGINT AS row_bytes FROM fin GROUP BY ALL")
+def fits_table_headers(spark, sf_dir):
+    """Rows of each target and product as the headers of the tables tell them; no row is read."""
+    cards = fits.fits_cards(spark, _fits_files(spark, sf_dir)).where("hdu > 0 AND key IN ('OBJECT', 'PRODUCT', 'NAXIS1', 'NAXIS2')")
+    units = cards.groupBy("path", "hdu").pivot("key", ["OBJECT", "PRODUCT", "NAXIS1", "NAXIS2"]).agg(F.first("value"))
+    return units.groupBy(F.col("OBJECT").alias("target_id"), F.col("PRODUCT").alias("product_id")).agg(F.sum(F.col("NAXIS2").cast("long")).alias("n_rows"), F.max(F.col("NAXIS1").cast("long")).alias("row_bytes"))
+
+
 # ------------------------------------------------------------------------------------------- summaries and cleaning
 _SUMMARY = "count(*) AS n_cadences, min(time) AS time_min, max(time) AS time_max, median(flux) AS flux_median, stddev_pop(flux) AS flux_std"
 

@@ -1,37 +1,14 @@
-"""Files as tables: headers of FITS files, checksums, frozen snapshots from CSV and JSON. All in the JVM."""
+"""Files as tables: checksums, frozen snapshots from CSV and JSON. All in the JVM."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a card and of a block of a FITS header, and blocks of a header that are looked at; fixed values of the format.
-CARD, BLOCK, BLOCKS = 80, 2880, 64
 #: Columns of a frozen snapshot of accepted cadences.
 ACCEPTED = "target_id long, event_number long, cadence_id long, product_id string, time double, flux double, flux_err double, center double"
 
 
-def fits_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, at, key, value, comment) of the cards of the primary header of each FITS file below a path.
-
-    Strings lose their quotes, and doubled quotes within are one; comments and histories have no value. Cards after END
-    and files that don't begin with SIMPLE give nothing. Only the head of each file becomes text.
-    """
-    head = F.decode(F.substring("content", 1, BLOCK * BLOCKS), "ISO-8859-1")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", head.alias("head"))
-    cards = F.transform(F.sequence(F.lit(0), F.floor(F.length("head") / CARD).cast("int") - 1), lambda i: F.substring("head", i * CARD + 1, F.lit(CARD)))
-    df = files.where(f"length(head) >= {CARD} and startswith(head, 'SIMPLE')").withColumn("cards", cards)
-    end = F.array_position(F.transform("cards", lambda c: F.rtrim(c)), "END")
-    df = df.withColumn("end", end).where("end > 0").select("path", F.posexplode(F.expr("slice(cards, 1, cast(end as int) - 1)")).alias("at", "card"))
-    text = F.regexp_extract("card", r"^.{8}= *'((?:[^']|'')*)'", 1)
-    plain = F.regexp_extract("card", r"^.{8}= *([^/']*)", 1)
-    has = F.substring("card", 9, 2) == "= "
-    quoted = F.col("card").rlike(r"^.{8}= *'")
-    value = F.when(has & quoted, F.rtrim(F.replace(text, F.lit("''"), F.lit("'")))).when(has, F.trim(plain))
-    comment = F.when(has & quoted, F.regexp_extract("card", r"^.{8}= *'(?:[^']|'')*' */ ?(.*)$", 1)).when(has, F.regexp_extract("card", r"^.{8}= *[^/']*/ ?(.*)$", 1)).otherwise(F.substring("card", 9, CARD))
-    return df.select("path", "at", F.rtrim(F.substring("card", 1, 8)).alias("key"), value.alias("value"), F.trim(comment).alias("comment")).where("key <> ''")
-
-
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(name, bytes, sha256) of each file below a path: a manifest."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fits import fits_rows, write_fits
+
 #: target_id, product_id, cadence_id, time (days), flux, flux_err.
 COLUMNS = ("target_id", "product_id", "cadence_id", "time", "flux", "flux_err")
 SECONDS_A_DAY = 86_400.0
@@ -42,3 +44,25 @@ def read_light_curves(spark: SparkSession, path: str, targets: list[str] | None
     if df.isEmpty():
         raise ValueError(f"no cadences in {path}")
     return df
+
+
+def write_fits_light_curves(curves: DataFrame, folder: str) -> None:
+    """Light curves as FITS files: a table for each target and product, cadences in order of time."""
+    named = curves.select(F.col("target_id").cast("string").alias("OBJECT"), F.col("product_id").alias("PRODUCT"), F.col("time").alias("TIME"), F.col("cadence_id").alias("CADENCENO"), F.col("flux").alias("PDCSAP_FLUX"), F.col("flux_err").alias("PDCSAP_FLUX_ERR"), F.col("quality").cast("long").alias("SAP_QUALITY") if "quality" in curves.columns else F.lit(0).cast("long").alias("SAP_QUALITY"))
+    write_fits(named, folder, ("OBJECT", "PRODUCT"), ("TIME", "CADENCENO"))
+
+
+def read_fits_light_curves(spark: SparkSession, path: str, targets: list[str] | None = None, flux: str = "PDCSAP_FLUX", error: str | None = None, quality_mask: int = 0, product_key: str = "PRODUCT", target_key: str = "OBJECT") -> DataFrame:
+    """Light curves of all FITS files at or below a path: target and product from headers, times and fluxes from tables.
+
+    Cadences with a bit of quality_mask are left out. Tables of other targets than those asked for are hopped
+    over. error is the column of errors; by default that of the flux and `_ERR`. No rows at all is an error.
+    """
+    error = error or f"{flux}_ERR"
+    schema = f"`{target_key}` string, `{product_key}` string, CADENCENO long, TIME double, `{flux}` double, `{error}` double" + ", SAP_QUALITY long" * bool(quality_mask)
+    rows = fits_rows(spark, path, schema, (target_key, product_key), {target_key: targets} if targets else None)
+    rows = rows.where((F.coalesce("SAP_QUALITY", F.lit(0)).bitwiseAND(F.lit(quality_mask))) == 0) if quality_mask else rows
+    out = rows.select(F.col(target_key).alias("target_id"), F.col(product_key).alias("product_id"), F.col("CADENCENO").alias("cadence_id"), F.col("TIME").alias("time"), F.col(flux).alias("flux"), F.col(error).alias("flux_err"))
+    if out.isEmpty():
+        raise ValueError(f"no cadences in {path}")
+    return out
