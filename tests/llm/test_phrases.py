@@ -67,10 +67,10 @@ def test_ties_are_cut_by_phrase(spark):
 
 
 def test_few_counters_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "MOST_BITS", 10)
-    monkeypatch.setattr(phrases, "FEWEST_BITS", 10)
+    monkeypatch.setattr(phrases, "MOST_BITS", 14)
+    monkeypatch.setattr(phrases, "WORDS_A_COUNTER", 1)
     rng = random.Random(9)
-    rows = [("en", " ".join(f"w{int(rng.expovariate(0.01))}" for _ in range(3_000))) for _ in range(5)]
+    rows = [("en", " ".join(f"w{int(rng.expovariate(0.01))}" for _ in range(9_000))) for _ in range(5)]
     assert of(spark, rows, least=4) == counted(rows, 4, 5, 2000)
 
 

@@ -32,7 +32,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text that a task works on together.
 TOGETHER = 4_000_000
 #: Pair counters: one for so many words, in powers of two between these bounds; how many travel in one row.
-WORDS_A_COUNTER, FEWEST_BITS, MOST_BITS, PAGE = 8, 16, 26, 1024
+WORDS_A_COUNTER, FEWEST_BITS, MOST_BITS, PAGE = 8, 16, 26, 1 << 14
 #: Totals of so many languages are broadcast.
 FEW = 10_000
 #: Ends a piece; no byte of UTF-8.
@@ -102,12 +102,11 @@ def common_pairs(texts: DataFrame, seed: int, bits: int, least: int) -> np.ndarr
             n = n[counter >= 0]
             counter = counter[counter >= 0]
             held[counter] = np.minimum(held[counter] + n, least)
-        there = np.flatnonzero(held)
-        cuts = np.flatnonzero(np.diff(there // PAGE, prepend=-1)).tolist()
-        for some in itertools.batched(zip(cuts, [*cuts[1:], len(there)]), 2_000):
-            pages = [int(there[a]) // PAGE for a, _ in some]
-            places = [(there[a:b] % PAGE).astype("<u2").tobytes() for a, b in some]
-            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int32()), pa.array(places, pa.binary()), pa.array([held[there[a:b]].tobytes() for a, b in some], pa.binary())], ["page", "places", "counts"])
+        for some in itertools.batched(range(len(held) // PAGE), 200):
+            there = {p: np.flatnonzero(held[p * PAGE : (p + 1) * PAGE]) for p in some}
+            pages = [p for p in some if len(there[p])]
+            places, counts = ([f(p).tobytes() for p in pages] for f in (lambda p: there[p].astype("<u2"), lambda p: held[p * PAGE + there[p]]))
+            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int32()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], ["page", "places", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page, held = None, np.zeros(PAGE, "int64")
@@ -127,7 +126,7 @@ def common_pairs(texts: DataFrame, seed: int, bits: int, least: int) -> np.ndarr
 
     pages = texts.mapInArrow(count, "page int, places binary, counts binary").repartition("page").sortWithinPartitions("page")
     out = np.zeros((max(1, (1 << bits) // PAGE), PAGE // 8), "u1")
-    for r in pages.mapInArrow(add, "page int, bits binary").toLocalIterator():  # 2^26 bits at most
+    for r in pages.mapInArrow(add, "page int, bits binary").collect():  # 2^26 bits at most
         out[r["page"]] = np.frombuffer(r["bits"], "u1")
     return out.reshape(-1)
 
