@@ -502,6 +502,31 @@ def bls_power(spark, sf_dir):
     return rounded(search.periodogram(curves, search.period_grid(curves, _COARSE), _COARSE).select("target_id", "period", "power"), 4)
 
 
+_BOX_POWER = "CASE WHEN deep >= 0 THEN 0.5 * w * deep * deep ELSE 0 END"
+
+
+@query(f"""WITH {FIN}, {_sql_grid(_COARSE)}, o AS (SELECT target_id, median(flux) AS m, min(time) AS t0, count(*) AS n FROM fin GROUP BY target_id HAVING count(*) > 2),
+ y AS (SELECT fin.target_id, time - t0 AS t, flux - m AS y, n, t0 FROM fin JOIN o USING (target_id)), s AS (SELECT target_id, sum(y) AS total, any_value(n) AS n, any_value(t0) AS t0 FROM y GROUP BY target_id),
+ g AS (SELECT target_id, period, CAST(ceil(period / {_WIDTH!r}::DOUBLE) AS INTEGER) AS bins FROM grid), b AS (SELECT target_id, period, least(CAST(floor(fmod(t, period) / {_WIDTH!r}::DOUBLE) AS INTEGER), bins - 1) AS at, count(*) AS w, sum(y) AS s FROM y JOIN g USING (target_id) GROUP BY ALL),
+ e AS (SELECT target_id, period, bins, unnest({_LENGTHS}) AS k, unnest({_COARSE.durations}::DOUBLE[]) AS duration FROM g), p AS (SELECT e.target_id, e.period, duration, ((b.at - j.j) % bins + bins) % bins AS start, w, s FROM e JOIN b USING (target_id, period), LATERAL (SELECT unnest(generate_series(0, k - 1)) AS j) j),
+ q AS (SELECT target_id, period, duration, start, sum(w) AS w, sum(s) AS s FROM p GROUP BY ALL), r AS (SELECT q.*, n, t0, (total - q.s) / (n - w) - q.s / w AS deep FROM q JOIN s USING (target_id) WHERE w < n),
+ f AS (SELECT *, {_BOX_POWER} AS power, max({_BOX_POWER}) OVER (PARTITION BY target_id, period) AS greatest FROM r),
+ h AS (SELECT * FROM f WHERE greatest > 0 AND power >= greatest * (1 - {search.SAME!r}::DOUBLE) QUALIFY row_number() OVER (PARTITION BY target_id, period ORDER BY duration, start) = 1),
+ z AS (SELECT g.target_id, g.period, coalesce(power, 0) AS power, coalesce(duration, {_COARSE.durations[0]!r}::DOUBLE) AS duration, coalesce(deep, 0) AS depth, coalesce(fmod(start * {_WIDTH!r}::DOUBLE + duration / 2, g.period) + t0, 0) AS transit_time,
+  coalesce(deep / sqrt(1 / w::DOUBLE + 1 / (n - w)::DOUBLE), 0) AS depth_snr FROM g JOIN o USING (target_id) LEFT JOIN (SELECT target_id, period, power, duration, deep, start, w FROM h) x USING (target_id, period)) {sql_rounded('target_id ~period ~power ~duration ~depth ~transit_time ~depth_snr', 'z', 4)}""")
+def bls_boxes(spark, sf_dir):
+    """The best box of a coarse search at each period: its power, duration, depth, middle and depth in deviations."""
+    curves = finite_curves(spark, sf_dir)
+    return rounded(search.periodogram(curves, search.period_grid(curves, _COARSE), _COARSE), 4)
+
+
+@query(ORACLES["bls_boxes"])
+def bls_boxes_in_slices(spark, sf_dir):
+    """The same with every series folded in slices of at most some forty cadences."""
+    curves = finite_curves(spark, sf_dir)
+    return rounded(search.periodogram(curves, search.period_grid(curves, _COARSE), _COARSE, slice_rows=40), 4)
+
+
 @query()
 def refined_candidates(spark, sf_dir):
     """Distinct peaks of a broad search, searched again around their periods."""
