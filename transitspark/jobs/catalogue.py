@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ephemeris import Ephemeris, center, finite, in_window, phase, predicted_events
 from ..functions.stellar import duration_informed_a, inclination_degrees, q_to_u, u_to_q
-from ..operators import cleaning, events, posterior, recovery, residuals, sampling, search, snapshots, transit, windows
+from ..operators import cleaning, diagnostics, events, posterior, recovery, residuals, sampling, search, snapshots, transit, windows
 from ..sources import fits
 from ..sources.light_curves import from_events, read_fits_light_curves, write_fits_light_curves
 from ..sources.shared import shared_folder
@@ -771,6 +771,55 @@ def posterior_sampling(spark, sf_dir):
     return rounded(posterior.summary(draws, "target_id"))
 
 
-@query()
+_SIZES = f"""{_CHAIN}, ed AS (SELECT parameter, quantile_cont(value, 0.05) AS low, quantile_cont(value, 0.95) AS high FROM dr GROUP BY ALL),
+ nb AS (SELECT parameter, ensemble, walker, value, row_number() OVER (PARTITION BY parameter, ensemble, walker ORDER BY step, value) AS k FROM dr),
+ ct AS (SELECT nb.parameter, ensemble, walker, k, value - avg(value) OVER w AS v, CAST(value <= low AS DOUBLE) - avg(CAST(value <= low AS DOUBLE)) OVER w AS l, CAST(value >= high AS DOUBLE) - avg(CAST(value >= high AS DOUBLE)) OVER w AS h
+  FROM nb JOIN ed USING (parameter) WINDOW w AS (PARTITION BY nb.parameter, ensemble, walker)),
+ ld AS (SELECT *, k - lag AS kb FROM ct, (SELECT unnest(generate_series(0, {sampling.LAGS})) AS lag)),
+ pr AS (SELECT a.parameter, a.lag, sum(a.v * b.v) AS v, sum(a.l * b.l) AS l, sum(a.h * b.h) AS h, count(*) AS n FROM ld a JOIN ct b ON b.parameter = a.parameter AND b.ensemble = a.ensemble AND b.walker = a.walker AND b.k = a.kb GROUP BY ALL),
+ rh AS (SELECT p.parameter, p.lag, unnest(['v', 'l', 'h']) AS series, unnest([(p.v / p.n) / (z.v / z.n), (p.l / p.n) / (z.l / z.n), (p.h / p.n) / (z.h / z.n)]) AS rho FROM pr p JOIN pr z ON z.parameter = p.parameter AND z.lag = 0 WHERE p.lag > 0),
+ fs AS (SELECT *, min(CASE WHEN NOT coalesce(rho > 0, false) THEN lag END) OVER (PARTITION BY parameter, series) AS stop FROM rh),
+ ta AS (SELECT parameter, series, 1 + 2 * coalesce(sum(rho) FILTER (lag < coalesce(stop, {sampling.LAGS + 1})), 0) AS tau FROM fs GROUP BY ALL), nn AS (SELECT parameter, count(*) AS n FROM dr GROUP BY ALL),
+ sz AS (SELECT parameter, any_value(n) / greatest(max(tau) FILTER (series = 'v'), 1) AS ess, any_value(n) / greatest(max(tau) FILTER (series <> 'v'), 1) AS tail_ess, max(tau) FILTER (series = 'v') AS tau FROM ta JOIN nn USING (parameter) GROUP BY parameter)"""
+
+
+@query(f"WITH {_SIZES} {sql_rounded('parameter ~ess ~tail_ess ~tau', 'sz', 4)}")
 def effective_sample_sizes(spark, sf_dir):
-    return rounded(sampling.effective_sizes(_draws(spark, sf_dir)))
+    return rounded(sampling.effective_sizes(_draws(spark, sf_dir)), 4)
+
+
+_HALVES = """nk AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY parameter, ensemble, walker) // 2 AS h FROM dr WINDOW w AS (PARTITION BY parameter, ensemble, walker ORDER BY step, value)),
+ ha AS (SELECT parameter, ensemble, walker, k // h AS half, value FROM nk WHERE h >= 2 AND k < 2 * h)"""
+
+
+def _sql_rank_rhat(source: str, name: str) -> str:
+    return f"""{name}_r AS (SELECT *, rank() OVER (PARTITION BY parameter ORDER BY value) + (count(*) OVER (PARTITION BY parameter, value) - 1) / 2.0::DOUBLE AS rank, count(*) OVER (PARTITION BY parameter) AS total FROM {source}),
+ {name}_z AS (SELECT *, {diagnostics.sql_normal_quantile('p')} AS z FROM (SELECT *, (rank - 0.375) / (total + 0.25) AS p FROM {name}_r)),
+ {name}_c AS (SELECT parameter, ensemble, walker, half, avg(z) AS m, var_samp(z) AS v, count(*) AS n FROM {name}_z GROUP BY ALL),
+ {name} AS (SELECT parameter, sqrt(((min(n) - 1) / min(n)::DOUBLE * avg(v) + var_samp(m)) / avg(v)) AS rhat_{name} FROM {name}_c GROUP BY parameter)"""
+
+
+@query(f"""WITH {_CHAIN}, {_HALVES}, fo AS (SELECT * REPLACE (abs(value - median(value) OVER (PARTITION BY parameter)) AS value) FROM ha), {_sql_rank_rhat('ha', 'bulk')}, {_sql_rank_rhat('fo', 'tail')},
+ x AS (SELECT parameter, rhat_bulk, rhat_tail, greatest(rhat_bulk, rhat_tail) AS rhat FROM bulk JOIN tail USING (parameter)) {sql_rounded('parameter ~rhat_bulk ~rhat_tail ~rhat', 'x')}""")
+def rank_rhat(spark, sf_dir):
+    return rounded(diagnostics.rank_rhat(_draws(spark, sf_dir)))
+
+
+@query()
+def rank_sizes(spark, sf_dir):
+    return rounded(diagnostics.rank_sizes(_draws(spark, sf_dir)), 3)
+
+
+#: Lags that the SQL of autocorrelation times looks at: draws that don't hang together need a window of some five.
+_SQL_LAGS = 60
+
+
+@query(f"""WITH {_CHAIN}, nb AS (SELECT *, row_number() OVER (PARTITION BY parameter, ensemble, walker ORDER BY step, value) AS k, value - avg(value) OVER (PARTITION BY parameter, ensemble, walker) AS v FROM dr),
+ ld AS (SELECT *, k - lag AS kb FROM nb, (SELECT unnest(generate_series(0, {_SQL_LAGS})) AS lag)), s AS (SELECT a.parameter, a.ensemble, a.walker, a.lag, sum(a.v * b.v) AS c FROM ld a JOIN nb b ON b.parameter = a.parameter AND b.ensemble = a.ensemble AND b.walker = a.walker AND b.k = a.kb GROUP BY ALL),
+ f AS (SELECT a.parameter, a.ensemble, a.lag, sum(a.c / z.c) / any_value(w.n) AS f FROM s a JOIN s z ON z.parameter = a.parameter AND z.ensemble = a.ensemble AND z.walker = a.walker AND z.lag = 0
+  JOIN (SELECT parameter, ensemble, count(DISTINCT walker) AS n FROM nb GROUP BY ALL) w ON w.parameter = a.parameter AND w.ensemble = a.ensemble GROUP BY a.parameter, a.ensemble, a.lag),
+ t AS (SELECT *, 2 * sum(f) OVER (PARTITION BY parameter, ensemble ORDER BY lag) - 1 AS tau FROM f), x AS (SELECT ensemble, parameter, tau FROM t WHERE lag >= {diagnostics.WIDE} * tau QUALIFY row_number() OVER (PARTITION BY parameter, ensemble ORDER BY lag) = 1),
+ m AS (SELECT ensemble, parameter, max(k) AS retained_steps FROM nb GROUP BY ALL), y AS (SELECT ensemble, parameter, tau, true AS available, retained_steps FROM x JOIN m USING (ensemble, parameter)) {sql_rounded('ensemble parameter ~tau available retained_steps', 'y')}""")
+def autocorrelation_times(spark, sf_dir):
+    """Times of four ensembles; all are available."""
+    return rounded(diagnostics.autocorrelation_times(_draws(spark, sf_dir), _PARAMETERS).drop("error"))
