@@ -28,6 +28,8 @@ ENTRY_BYTES = 110
 SEEN_BITS = 1 << 24
 #: The last letter of the Latin blocks, in which no letter is changed or taken apart by normalisation.
 LATIN = "\u024f"
+#: ASCII marks that no pre-tokenizer known here takes together with a letter; the apostrophe is not among them.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Characters of a word beyond which it is encoded each time.
 LONGEST = 64
 
@@ -58,17 +60,17 @@ class _Known(dict):
     def __init__(self, encode: Callable[[str], bytes], alone: Callable[[str], bytes], lower: bool, most: int = REMEMBERED_BYTES):
         self.encode, self.alone, self.lower, self.most = encode, alone, lower, most
         self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.bytes = 0
         self.seen = bytearray(SEEN_BITS // 8)
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            # one comma or full stop after a letter is a word of its own to the pre-tokenizer
-            if len(word) > 1 and word[-1] in ",." and word[-2] <= LATIN and word[-2].lower()[-1].isalpha():
-                ids = self[word[:-1]] + self.tail(word[-1])
-            elif self.lower and word.isascii() and (small := word.lower()) != word:
+            head = word.rstrip(MARKS)
+            if len(head) < len(word) and head and head[-1] <= LATIN and head[-1].lower()[-1].isalpha():
+                ids = self[head] + self.mark(word[len(head) :])  # marks after a letter are a word of their own
+            elif self.lower and plain(word) and (small := word.lower()) != word:
                 ids = self[small]
             else:
                 ids = self.encode(word)
@@ -86,10 +88,19 @@ class _Known(dict):
             self[word] = ids
         return ids
 
-    def tail(self, mark: str) -> bytes:
-        if mark not in self.tails:
-            self.tails[mark] = self.alone(mark)
-        return self.tails[mark]
+    def mark(self, marks: str) -> bytes:
+        if len(marks) > 8:
+            return self.alone(marks)
+        if marks not in self.marks:
+            if len(self.marks) >= 10_000:
+                self.marks.clear()
+            self.marks[marks] = self.alone(marks)
+        return self.marks[marks]
+
+
+def plain(word: str) -> bool:
+    """Letters up to U+00FF, which no normalisation changes and whose lower case is one letter."""
+    return word.isalpha() and (word.isascii() or max(word) <= "\xff")
 
 
 class WordTokenizer:
@@ -107,18 +118,20 @@ class WordTokenizer:
         byte_level = '"ByteLevel"' in before and '"add_prefix_space": false' in before
         if byte_level and '"Split"' in before and r"[^\\s\\p{L}\\p{N}]+" in before and '"invert": true' in before:
             self.encode_one = self._spaceless  # white space is dropped
-            self.known = _Known(lambda w: self._letters(w) if self._plain(w) and (w.islower() or not w.isascii() and w == w.lower()) else self._whole(w), self._whole, "Lowercase" in normal, most)
+            self.known = _Known(lambda w: self._letters(w) if plain(w) else self._whole(w), self._whole, "Lowercase" in normal, most)
         elif byte_level and normal == "null" and ('"use_regex": true' in before or r"?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+" in before):
             self.encode_one = self._spaced
-            # after a space, which belongs to the word; or after a line feed, which does not
-            self.known = _Known(lambda w: self._letters(w, SPACE) if self._plain(w) else self._whole(w if w[:1] == "\n" else " " + w), self._whole, False, most)
+            self.known = _Known(self._after_space, self._whole, False, most)
         else:
             self.encode_one = self._whole  # unknown rules
 
-    @staticmethod
-    def _plain(word: str) -> bool:
-        """Letters that no normalisation changes."""
-        return word.isalpha() and (word.isascii() or max(word) <= "\xff")
+    def _after_space(self, word: str) -> bytes:
+        """A word after a space, which belongs to it, or after a line feed, which does not."""
+        if plain(word):
+            return self._letters(word, SPACE)
+        if word[:1] != "\n":
+            return self._whole(" " + word)
+        return self.known.mark("\n") + self._letters(word[1:]) if plain(word[1:]) else self._whole(word)
 
     def _letters(self, word: str, before: str = "") -> bytes:
         as_characters = word if word.isascii() else word.encode().decode("latin-1").translate(AS_CHARACTERS)
@@ -136,7 +149,7 @@ class WordTokenizer:
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in OTHER_SPACE) or any(s in text for s in self.special):
             return self._whole(text)  # runs of white space
         words = text.replace("\n", " \n").split(" ")
-        return self._whole(words[0]) + b"".join(map(self.known.__getitem__, words[1:]))
+        return (self._letters if plain(words[0]) else self._whole)(words[0]) + b"".join(map(self.known.__getitem__, words[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self.encode_one(t) for t in texts]
