@@ -141,3 +141,11 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name like `name` that docs has no column of, whatever the case."""
+    there = {c.lower() for c in docs.columns}
+    while name.lower() in there:
+        name += "_"
+    return name

@@ -1,19 +1,22 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier on its posteriors.
 
-Voters are word lists (one of common insults, others mined as words and word beginnings that labelled rows mark) and
-patterns. Each says toxic, clean or nothing about a document. Mined lists vote only on rows that they were not mined
-from: labelled rows are halved, each half has lists of its own, and votes on the other half. The label model sees votes
-alone, of labelled and unlabelled rows alike: expectation maximisation from the voters' majority estimates how often
-each voter says what about either kind of document, and from what is left over which voters go together, so that
-correlated ones count less. Labels only say which terms to list and how sure a posterior is to be taken (`calibrated`).
-A logistic regression on hashed words and word beginnings, with weights drawn to zero, then learns the posteriors of all
-rows; it alone scores documents.
+Voters are a list of common insults, patterns, and mined lists of words and word beginnings that labelled rows mark.
+A mined list says toxic if a document holds more of its terms than chance puts into a text of that length, else clean; terms are dealt to
+the lists in turn, so lists are alike and none restates another. Mined lists vote only on rows that they were not mined
+from: rows are halved by a checksum of their id, each half has lists of its own, and votes on the other half. The label
+model sees votes alone, of every row that may be learnt from, labelled or not: rows are counted by what the voters say of
+them, and expectation maximisation over these counts estimates how often each voter says what about either kind of
+document, and from what is left over which voters go together beyond what the others explain (partial correlations that
+chance does not give), so that correlated ones count less. Labels only say which terms to list and how sure a posterior
+is to be taken (`calibrated`). A logistic regression on hashed words and word beginnings, with weights drawn to zero, then
+learns the posteriors of the labelled sample; it alone scores documents.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -26,16 +29,16 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import crc_of_id, forget_others, labelled_sample, sliced, table
 
 BUCKETS = 1 << 19
-#: Labelled rows that the voters, the label model and the classifier are fitted on, at most, and unlabelled ones.
-SAMPLE, UNLABELLED = 6_000, 3_000
+#: Labelled rows that lists are mined from and the classifier is fitted on, at most.
+SAMPLE = 8_000
 #: Lengths of the word beginnings that count as terms besides whole words.
 BEGINNINGS = (4, 5, 6, 7)
-LISTS, EPOCHS, RATE, SHRINK, SEED = 16, 20, 0.3, 2e-5, 11
+LISTS, EPOCHS, RATE, SHRINK, SEED = 8, 20, 0.3, 2e-5, 11
 REMEMBERED = 300_000
 #: How strong a mined term must be: rows it marks times log odds; chance alone gives few above this.
 STRENGTH = 16.0
-#: Voters on how many listed terms a text has, and on their share of its terms: clean below the first, toxic from the second on.
-COUNTS, SHARES = ((1, 10**9), (3, 6), (4, 10)), ((0.003, 0.006), (0.003, 0.01), (0.006, 0.02))
+#: A list says toxic from one term more than so many times what its rate gives a text of that length.
+CHANCE = 2.0
 #: Common English insults; fixed values.
 INSULTS = "asshole bastard bitch clown coward creep crap cretin damn disgusting dumb fool freak fuck garbage hate idiot imbecile jerk kill liar loser moron pathetic pig scum shit sick slut stupid trash ugly vermin whore worthless".split()
 WORD = re.compile(r"[^\W_]+")
@@ -56,21 +59,15 @@ _INSULTS = frozenset(INSULTS)
 
 def patterns(text: str, words: set[str]) -> list[int]:
     """Votes of fixed voters: 1 toxic, -1 clean, 0 nothing."""
-    letters = len(text) or 1
-    insults = len(words & _INSULTS)
     return [
-        1 if insults else -1,
-        1 if insults >= 3 else 0,
+        1 if words & _INSULTS else -1,
         1 if re.search(r"\b(?:you|you're|your|u)\b.{0,20}\b(?:idiot|moron|loser|stupid|trash|scum|clown)\b", text, re.I) else 0,
-        1 if re.search(r"\b\w*[a-z]\*{2,}\w*", text, re.I) else 0,
-        1 if text.count("!") > letters / 50 else 0,
-        1 if sum(map(str.isupper, text)) > letters / 2 else 0,
-        -1 if len(words) > 20 and not insults and "!" not in text else 0,
+        1 if "**" in text and re.search(r"[a-z]\*{2,}", text, re.I) else 0,
     ]
 
 
 def mined(bags: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS) -> list[np.ndarray]:
-    """Word lists: buckets far more frequent in toxic rows, strongest first, cut into LISTS lists of alike strength."""
+    """Word lists: buckets far more frequent in toxic rows, strongest first, dealt in turn to LISTS lists."""
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
     count = lambda k: np.bincount(np.concatenate([b for b, t in zip(bags, y) if t == k] or [np.empty(0, "i4")]), minlength=buckets)
     c1, c0 = count(1), count(0)
@@ -79,28 +76,32 @@ def mined(bags: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS) -> list
     strength = np.where((c1 >= 3) & (p1 > 4 * p0) & (strength > STRENGTH), strength, 0)
     best = np.argsort(-strength, kind="stable")
     best = best[strength[best] > 0]
-    return np.array_split(best, LISTS)
+    return [best[k::LISTS] for k in range(LISTS)]
 
 
 class LabelModel:
     """P(vote | label) of each voter, and how much voters repeat each other, from votes without labels."""
 
-    def __init__(self, votes: np.ndarray, rounds: int = 25):
-        """votes: documents x voters of -1, 0, 1."""
-        n, m = votes.shape
+    def __init__(self, votes: np.ndarray, counts: np.ndarray | None = None, rounds: int = 25):
+        """votes: rows x voters of -1, 0, 1; counts: how many documents have the votes of a row."""
+        c = np.ones(len(votes)) if counts is None else counts.astype("f8")
+        n, m = c.sum(), votes.shape[1]
         hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype("f8")
         q = 1 / (1 + np.exp(-votes.sum(axis=1).astype("f8")))  # the majority
         for _ in range(rounds):
-            self.prior = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
-            said = np.stack([np.einsum("n,nmv->mv", w, hot) + 0.5 for w in (1 - q, q)])
+            self.prior = float(np.clip((c * q).sum() / n, 1e-3, 1 - 1e-3))
+            said = np.stack([np.einsum("n,nmv->mv", w, hot) + 0.5 for w in (c * (1 - q), c * q)])
             self.table = said / said.sum(axis=2, keepdims=True)  # [label, voter, vote]
             # what is left of the votes once the label is known: voters that still move together share their weight
             expected = np.einsum("nl,lm->nm", np.column_stack([1 - q, q]), self.table[:, :, 2] - self.table[:, :, 0])
             rest = votes - expected
-            scale = np.sqrt((rest**2).mean(axis=0)) + 0.01  # voters that are hardly ever wrong are not held to be wrong together
-            self.correlation = (rest / scale).T @ (rest / scale) / n
-            other = np.abs(self.correlation) - np.eye(m) * np.abs(self.correlation)
-            self.weight = 1 / (1 + np.where(other > 0.1, other, 0).sum(axis=1))
+            covariance = (rest * c[:, None]).T @ rest / n
+            scale = np.sqrt(np.diag(covariance)) + 0.01  # voters that are hardly ever wrong are not held to be wrong together
+            self.correlation = covariance / np.outer(scale, scale)
+            precision = np.linalg.inv(self.correlation + 0.05 * np.eye(m))
+            partial = np.abs(precision) / np.sqrt(np.outer(np.diag(precision), np.diag(precision)))
+            linked = (partial > 3 / np.sqrt(n)) & ~np.eye(m, dtype=bool)  # three deviations of what chance gives
+            self.weight = 1 / (1 + np.where(linked, np.abs(self.correlation), 0).sum(axis=1))
             q = self.posterior(votes)
 
     def evidence(self, votes: np.ndarray) -> np.ndarray:
@@ -150,44 +151,75 @@ def logistic(bags: list[np.ndarray], q: np.ndarray, buckets: int = BUCKETS) -> t
     return w, float(bias)
 
 
+def _terms(text: str) -> np.ndarray:
+    return np.unique(np.array([f for w in words_of(text) for f in terms(w)], "i4"))
+
+
+def half_of(doc_id: int) -> int:
+    """Which half a row is in: the lists mined from the other half vote on it."""
+    return crc32(b"half %d" % doc_id) % 2
+
+
+class Voters:
+    """All voters: the fixed ones and, for either half, the lists mined from the other one."""
+
+    def __init__(self, halves: list[list[np.ndarray]], rates: np.ndarray):
+        """halves: lists mined from each half; rates: of each half's lists, how often a word of any text hits them."""
+        self.which = [{int(b): k for k, x in enumerate(lists) for b in x} for lists in halves]
+        self.rates = rates
+        self.listed = np.zeros(BUCKETS, bool)
+        for w in self.which:
+            self.listed[list(w)] = True
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def lists_say(self, buckets: Iterable[int], n_words: int, half: int) -> list[int]:
+        hits, which = [0] * LISTS, self.which[1 - half]
+        for b in buckets:
+            if (k := which.get(b)) is not None:
+                hits[k] += 1
+        return [1 if h > np.floor(CHANCE * n_words * r) else -1 for h, r in zip(hits, self.rates[1 - half])]
+
+    def vote(self, text: str, half: int) -> list[int]:
+        """Votes on a whole text; only the listed buckets of a word are remembered."""
+        words, known = words_of(text), self.known
+        if len(known) + len(words) > REMEMBERED:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = tuple(b for b in terms(w) if self.listed[b])
+        buckets = set().union(*filter(None, map(known.__getitem__, words)))
+        return patterns(text, words) + self.lists_say(buckets, len(words), half)
+
+
+def voters_of(bags: list[np.ndarray], n_words: np.ndarray, half: np.ndarray, y: np.ndarray) -> Voters:
+    """Voters with the lists that labelled rows of each half mark."""
+    halves = [mined([b for b, x in zip(bags, half) if x == h], y[half == h]) for h in (0, 1)]
+    total = max(1, int(n_words.sum()))
+    seen = np.bincount(np.concatenate([np.empty(0, "i4"), *bags]), minlength=BUCKETS)
+    return Voters(halves, np.array([[seen[x].sum() / total for x in lists] for lists in halves]))
+
+
 def fit_sample(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
-    """A model from texts, in memory; a label of -1 is none."""
-    return _fit([_terms(t) for t in texts], np.array([patterns(t, words_of(t)) for t in texts]), y)
+    """A model from texts, in memory; a label of -1 is none. A text's place is its id."""
+    known = np.flatnonzero(y >= 0)
+    bags, n_words = [_terms(texts[k]) for k in known], np.array([len(words_of(texts[k])) for k in known])
+    half = np.array([half_of(k) for k in range(len(texts))])
+    if len(np.unique(y[known])) < 2:
+        return _share(y[known])
+    voters = voters_of(bags, n_words, half[known], y[known])
+    votes = np.array([voters.vote(t, h) for t, h in zip(texts, half)])
+    return _learn(voters, LabelModel(votes), bags, votes[known], y[known])
 
 
-def _terms(text: str) -> np.ndarray:
-    return np.unique(np.array([f for w in words_of(text) for f in terms(w)], "i4"))
+def _share(y: np.ndarray) -> tuple[np.ndarray, float]:
+    share = min(max(y.mean() if len(y) else 0.0, 0.01), 0.99)
+    return np.zeros(BUCKETS), float(np.log(share / (1 - share)))
 
 
-def weak_labels(bags: list[np.ndarray], fixed: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, LabelModel]:
-    """(posteriors, listed terms, label model) of rows with labels 1, 0 or -1 for none."""
-    rows, known = np.arange(len(y)), y >= 0
-    half = np.cumsum(known) % 2  # labelled rows in turn; an unlabelled row goes with the one before it
-    halves = [mined([bags[k] for k in rows[known & (half == h)]], y[known & (half == h)]) for h in (0, 1)]
-    listed = np.zeros(BUCKETS, bool)
-    hits = np.zeros((len(y), LISTS), "i8")
-    for h in (0, 1):
-        which = np.full(BUCKETS, LISTS)
-        for k, x in enumerate(halves[1 - h]):  # the other half's lists
-            which[x] = k
-            listed[x] = True
-        for k in rows[half == h]:
-            hits[k] = np.bincount(which[bags[k]], minlength=LISTS + 1)[:LISTS]
-    many = hits.sum(axis=1)
-    share = many / np.maximum([len(b) for b in bags], 1)
-    vote = lambda x, low, high: np.where(x >= high, 1, np.where(x < low, -1, 0))
-    votes = np.column_stack([fixed, (hits > 0).astype("i8"), *(vote(many, *e) for e in COUNTS), *(vote(share, *e) for e in SHARES)])
-    model = LabelModel(votes)
-    return calibrated(model.evidence(votes), known, y[known]), listed, model
-
-
-def _fit(bags: list[np.ndarray], fixed: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    labels = y[y >= 0]
-    if len(np.unique(labels)) < 2:
-        share = min(max(labels.mean() if len(labels) else 0.0, 0.01), 0.99)
-        return np.zeros(BUCKETS), float(np.log(share / (1 - share)))
-    q, listed, _ = weak_labels(bags, fixed, y)
-    return logistic([b[listed[b]] for b in bags], q)
+def _learn(voters: Voters, model: LabelModel, bags: list[np.ndarray], votes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """The classifier, from the posteriors of labelled rows."""
+    q = calibrated(model.evidence(votes), np.ones(len(y), bool), y)
+    return logistic([b[voters.listed[b]] for b in bags], q)
 
 
 class Scorer:
@@ -210,23 +242,43 @@ class Scorer:
         return float(1 / (1 + np.exp(-min(max(z, -30), 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn: Column | None = None, rows: int = SAMPLE, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float]:
-    """A model from at most `rows` labelled and `unlabelled` other documents of those that may be learnt from; without
-    labels of both kinds it says the share of toxic rows. Terms and votes are made in tasks; the driver gets so many
-    rows of them at most."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn: Column | None = None, rows: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """A model from at most `rows` labelled documents and the votes on all documents that may be learnt from; without
+    labels of both kinds it says the share of toxic rows.
+
+    Terms and votes are made in tasks. The driver gets the terms of so many rows at most, and one row for each
+    combination of votes, of which there are at most 3 * 2 * 2 * 2^LISTS however many documents vote.
+    """
     allowed = F.lit(True) if may_learn is None else may_learn
-    sample = labelled_sample(docs, labels, label, allowed, rows)
-    more = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & allowed).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(unlabelled).distinct()
-    more = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(more), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "ids": [_terms(t).tobytes() for t in pdf["text"]], "votes": [patterns(t, words_of(t)) for t in pdf["text"]]})
-
-    both = sample.select("doc_id", "text", "label").unionByName(more.select("doc_id", "text", F.lit(-1).alias("label")))
-    t = both.mapInPandas(seen, "doc_id long, label int, ids binary, votes array<int>").toPandas()
-    t = t.sort_values(["doc_id", "label"]).drop_duplicates("doc_id", keep="last")  # of a row in both samples, the label
-    return _fit([np.frombuffer(i, "i4") for i in t["ids"]], np.array([list(v) for v in t["votes"]]), t["label"].clip(-1, 1).to_numpy().astype("int64"))
+            words = [words_of(t) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "ids": [_terms(t).tobytes() for t in pdf["text"]], "n_words": [len(w) for w in words], "fixed": [patterns(t, w) for t, w in zip(pdf["text"], words)]})
+
+    sample = labelled_sample(docs, labels, label, allowed, rows).select(F.col("doc_id").cast("long"), "text", "label")
+    t = sample.mapInPandas(seen, "doc_id long, label int, ids binary, n_words long, fixed array<int>").toPandas().sort_values("doc_id")
+    bags, y = [np.frombuffer(i, "i4") for i in t["ids"]], t["label"].clip(0, 1).to_numpy().astype("int64")
+    if len(np.unique(y)) < 2:
+        return _share(y)
+    half = np.array([half_of(d) for d in t["doc_id"].tolist()])
+    voters = voters_of(bags, t["n_words"].to_numpy(), half, y)
+    shared = docs.sparkSession.sparkContext.broadcast((voters.which, voters.rates, np.flatnonzero(voters.listed)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
+        own, counts = Voters([], np.empty(0)), Counter()
+        own.which, own.rates = shared.value[:2]
+        own.listed[shared.value[2]] = True
+        for b in sliced(batches):
+            counts.update(bytes(v + 1 for v in own.vote(text, half_of(d))) for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["votes", "n"])
+
+    voting = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & allowed).select(F.col("doc_id").cast("long"), "text")
+    said = voting.mapInArrow(count, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").toPandas()
+    model = LabelModel(np.array([list(v) for v in said["votes"]]) - 1, said["n"].to_numpy())
+    votes = np.array([list(f) + voters.lists_say(b.tolist(), n, h) for f, b, n, h in zip(t["fixed"], bags, t["n_words"], half)])
+    return _learn(voters, model, bags, votes, y)
 
 
 def scored(docs: DataFrame, weights: np.ndarray, bias: float, column: str = "score") -> DataFrame:
