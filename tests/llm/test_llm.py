@@ -668,11 +668,13 @@ def test_pipeline_stages(spark, sf, empty):
     import corpus_pipeline as c
 
     assert [n for n, _ in c.STAGES] == ["toxicity", "quality", "simhash_near_dedup", "secret_scans", "best_fit_packing"]
-    start = spark.read.parquet(f"{sf}/documents.parquet").withColumn("score", F.lit("kept"))
+    taken = ["score", "_toxicity", "_quality", "_kept", "_text", "_KEPT_", "component_id", "key"]
+    start = spark.read.parquet(f"{sf}/documents.parquet").select("*", *(F.lit(f"own {n}").alias(n) for n in taken))
     frames = [start]
     for _, stage in c.STAGES:
         frames.append(stage(spark, frames[-1], sf))
     assert all(f.columns == start.columns for f in frames[:-1])
+    assert all(r[n] == f"own {n}" for f in frames[:-1] for r in f.select(*(F.col(f"`{n}`") for n in taken)).collect() for n in taken)
     texts = [{r["doc_id"]: r["text"] for r in f.collect()} for f in frames[:-1]]
     assert not any("idiot" in (t or "") for t in texts[1].values()) and sum("clean words" in (t or "") for t in texts[1].values()) == 60
     assert not any("###" in (t or "") for t in texts[2].values()) and sum("clean words" in (t or "") for t in texts[2].values()) == 60

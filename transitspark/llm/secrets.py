@@ -223,7 +223,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(kind))
-    return out.select(docs.columns)
+    return out
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
