@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transitspark.llm import packing, quality, secrets, simhash, toxicity
-from transitspark.llm.common import crc_of_id, staged, table
+from transitspark.llm.common import crc_of_id, free_name, staged, table
 from transitspark.llm.token_files import tokenizer_path
 
 #: Rejected from this score on, and below this score.
@@ -22,22 +22,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC; learns from the rows that the query learns from. A null text scores
     as an empty one."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", crc_of_id("doc_id") % 3 != 1)
-    return toxicity.scored(docs, *model, column="_toxicity").where(F.col("_toxicity") < TOXIC).select(docs.columns)
+    score = free_name(docs, "_toxicity")
+    return toxicity.scored(docs, *model, column=score).where(F.col(f"`{score}`") < TOXIC).drop(score)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is POOR or more. A null text scores as an empty one."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", crc_of_id("doc_id") % 5 != 0)
-    return quality.scored(docs, *model, column="_quality").where(F.col("_quality") >= POOR).select(docs.columns)
+    score = free_name(docs, "_quality")
+    return quality.scored(docs, *model, column=score).where(F.col(f"`{score}`") >= POOR).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (0.8 of their 5-word shingles): the one with the smallest doc_id. Rows
     that share a doc_id stay or go together; rows without one stay."""
     near = simhash.near_copies(docs)
-    kept = near.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    name = free_name(docs, "_kept")
+    kept = near.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(f"`{name}`"), "left_semi")
+    return named.union(docs.where("doc_id is null"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
