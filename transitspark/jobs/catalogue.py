@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ephemeris import Ephemeris, center, finite, in_window, phase, predicted_events
 from ..functions.stellar import duration_informed_a, inclination_degrees, q_to_u, u_to_q
-from ..operators import cleaning, diagnostics, events, posterior, recovery, residuals, sampling, search, snapshots, transit, windows
+from ..operators import cleaning, diagnostics, events, metadata, posterior, recovery, residuals, rules, sampling, search, snapshots, transit, windows
 from ..sources import fits
 from ..sources.light_curves import from_events, read_fits_light_curves, write_fits_light_curves
 from ..sources.shared import shared_folder
@@ -450,6 +450,51 @@ def timing_support_corners(spark, sf_dir):
     return rounded(snapshots.timing_corners(windows.accepted_cadences(finite_curves(spark, sf_dir), E), E, 0.01, 0.05))
 
 
+_SPOILT = """bad AS (SELECT target_id, event_number, cadence_id, time, flux, CASE WHEN cadence_id % 40 = 0 THEN 0 WHEN cadence_id % 41 = 0 THEN CAST('nan' AS DOUBLE) ELSE flux_err END AS flux_err, CASE WHEN cadence_id % 60 = 0 THEN ' ' ELSE product_id END AS product_id FROM acc),
+ twice AS (SELECT * FROM bad UNION ALL SELECT * FROM bad WHERE cadence_id % 50 = 0), ia AS (SELECT DISTINCT concat(target_id, ':', event_number) AS k FROM twice), ib AS (SELECT DISTINCT concat(target_id, ':', event_number) AS k FROM audit WHERE (included OR event_number % 7 = 1) AND event_number % 5 <> 0)"""
+_SPOILT_RULES = {
+    "finite_flux": "NOT isfinite(flux)", "finite_flux_err": "NOT isfinite(flux_err)", "positive_flux_err": "NOT (flux_err > 0) OR isnan(flux_err)", "named_product_id": "trim(product_id) = ''",
+}
+
+
+@query(f"WITH {FIN}, {_AUDIT}, {_SPOILT} " + " UNION ALL ".join(f"SELECT 'accepted' AS \"table\", '{n}' AS rule, count(*) AS n_rows, count(*) FILTER ({c}) AS n_failed FROM twice" for n, c in _SPOILT_RULES.items())
+       + " UNION ALL SELECT 'accepted', 'unique_cadence_id', NULL, count(*) FROM (SELECT cadence_id FROM twice GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'accepted', 'events_are_those_included', NULL, (SELECT count(*) FROM ia ANTI JOIN ib USING (k)) + (SELECT count(*) FROM ib ANTI JOIN ia USING (k))"
+       + " UNION ALL SELECT 'accepted', 'one_center_an_event', NULL, 0")
+def rule_report(spark, sf_dir):
+    """Rules on accepted cadences of which some are spoilt: errors and products are missing, every fiftieth is there twice, and the audit has other events."""
+    curves = finite_curves(spark, sf_dir)
+    key = F.concat(F.col("target_id").cast("string"), F.lit(":"), F.col("event_number").cast("string"))
+    errors = F.when(F.col("cadence_id") % 40 == 0, 0.0).when(F.col("cadence_id") % 41 == 0, float("nan")).otherwise(F.col("flux_err"))
+    bad = windows.accepted_cadences(curves, E).withColumns({"flux_err": errors, "product_id": F.when(F.col("cadence_id") % 60 == 0, " ").otherwise(F.col("product_id")), "event": key})
+    audit = windows.window_audit(curves, E).withColumn("event", key)
+    made = [
+        rules.Row("accepted", "finite_flux", rules.finite("flux"), ("flux",)), rules.Row("accepted", "finite_flux_err", rules.finite("flux_err"), ("flux_err",)), rules.Row("accepted", "positive_flux_err", "flux_err > 0 AND NOT isnan(flux_err)", ("flux_err",)),
+        rules.Row("accepted", "named_product_id", "trim(product_id) <> ''", ("product_id",)), rules.Unique("accepted", ("cadence_id",)), rules.SameSet("accepted", "event", "audit", "event", "events_are_those_included", other_where="(included OR event_number % 7 = 1) AND event_number % 5 <> 0"),
+        rules.Statement("accepted", "one_center_an_event", "SELECT event FROM {accepted} GROUP BY event HAVING max(center) - min(center) > 1e-9", ("accepted",)),
+    ]
+    return rules.report(spark, {"accepted": bad.unionByName(bad.where("cadence_id % 50 = 0")), "audit": audit}, made).drop("samples")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey // 20 AS target_id, p_partkey % 20 AS at, p_size AS s, CASE WHEN p_partkey % 6 = 5 THEN 'short' ELSE 'Long' END AS cadence FROM part),
+ x AS (SELECT *, s % 2 = 0 AS has_int, s % 3 <> 0 AS has_frames, s % 5 = 0 AS has_frame_time, s % 7 < 3 AS has_interval, row_number() OVER (PARTITION BY target_id ORDER BY p_partkey) - 1 AS i FROM p),
+ y AS (SELECT *, CASE WHEN has_int AND has_frames THEN 'INT_TIME;NUM_FRM' WHEN has_frame_time AND has_frames THEN 'FRAMETIM;NUM_FRM' WHEN has_interval THEN 'TIMEDEL' WHEN cadence = 'Long' THEN '' END AS exposure_metadata_key,
+  CASE WHEN has_int AND has_frames THEN 6.0::DOUBLE * s / 86400 WHEN has_frame_time AND has_frames THEN 6.5::DOUBLE * s / 86400 WHEN has_interval THEN 0.5::DOUBLE WHEN cadence = 'Long' THEN 1765.5::DOUBLE / 86400 END AS days FROM x)
+ SELECT target_id, CAST(i AS INTEGER) AS product_index, CASE WHEN s % 4 = 0 THEN concat('lc', p_partkey, '.fits') WHEN s % 4 = 1 THEN concat('star ', s) ELSE concat('product_', lpad(CAST(i AS VARCHAR), 2, '0')) END AS product_id, CASE WHEN s % 4 = 2 THEN CAST(s % 17 AS VARCHAR) ELSE '' END AS quarter,
+  exposure_metadata_key, round(days, 9) AS exposure_duration_days FROM y""")
+def product_metadata(spark, sf_dir):
+    """Parts stand for products whose headers have some keys and lack others: identity, quarter and exposure by precedence."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_size").alias("s"))
+    entry = lambda holds, key, value: F.when(holds, F.struct(F.lit(key).alias("key"), value.cast("string").alias("value")))
+    s = F.col("s")
+    entries = F.array_compact(F.array(
+        entry(s % 2 == 0, "INT_TIME", F.lit("6.0")), entry(s % 3 != 0, "NUM_FRM", s), entry(s % 5 == 0, "FRAMETIM", F.lit("6.5")), entry(s % 7 < 3, "TIMEDEL", F.lit("0.5")),
+        entry(s % 4 == 0, "FILENAME", F.concat(F.lit("/data/lc"), F.col("p_partkey").cast("string"), F.lit(".fits"))), entry(s % 4 == 1, "OBJECT", F.concat(F.lit("star "), s.cast("string"))), entry(s % 4 == 2, "QUARTER", s % 17),
+    ))
+    products = p.select(F.expr("p_partkey div 20").alias("target_id"), "p_partkey", F.when(F.col("p_partkey") % 6 == 5, "short").otherwise("Long").alias("cadence"), F.map_from_entries(entries).alias("meta"))
+    found = metadata.exposures(metadata.identified(products, "p_partkey"))
+    return rounded(found.select("target_id", "product_index", "product_id", "quarter", "exposure_metadata_key", "exposure_duration_days"), 9)
+
+
 # ----------------------------------------------------------------------------------------------------------- search
 _SMALL = search.SearchConfig(max_duration=0.2, n_durations=3, n_periods=40)
 
