@@ -20,6 +20,8 @@ from ..operators import cleaning, diagnostics, events, metadata, posterior, reco
 from ..sources import fits
 from ..sources.light_curves import from_events, read_fits_light_curves, write_fits_light_curves
 from ..sources.shared import shared_folder
+from ..sources.versions import VersionedTable
+from ..streaming import phase_bins
 
 E = Ephemeris(2.5, 0.4, 0.4)
 SIGMA, HALF, FRACTION = 3.0, 0.6, 0.7
@@ -202,6 +204,15 @@ def phase_binned_curve(spark, sf_dir):
     return rounded(recovery.binned_curve(finite_curves(spark, sf_dir), E, 50))
 
 
+@query(f"""WITH {FIN}, b AS (SELECT target_id, CAST(least(floor(({sql_phase()} / {P} + 0.5) * 24), 23) AS INTEGER) AS bin, {sql_phase()} AS p, flux FROM fin),
+ g AS (SELECT target_id, bin, avg(p) AS phase_mean, avg(flux) AS flux_mean, count(*) AS n FROM b GROUP BY ALL) {sql_rounded('target_id bin ~phase_mean ~flux_mean n', 'g')}""")
+def streamed_phase_bins(spark, sf_dir):
+    """The events table read as a stream, its sums by phase bin kept batch by batch."""
+    sink = phase_bins.PhaseBinSink(spark, shared_folder(spark), E, 24)
+    phase_bins.run(phase_bins.event_stream(spark, sf_dir), sink).awaitTermination()
+    return rounded(sink.curve())
+
+
 # --------------------------------------------------------------------------------------------------- known recovery
 def _sql_depths(source: str, value: str, inside: str, outside: str) -> str:
     return f"""d AS (SELECT target_id, count(*) FILTER ({inside}) AS n_in, count(*) FILTER ({outside}) AS n_out, median({value}) FILTER ({inside}) AS flux_in,
@@ -675,6 +686,18 @@ def run_index_upsert(spark, sf_dir):
     return rounded(snapshots.upsert(o.where("run % 3 <> 0"), news, "run"))
 
 
+@query("WITH n AS (SELECT o_custkey AS run, o_orderstatus AS mode, o_orderkey AS seq, o_totalprice AS best FROM orders), i AS (SELECT * FROM n WHERE seq % 3 = 0), u AS (SELECT * FROM n WHERE seq % 3 <> 0 AND run % 2 = 0), "
+       "l AS (SELECT *, 1 AS k FROM i QUALIFY row_number() OVER (PARTITION BY run, mode ORDER BY seq DESC) = 1), m AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY run, mode ORDER BY seq DESC) = 1) "
+       "SELECT run, mode, seq, round(best, 6) AS best FROM m UNION ALL SELECT run, mode, seq, round(best, 6) FROM l ANTI JOIN m USING (run, mode)")
+def run_index_versions(spark, sf_dir):
+    """A versioned index of runs: orders of every third key first, then news of even customers, of which the last counts."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("run"), F.col("o_orderstatus").alias("mode"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("best"))
+    index = VersionedTable(spark, shared_folder(spark), "run long, mode string, seq long, best double")
+    index.upsert(o.where("seq % 3 = 0"), ("run", "mode"), "seq")
+    index.upsert(o.where("seq % 3 <> 0 AND run % 2 = 0"), ("run", "mode"), "seq")
+    return rounded(index.read())
+
+
 @query(f"""WITH {FIN}, {_sql_depths('fin', 'flux', f'abs({sql_phase()}) <= {E.duration / 2!r}::DOUBLE', f'NOT abs({sql_phase()}) <= {E.duration / 2!r}::DOUBLE')},
  x AS (SELECT target_id, depth, flux_out, 2.0::DOUBLE AS depth_reference, 50.0::DOUBLE AS flux_out_reference, depth - 2 AS depth_difference, flux_out - 50 AS flux_out_difference, (depth - 2) / 2 AS depth_share, (flux_out - 50) / 50 AS flux_out_share FROM d2)
  {sql_rounded('target_id ~depth ~flux_out depth_reference flux_out_reference ~depth_difference ~flux_out_difference ~depth_share ~flux_out_share', 'x')}""")

@@ -17,7 +17,11 @@ def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Time is days since the start of 2024. The projection reads four columns and stays in one stage.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return curves_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def curves_of(events: DataFrame) -> DataFrame:
+    """Rows of the events table, or a stream of them, as light curves."""
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))")
     return events.select(
         F.expr("user_id div 10").alias("target_id"),
