@@ -210,7 +210,12 @@ def test_exposures_differ_by_cadence(spark):
     one = transit.fit_targets(df.drop("exposure"), timing, 0.11, 0.02, n_starts=2).first()
     assert abs(own["rp"] - 0.1) < 0.005 and own["objective"] < one["objective"]
     parts = transit.stability_fits(df.withColumn("quarter", F.lit("q1")), timing, 0.11, 0.02, "quarter", n_starts=1)
-    assert {r["subset"] for r in parts.collect()} == {"first_half", "second_half", "q1"}
+    rows = {r["subset"]: r for r in parts.collect()}
+    assert set(rows) == {"early_mission", "late_mission", "quarter_q1"} and {r["status"] for r in rows.values()} == {transit.FITTED_SUBSET}
+    assert rows["early_mission"]["n_cadences"] + rows["late_mission"]["n_cadences"] == rows["quarter_q1"]["n_cadences"] == df.count() and abs(rows["quarter_q1"]["rp"] - 0.1) < 0.01
+    few = df.orderBy("time").limit(30).unionByName(df.orderBy("time").limit(60).withColumn("target_id", F.lit(77).cast("long")).withColumn("event_number", F.lit(0).cast("long")))
+    thin = transit.stability_fits(few.withColumn("quarter", F.lit(None).cast("string")), timing, 0.11, 0.02, "quarter", n_starts=1).collect()
+    assert len(thin) == 4 and all(r["status"] == transit.SKIPPED_SUBSET and r["rp"] is None for r in thin)  # too few cadences, or one event
 
 
 def test_warnings_on_starts(spark):
@@ -282,7 +287,13 @@ def test_refined_candidates_come_closer(spark):
     assert "maximum_boundary" not in best["warnings"]
     three = {r["alias"]: r for r in search.aliases(df, got_frame(spark, best), c).collect()}
     assert three["P"]["power"] > three["P/2"]["power"] if three["P/2"]["valid"] else True
-    assert not three["P/2"]["valid"] and three["P/2"]["power"] is None and three["2P"]["valid"]
+    assert not three["P/2"]["valid"] and three["P/2"]["power"] is None and three["2P"]["valid"] and three["P/2"]["n_events"] is three["P/2"]["inconsistent"] is None
+    for name in ("P", "2P"):  # each like a single ephemeris
+        r = three[name]
+        own = events.event_diagnostics(df, Ephemeris(r["period"], r["transit_time"], r["duration"]))
+        want = events.odd_even(own).first()
+        assert (r["n_events"], r["n_odd"], r["n_even"], r["trigger"]) == (own.count(), want["n_odd"], want["n_even"], want["trigger"])
+        assert [r[x] is None or math.isclose(r[x], want[x]) for x in ("odd_depth", "even_depth", "difference", "ratio", "scatter")] == [True] * 5
 
 
 def got_frame(spark, row):

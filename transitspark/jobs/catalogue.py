@@ -217,10 +217,10 @@ def streamed_phase_bins(spark, sf_dir):
 def _sql_depths(source: str, value: str, inside: str, outside: str) -> str:
     return f"""d AS (SELECT target_id, count(*) FILTER ({inside}) AS n_in, count(*) FILTER ({outside}) AS n_out, median({value}) FILTER ({inside}) AS flux_in,
   median({value}) FILTER ({outside}) AS flux_out, stddev_pop({value}) FILTER ({outside}) AS scatter_out FROM {source} GROUP BY target_id HAVING n_in > 0 AND n_out > 1),
- d2 AS (SELECT *, flux_out - flux_in AS depth, CASE WHEN scatter_out > 0 THEN (flux_out - flux_in) / (scatter_out * sqrt(1 / n_in::DOUBLE + 1 / n_out::DOUBLE)) WHEN flux_out - flux_in <= 0 THEN 0 END AS snr FROM d)"""
+ d2 AS (SELECT *, flux_out - flux_in AS depth, CASE WHEN scatter_out > 0 THEN (flux_out - flux_in) / (scatter_out * sqrt(1 / n_in::DOUBLE + 1 / n_out::DOUBLE)) WHEN flux_out - flux_in <= 0 THEN 0 END AS snr, scatter_out = 0 AND flux_out - flux_in > 0 AS snr_unbounded FROM d)"""
 
 
-_DEPTH = "target_id n_in n_out ~flux_in ~flux_out ~scatter_out ~depth ~snr"
+_DEPTH = "target_id n_in n_out ~flux_in ~flux_out ~scatter_out ~depth ~snr snr_unbounded"
 
 
 @query(f"WITH {FIN}, {_sql_depths('fin', 'flux', f'abs({sql_phase()}) <= {E.duration / 2!r}::DOUBLE', f'NOT abs({sql_phase()}) <= {E.duration / 2!r}::DOUBLE')} {sql_rounded(_DEPTH, 'd2')}")

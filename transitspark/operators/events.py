@@ -43,10 +43,32 @@ def event_diagnostics(cadences: DataFrame, e: Ephemeris) -> DataFrame:
     return out.withColumn("depth", F.when(F.col("usable"), F.col("flux_base") - F.col("flux_in"))).withColumn("parity", F.when(F.col("event_number") % 2 == 1, "odd").otherwise("even"))
 
 
-def odd_even(events: DataFrame) -> DataFrame:
-    """Per target, the depths of odd and even events and whether they differ more than chance allows."""
+def candidate_events(cadences: DataFrame, candidates: DataFrame, *by: str) -> DataFrame:
+    """event_diagnostics of candidates(target_id, by, period, duration, transit_time), each with an ephemeris of its own;
+    the columns `by` tell those of one target apart. Events without cadences near them have no row.
+
+    Cadences meet the candidates of their target, and their events by arithmetic on the cycle.
+    """
+    span = cadences.groupBy("target_id").agg(F.min("time").alias("_t_min"), F.max("time").alias("_t_max"))
+    p, t0, d = F.col("period"), F.col("transit_time"), F.col("duration")
+    first, last = F.ceil((F.col("_t_min") - t0) / p), F.floor((F.col("_t_max") - t0) / p)
+    named = candidates.where("period > 0").select("target_id", *by, "period", "duration", "transit_time").join(span, "target_id").withColumns({"_first": first, "_last": last})
+    df = cadences.select("target_id", "time", "flux").join(named, "target_id")
+    low, high = F.greatest(F.ceil((F.col("time") - OUTER * d - t0) / p), F.col("_first")), F.least(F.floor((F.col("time") + OUTER * d - t0) / p), F.col("_last"))
+    df = df.withColumn("cycle", F.explode(F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
+    distance = F.abs(F.col("time") - (t0 + F.col("cycle") * p))
+    inside, base = distance <= d / 2, (distance > INNER * d) & (distance <= OUTER * d)
+    out = df.groupBy("target_id", *by, "cycle", (F.col("cycle") - F.col("_first")).alias("event_number")).agg(
+        F.count_if(inside).alias("n_in"), F.count_if(base).alias("n_base"), F.median(F.when(inside, F.col("flux"))).alias("flux_in"), F.median(F.when(base, F.col("flux"))).alias("flux_base")
+    )
+    out = out.withColumn("usable", (F.col("n_in") >= MIN_IN) & (F.col("n_base") >= MIN_BASE))
+    return out.withColumn("depth", F.when(F.col("usable"), F.col("flux_base") - F.col("flux_in"))).withColumn("parity", F.when(F.col("event_number") % 2 == 1, "odd").otherwise("even"))
+
+
+def odd_even(events: DataFrame, *by: str) -> DataFrame:
+    """Per target and the columns `by`, the depths of odd and even events and whether they differ more than chance allows."""
     usable, odd = F.col("usable"), F.col("parity") == "odd"
-    df = events.groupBy("target_id").agg(
+    df = events.groupBy("target_id", *by).agg(
         F.count("*").alias("n_events"), F.count_if(usable & odd).alias("n_odd"), F.count_if(usable & ~odd).alias("n_even"),
         F.median(F.when(odd, F.col("depth"))).alias("odd_depth"), F.median(F.when(~odd, F.col("depth"))).alias("even_depth"),
         F.when(F.count("depth") > 1, F.stddev_pop("depth")).alias("scatter"),

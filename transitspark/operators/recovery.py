@@ -16,7 +16,8 @@ def summarize(cadences: DataFrame, *by: str) -> DataFrame:
 
 
 def snr(depth: Column, scatter: Column, n_in: Column, n_out: Column) -> Column:
-    """Depth over its uncertainty; without scatter null, but zero where there is no depth."""
+    """Depth over its uncertainty; without scatter null, but zero where there is no depth. A depth without scatter has no
+    bound, which the column snr_unbounded of results says."""
     error = scatter * F.sqrt(1 / n_in + 1 / n_out)
     return F.when(error > 0, F.try_divide(depth, error)).when(depth <= 0, F.lit(0.0))
 
@@ -27,7 +28,8 @@ def _depths(df: DataFrame, value: str, inside: Column, outside: Column, *by: str
         F.median(F.when(outside, F.col(value))).alias("flux_out"), F.stddev_pop(F.when(outside, F.col(value))).alias("scatter_out"),
     ).where("n_in > 0 and n_out > 1")
     stats = stats.withColumn("depth", F.col("flux_out") - F.col("flux_in"))
-    return stats.withColumn("snr", snr(F.col("depth"), F.col("scatter_out"), F.col("n_in"), F.col("n_out")))
+    stats = stats.withColumn("snr", snr(F.col("depth"), F.col("scatter_out"), F.col("n_in"), F.col("n_out")))
+    return stats.withColumn("snr_unbounded", F.coalesce((F.col("scatter_out") == 0) & (F.col("depth") > 0), F.lit(False)))
 
 
 def unique_or_null(column: str) -> Column:
