@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ephemeris import Ephemeris, center, finite, in_window, phase, predicted_events
 from ..functions.stellar import duration_informed_a, inclination_degrees, q_to_u, u_to_q
-from ..operators import cleaning, diagnostics, events, metadata, posterior, recovery, residuals, rules, sampling, search, snapshots, transit, windows
+from ..operators import cleaning, diagnostics, events, history, metadata, posterior, recovery, residuals, rules, sampling, search, snapshots, transit, windows
 from ..sources import fits
 from ..sources.light_curves import from_events, read_fits_light_curves, write_fits_light_curves
 from ..sources.shared import shared_folder
@@ -856,6 +856,22 @@ def effective_sample_sizes(spark, sf_dir):
     return rounded(sampling.effective_sizes(_draws(spark, sf_dir)), 4)
 
 
+def _sql_prefix_sizes(k: int) -> str:
+    """Sizes over the first k of three shares of the steps."""
+    return f"SELECT {k} AS chunk, parameter, n, mean, sd, tau, ess FROM (WITH {_SIZES.replace('WHERE step >= 1000)', f'WHERE step >= 1000 AND step <= 1000 + ((SELECT max(l_orderkey) * 8 + 8 FROM lineitem) - 1000) // 3 * {k})', 1)} SELECT parameter, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, any_value(sz.tau) AS tau, any_value(sz.ess) AS ess FROM dr JOIN sz USING (parameter) GROUP BY parameter)"
+
+
+@query(f"WITH x AS ({' UNION ALL '.join(_sql_prefix_sizes(k) for k in (1, 2, 3))}) SELECT CAST(chunk AS INTEGER) AS chunk, parameter, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(tau, 4) AS tau, round(ess, 3) AS ess FROM x")
+def convergence_history(spark, sf_dir):
+    """A history of three chunks of the draws, each row from its own chunk and the state before it."""
+    draws, h = _draws(spark, sf_dir), history.History(spark, shared_folder(spark))
+    last = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.max("l_orderkey")).first()[0] * 8 + 8
+    third = (last - 1000) // 3
+    for k in (1, 2, 3):
+        h.append(draws.where(F.col("step").between(1001 + third * (k - 1) if k > 1 else 1000, 1000 + third * k)), 1000 + third * k)
+    return h.rows().select(F.expr(f"CAST((steps - 1000) div {third} AS int)").alias("chunk"), "parameter", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round("tau", 4).alias("tau"), F.round("ess", 3).alias("ess"))
+
+
 _HALVES = """nk AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY parameter, ensemble, walker) // 2 AS h FROM dr WINDOW w AS (PARTITION BY parameter, ensemble, walker ORDER BY step, value)),
  ha AS (SELECT parameter, ensemble, walker, k // h AS half, value FROM nk WHERE h >= 2 AND k < 2 * h)"""
 
