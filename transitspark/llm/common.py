@@ -48,14 +48,19 @@ def forget_others(name: str = "", forget: Callable[[], None] | None = None) -> N
     for k in gone:
         _kept.pop(k)()
     if gone:
-        try:
-            ctypes.CDLL(None).malloc_trim(0)  # the C library gives back what is free
-        except (OSError, AttributeError):
-            pass
+        give_back()
     if forget:
         _kept[name] = forget
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, where the C library can do that."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Batches of a few rows each, so that a worker holds few texts as Python objects at a time."""
     for b in batches:

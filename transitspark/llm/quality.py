@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, forget_others, labelled_sample, sliced, table
+from .common import crc_of_id, forget_others, give_back, labelled_sample, sliced, table
 
 BUCKETS, WIDTH, EPOCHS, RATE, SEED = 1 << 16, 12, 10, 0.5, 7
 #: Labelled rows that a model is fitted on, at most.
@@ -59,13 +59,13 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / width, 1 / width, (buckets, width)).astype("f4")
     out, bias = np.zeros((width, 2), "f4"), np.zeros(2, "f4")
-    shares = [(n / n.sum() if len(n) else n) for _, n in bags]
+    totals = [n.sum() for _, n in bags]
     step, total = 0, max(1, epochs * len(bags))
     for _ in range(epochs):
         for k in rng.permutation(len(bags)):
             lr = rate * (1 - step / total)
             step += 1
-            ids, share = bags[k][0], shares[k]
+            ids, share = bags[k][0], bags[k][1] / totals[k] if len(bags[k][0]) else bags[k][1]
             mean = share @ vectors[ids] if len(ids) else np.zeros(width, "f4")
             z = mean @ out + bias
             p = np.exp(z - z.max())
@@ -124,7 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", may_learn: C
     if len(np.unique(y)) < 2:
         share = min(max(y.mean() if len(y) else 0.5, 0.01), 0.99)
         return np.zeros(BUCKETS), float(np.log(share / (1 - share)))
-    return train([(np.frombuffer(i, "i4"), np.frombuffer(n, "f4")) for i, n in zip(t["ids"], t["n"])], y)
+    learnt = train([(np.frombuffer(i, "i4"), np.frombuffer(n, "f4")) for i, n in zip(t["ids"], t["n"])], y)
+    del t
+    give_back()
+    return learnt
 
 
 def scored(docs: DataFrame, weights: np.ndarray, bias: float, column: str = "score") -> DataFrame:

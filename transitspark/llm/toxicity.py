@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_of_id, forget_others, labelled_sample, sliced, table
+from .common import crc_of_id, forget_others, give_back, labelled_sample, sliced, table
 
 BUCKETS = 1 << 19
 #: Labelled rows that lists are mined from and the classifier is fitted on, at most.
@@ -66,11 +66,18 @@ def patterns(text: str, words: set[str]) -> list[int]:
     ]
 
 
+def _counts(bags: Iterable[np.ndarray], buckets: int = BUCKETS) -> np.ndarray:
+    """How many bags hold each bucket."""
+    counts = np.zeros(buckets, "i8")
+    for b in bags:
+        counts[b] += 1  # a bag holds a bucket once
+    return counts
+
+
 def mined(bags: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS) -> list[np.ndarray]:
     """Word lists: buckets far more frequent in toxic rows, strongest first, dealt in turn to LISTS lists."""
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    count = lambda k: np.bincount(np.concatenate([b for b, t in zip(bags, y) if t == k] or [np.empty(0, "i4")]), minlength=buckets)
-    c1, c0 = count(1), count(0)
+    c1, c0 = (_counts((b for b, t in zip(bags, y) if t == k), buckets) for k in (1, 0))
     p1, p0 = c1 / n1, (c0 + 0.5) / n0
     strength = c1 * np.log(np.maximum(p1, 1e-9) / p0)
     strength = np.where((c1 >= 3) & (p1 > 4 * p0) & (strength > STRENGTH), strength, 0)
@@ -195,7 +202,7 @@ def voters_of(bags: list[np.ndarray], n_words: np.ndarray, half: np.ndarray, y:
     """Voters with the lists that labelled rows of each half mark."""
     halves = [mined([b for b, x in zip(bags, half) if x == h], y[half == h]) for h in (0, 1)]
     total = max(1, int(n_words.sum()))
-    seen = np.bincount(np.concatenate([np.empty(0, "i4"), *bags]), minlength=BUCKETS)
+    seen = _counts(bags)
     return Voters(halves, np.array([[seen[x].sum() / total for x in lists] for lists in halves]))
 
 
@@ -278,7 +285,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn: Col
     said = voting.mapInArrow(count, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").toPandas()
     model = LabelModel(np.array([list(v) for v in said["votes"]]) - 1, said["n"].to_numpy())
     votes = np.array([list(f) + voters.lists_say(b.tolist(), n, h) for f, b, n, h in zip(t["fixed"], bags, t["n_words"], half)])
-    return _learn(voters, model, bags, votes, y)
+    learnt = _learn(voters, model, bags, votes, y)
+    del t, bags
+    give_back()
+    return learnt
 
 
 def scored(docs: DataFrame, weights: np.ndarray, bias: float, column: str = "score") -> DataFrame:
