@@ -246,10 +246,10 @@ class WarcWriter(DataSourceArrowWriter):
         name, size = f"{uuid.uuid4().hex}.warc.gz", 0
         with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
             for b in iterator:
-                for page, url, payload, sha1, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to"))):
+                for page, url, payload, n, sha1, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "size", "digest", "refers_to"))):
                     kind = "response" if first is None else "revisit"
                     z = zlib.compressobj(4, zlib.DEFLATED, 31)
-                    data = z.compress(record(kind, page, url, payload, sha1, len(payload), first)) + z.flush()
+                    data = z.compress(record(kind, page, url, payload or b"", sha1, n, first)) + z.flush()
                     f.write(data)
                     size += len(data)
         return Written(name, size)
@@ -286,23 +286,25 @@ def write_pages(pages: DataFrame, folder: str, least: int = 0) -> None:
     """Writes pages(page_id, url, html) as archives: null html is empty, null page_ids are left out.
 
     Of pages with equal payloads of at least `least` bytes the one with the smallest page_id is a response and the
-    others are revisits of it; rows with a page_id of their group's smallest are responses. The digests of a group
-    are reduced to one row before they meet the pages again, and only that join carries the html.
+    others are revisits of it; rows with a page_id of their group's smallest are responses. Which page a revisit refers
+    to is found on rows of ids and digests alone; html moves once, dealt by page_id, so the pages of a payload that is
+    everywhere are spread like any others. A revisit has no html from there on.
     """
     pages.sparkSession.dataSource.register(WarcDataSource)
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     own = pages.where("page_id is not null").select(F.col("page_id").cast("long"), "url", payload.alias("payload"))
-    own = own.withColumn("sha1", F.sha1("payload"))
-    firsts = own.where(F.octet_length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
-    rows = own.join(firsts, "sha1", "left")
+    own = own.withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
+    firsts = own.where(F.col("size") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
+    revisits = own.select("page_id", "sha1").join(firsts, "sha1").where("page_id <> first").distinct()
+    rows = own.join(revisits, ["page_id", "sha1"], "left").withColumn("payload", F.when(F.col("first").isNull(), F.col("payload")))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sha1 = [base64.b32encode(bytes.fromhex(x)).decode() for x in b.column("sha1").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("payload"), pa.array(sha1), b.column("refers_to")], ["page_id", "url", "payload", "digest", "refers_to"])
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("payload"), b.column("size"), pa.array(sha1, pa.string()), b.column("refers_to")], ["page_id", "url", "payload", "size", "digest", "refers_to"])
 
-    rows = rows.select("page_id", "url", "payload", "sha1", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
-    rows.mapInArrow(named, "page_id long, url string, payload binary, digest string, refers_to long").write.format("warc").mode("append").save(folder)
+    rows = rows.select("page_id", "url", "payload", "size", "sha1", F.col("first").alias("refers_to"))
+    rows.mapInArrow(named, "page_id long, url string, payload binary, size long, digest string, refers_to long").write.format("warc").mode("append").save(folder)
 
 
 def read_archives(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
