@@ -761,16 +761,6 @@ def posterior_correlation(spark, sf_dir):
     return rounded(posterior.correlations(_chain(spark, sf_dir), _PARAMETERS))
 
 
-@query()
-def convergence_criteria(spark, sf_dir):
-    """The eleven conditions on the draws of four ensembles."""
-    draws = _draws(spark, sf_dir)
-    grown = draws.withColumn("chunk", F.explode(F.array(*map(F.lit, range(1, 5))))).where("ensemble < chunk").withColumn("steps", F.col("chunk") * 100)
-    stable = posterior.stability(posterior.summary(grown, "steps"))
-    finite_ = _chain(spark, sf_dir).select(finite("log_a").alias("is_finite"))
-    return posterior.criteria(posterior.split_rhat(draws), sampling.effective_sizes(draws), stable, posterior.agreement(draws), finite_, _PARAMETERS, 1000)
-
-
 # ---------------------------------------------------------------------------------------------------------- scalars
 @query("""WITH p AS (SELECT p_partkey, p_size / 50.0::DOUBLE AS q1, (p_partkey % 100) / 100.0::DOUBLE AS q2 FROM part), u AS (SELECT *, 2 * sqrt(q1) * q2 AS u1, sqrt(q1) * (1 - 2 * q2) AS u2 FROM p)
  SELECT p_partkey, round(u1, 6) AS u1, round(u2, 6) AS u2, round((u1 + u2) * (u1 + u2), 6) AS q1, round(CASE WHEN u1 + u2 > 0 THEN u1 / (2 * (u1 + u2)) END, 6) AS q2 FROM u""")
@@ -872,6 +862,28 @@ def convergence_history(spark, sf_dir):
     return h.rows().select(F.expr(f"CAST((steps - 1000) div {third} AS int)").alias("chunk"), "parameter", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round("tau", 4).alias("tau"), F.round("ess", 3).alias("ess"))
 
 
+def _sql_all(condition: str, source: str) -> str:
+    return f"(SELECT count(*) FILTER (coalesce({condition}, false)) = {len(_PARAMETERS)} FROM {source})"
+
+
+_CRITERIA = {
+    "complete_valid_rhat": _sql_all("isfinite(rhat)", "r"), "rhat_all_below_threshold": _sql_all("isfinite(rhat) AND rhat < 1.01", "r"), "complete_valid_bulk_ess": _sql_all("isfinite(ess)", "s"), "complete_valid_tail_ess": _sql_all("isfinite(tail_ess)", "s"),
+    "ess_all_above_minimum": _sql_all("isfinite(ess) AND ess >= 1000", "s"), "tail_ess_all_above_minimum": _sql_all("isfinite(tail_ess) AND tail_ess >= 1000", "s"), "complete_valid_autocorrelation": _sql_all("isfinite(tau)", "s"),
+    "chain_length_exceeds_tau_multiple": _sql_all("isfinite(tau) AND 1000 > 50 * tau", "s"), "posterior_summary_stability": "(SELECT bool_and(coalesce(stable, false)) FROM st)", "independent_ensemble_agreement": "(SELECT bool_and(coalesce(agrees, false)) FROM ag)",
+    "finite_log_probability_fraction_is_one": "(SELECT bool_and(isfinite(l_extendedprice / 10000)) FROM lineitem)",
+}
+
+
+@query(f"WITH r AS ({ORACLES['split_rhat']}), s AS ({ORACLES['effective_sample_sizes']}), st AS ({ORACLES['stability_check']}), ag AS ({ORACLES['ensemble_agreement']}) " + " UNION ALL ".join(f"SELECT '{n}' AS criterion, coalesce({c}, false) AS holds" for n, c in _CRITERIA.items()))
+def convergence_criteria(spark, sf_dir):
+    """The eleven conditions on the draws of four ensembles."""
+    draws = _draws(spark, sf_dir)
+    grown = draws.withColumn("chunk", F.explode(F.array(*map(F.lit, range(1, 5))))).where("ensemble < chunk").withColumn("steps", F.col("chunk") * 100)
+    stable = posterior.stability(posterior.summary(grown, "steps"))
+    finite_ = _chain(spark, sf_dir).select(finite("log_a").alias("is_finite"))
+    return posterior.criteria(posterior.split_rhat(draws), sampling.effective_sizes(draws), stable, posterior.agreement(draws), finite_, _PARAMETERS, 1000)
+
+
 _HALVES = """nk AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY parameter, ensemble, walker) // 2 AS h FROM dr WINDOW w AS (PARTITION BY parameter, ensemble, walker ORDER BY step, value)),
  ha AS (SELECT parameter, ensemble, walker, k // h AS half, value FROM nk WHERE h >= 2 AND k < 2 * h)"""
 
