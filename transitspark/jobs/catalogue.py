@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ephemeris import Ephemeris, center, finite, in_window, phase, predicted_events
-from ..functions.stellar import duration_informed_a, inclination_degrees, q_to_u, u_to_q
+from ..functions.stellar import PHYSICAL, duration_informed_a, inclination_degrees, plain_name, q_to_u, run_id, u_to_q, violations
 from ..operators import cleaning, diagnostics, events, history, metadata, posterior, recovery, residuals, rules, sampling, search, snapshots, transit, windows
 from ..sources import fits
 from ..sources.light_curves import from_events, read_fits_light_curves, write_fits_light_curves
@@ -461,6 +461,15 @@ def timing_support_corners(spark, sf_dir):
     return rounded(snapshots.timing_corners(windows.accepted_cadences(finite_curves(spark, sf_dir), E), E, 0.01, 0.05))
 
 
+@query(f"""WITH {FIN}, {_AUDIT}, m AS (SELECT target_id, CAST(round_even((median(time) - {T0}) / {P}, 0) AS BIGINT) AS mid_cycle FROM acc GROUP BY ALL),
+ v AS (SELECT target_id, cycle, median(center) AS center, min(time) AS first, max(time) AS last FROM acc GROUP BY ALL), r AS (SELECT *, least(center - first, last - center) - 0.25::DOUBLE * {D} AS room, abs(cycle - mid_cycle) AS away FROM v JOIN m USING (target_id)),
+ g AS (SELECT target_id, mid_cycle, count(*) AS n_events, count(*) FILTER (room <= 0) AS n_beyond, min(CASE WHEN away > 0 THEN room / away END) AS least_ FROM r GROUP BY ALL),
+ x AS (SELECT target_id, mid_cycle, {T0} + mid_cycle * {P} AS mid_epoch, 0.25::DOUBLE * {D} AS epoch_half_width, CASE WHEN n_beyond = 0 AND least_ IS NOT NULL THEN least(greatest(0.02 * {P}, {D}), 0.95 * least_) END AS period_half_width, n_events, n_beyond, n_beyond = 0 AND least_ IS NOT NULL AS supported FROM g)
+ {sql_rounded('target_id mid_cycle ~mid_epoch ~epoch_half_width ~period_half_width n_events n_beyond supported', 'x')}""")
+def timing_support(spark, sf_dir):
+    return rounded(snapshots.timing_support(windows.accepted_cadences(finite_curves(spark, sf_dir), E), E, 0.25))
+
+
 _SPOILT = """bad AS (SELECT target_id, event_number, cadence_id, time, flux, CASE WHEN cadence_id % 40 = 0 THEN 0 WHEN cadence_id % 41 = 0 THEN CAST('nan' AS DOUBLE) ELSE flux_err END AS flux_err, CASE WHEN cadence_id % 60 = 0 THEN ' ' ELSE product_id END AS product_id FROM acc),
  twice AS (SELECT * FROM bad UNION ALL SELECT * FROM bad WHERE cadence_id % 50 = 0), ia AS (SELECT DISTINCT concat(target_id, ':', event_number) AS k FROM twice), ib AS (SELECT DISTINCT concat(target_id, ':', event_number) AS k FROM audit WHERE (included OR event_number % 7 = 1) AND event_number % 5 <> 0)"""
 _SPOILT_RULES = {
@@ -779,6 +788,28 @@ def inclination(spark, sf_dir):
     return rounded(p.select("p_partkey", inclination_degrees(F.col("a"), F.col("b")).alias("inclination"), duration_informed_a(F.lit(0.1), F.col("b"), F.lit(E.duration), F.lit(E.period)).alias("a_from_duration")))
 
 
+_BROKEN = {
+    "rp_must_be_positive": "rp <= 0", "a_over_rstar_must_exceed_1_plus_rp": "a <= 1 + greatest(rp, 0)", "impact_parameter_outside_transiting_range": "b < 0 OR b >= 1 + greatest(rp, 0)", "inclination_invalid": "a > 0 AND b > a",
+    "q1_outside_unit_interval": "NOT q1 BETWEEN 0 AND 1", "q2_outside_unit_interval": "NOT q2 BETWEEN 0 AND 1", "jitter_must_be_nonnegative": "jitter < 0",
+}
+
+
+@query("""WITH p AS (SELECT p_partkey, (p_size - 5) / 100::DOUBLE AS rp, (p_partkey % 13 - 1)::DOUBLE / 2 AS a, (p_partkey % 7 - 1)::DOUBLE / 3 AS b, (p_size - 2) / 45::DOUBLE AS q1, (p_partkey % 11) / 9::DOUBLE AS q2, (p_partkey % 5 - 1) / 100::DOUBLE AS jitter FROM part)
+ SELECT p_partkey, """ + "concat_ws(';', " + ", ".join(f"CASE WHEN {_BROKEN[n]} THEN '{n}' END" for n in PHYSICAL) + ") AS broken FROM p")
+def physical_constraints(spark, sf_dir):
+    """Parts stand for parameter sets, of which many break something."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    found = violations((size - 5) / 100, (k % 13 - 1) / 2, (k % 7 - 1) / 3, (size - 2) / 45, k % 11 / 9, (k % 5 - 1) / 100)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.array_join(found, ";").alias("broken"))
+
+
+@query(r"""SELECT p_partkey, replace(replace(lower(p_name), ' ', ''), '-', '') AS name, nullif(regexp_replace(trim(concat(' ', p_brand, ' / ', p_type, '  ')), '[^A-Za-z0-9_.-]+', '_', 'g'), '') AS run FROM part""")
+def names(spark, sf_dir):
+    """Names by which targets are compared, and names of runs that may be part of a path."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", plain_name(F.col("p_name")).alias("name"), run_id(F.concat(F.lit(" "), "p_brand", F.lit(" / "), "p_type", F.lit("  "))).alias("run"))
+
+
 # ------------------------------------------------------------------------------------------------ model and sampling
 _TRUE = (0.1, 5.5, 0.3, 0.36, 1 / 3)
 _TIMING = transit.Timing(E.period, E.epoch)

@@ -62,3 +62,30 @@ def compared(found: DataFrame, reference: DataFrame, *columns: str) -> DataFrame
     df = found.select("target_id", *columns).join(reference.select("target_id", *(F.col(c).alias(f"{c}_reference") for c in columns)), "target_id")
     gap = lambda c: F.col(c) - F.col(f"{c}_reference")
     return df.select("*", *(gap(c).alias(f"{c}_difference") for c in columns), *(F.try_divide(gap(c), F.abs(f"{c}_reference")).alias(f"{c}_share") for c in columns))
+
+
+#: Share of the period by which it may be off at most, and of the largest offset that keeps events in their windows.
+PERIOD_SHARE, GUARD = 0.02, 0.95
+
+
+def timing_support(accepted: DataFrame, e: Ephemeris, epoch_scale: float = 0.5) -> DataFrame:
+    """Per target of accepted(target_id, cycle, center, time): (mid_cycle, mid_epoch, epoch_half_width, period_half_width,
+    n_events, n_beyond, supported).
+
+    The epoch is that of the event nearest to the median time, and may move by epoch_scale durations. The period may move
+    by so much that no event leaves the edge of its window nearest to it, less GUARD, and by a share of itself or a
+    duration at most. n_beyond counts events whose window the epoch alone leaves; with any, or with no other event than
+    the middle one, nothing is supported and the period's half-width is null.
+    """
+    middle = accepted.groupBy("target_id").agg(F.rint((F.percentile("time", F.lit(0.5)) - e.epoch) / e.period).cast("long").alias("mid_cycle"))
+    events = accepted.groupBy("target_id", "cycle").agg(F.percentile("center", F.lit(0.5)).alias("center"), F.min("time").alias("first"), F.max("time").alias("last"))
+    room = F.least(F.col("center") - F.col("first"), F.col("last") - F.col("center")) - epoch_scale * e.duration
+    away = F.abs(F.col("cycle") - F.col("mid_cycle"))
+    df = events.join(middle, "target_id").withColumn("room", room).groupBy("target_id", "mid_cycle").agg(
+        F.count("*").alias("n_events"), F.count_if(F.col("room") <= 0).alias("n_beyond"), F.min(F.when(away > 0, F.col("room") / away)).alias("least")
+    )
+    ok = (F.col("n_beyond") == 0) & F.col("least").isNotNull()
+    return df.select(
+        "target_id", "mid_cycle", center(F.col("mid_cycle"), e).alias("mid_epoch"), F.lit(epoch_scale * e.duration).alias("epoch_half_width"),
+        F.when(ok, F.least(F.lit(max(PERIOD_SHARE * e.period, e.duration)), GUARD * F.col("least"))).alias("period_half_width"), "n_events", "n_beyond", ok.alias("supported"),
+    )
