@@ -108,15 +108,16 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     Texts are shuffled by runs of RUN ids, which hold RUN documents at most where ids are unique (rows that share an id
     share a run). A window over a run gives each document the next one; only the last of a run gets it from the first
-    of the next run, by a join on the run, for which texts are shuffled and fingerprinted a second time.
+    of the next run, by a join on the run. The firsts come from an aggregate, so all texts are shuffled and fingerprinted
+    once.
     """
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("run", F.floor(F.col("doc_id") / RUN))
     marked = fingerprints(own.repartition("run"))
     order = W.partitionBy("run").orderBy("doc_id", "text")
     after = following(own, "run").withColumnsRenamed({"run": "before", "next": "run"})
-    firsts = marked.withColumn("rank", F.row_number().over(order)).where("rank = 1").join(after, "run")
-    firsts = firsts.select(F.col("before").alias("run"), F.col("text").alias("first_text"), F.col("fingerprint").alias("first_fingerprint"))
+    least = own.groupBy("run").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("run", "x.text")  # a row for each run and task moves
+    firsts = fingerprints(least).join(after, "run").select(F.col("before").alias("run"), F.col("text").alias("first_text"), F.col("fingerprint").alias("first_fingerprint"))
     both = marked.withColumns({"head": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order)}).alias("a")
     both = both.join(firsts.alias("b"), (F.col("a.run") == F.col("b.run")) & F.col("a.head").isNull(), "left")
     both = both.select("a.doc_id", "a.text", "a.fingerprint", F.char_length("a.text").cast("long").alias("n_chars"), F.coalesce("head", "first_text").alias("head"), F.coalesce("next_fingerprint", "first_fingerprint").alias("next_fingerprint"))
