@@ -412,3 +412,19 @@ def test_light_curves_from_parquet(spark, tmp_path):
     with pytest.raises(ValueError):
         light_curves.read_light_curves(spark, str(tmp_path / "lc"), [3])
     assert light_curves.stitch([df, df.drop("flux_err")]).where("flux_err is null").count() == 4
+
+
+def test_baselines_of_least_norm_where_a_line_is_open(spark):
+    rows = [(1, 0, 0.5, 2.0, 0.1, 1.0), (1, 0, 0.5, 2.2, 0.2, 1.0), (1, 1, -0.3, 1.5, 0.1, 0.9), (1, 2, 0.1, 1.0, 0.1, 0.0), (1, 2, 0.2, 1.0, 0.1, 0.0), (1, 3, 0.0, 1.0, 0.1, 1.0), (1, 3, 0.1, 1.2, 0.1, 1.0), (1, 3, 0.2, 1.3, 0.2, 1.0)]
+    df = spark.createDataFrame(rows, "target_id long, event_number long, offset double, flux double, flux_err double, model double")
+    got = {r["event_number"]: (r["intercept"], r["slope"]) for r in residuals.event_baselines(df, "model").collect()}
+    for event in range(4):
+        x, y, s, m = (np.array([r[k] for r in rows if r[1] == event]) for k in (2, 3, 4, 5))
+        want = np.linalg.lstsq(np.column_stack([m, m * x]) / s[:, None], y / s, rcond=None)[0]
+        assert np.allclose(got[event], want), event
+
+
+def test_ties_of_products_go_by_their_first_time(spark):
+    e, t = Ephemeris(10.0, 5.0, 1.0), np.arange(2.0, 8.0, 0.1)
+    pdf = pd.DataFrame({"target_id": 1, "product_id": np.where(np.arange(len(t)) % 2 == 0, "z", "a"), "cadence_id": np.arange(len(t)), "time": t, "flux": 1.0, "flux_err": 0.1})
+    assert windows.window_audit(spark.createDataFrame(pdf, SCHEMA), e).first()["source_products"] == "z;a"

@@ -319,7 +319,7 @@ def _sql_reasons() -> str:
 _AUDIT = f"""{sql_windows(_H)}, wi AS (SELECT *, {_INSIDE} AS is_in FROM win), ws AS (SELECT *, time - lag(time) OVER w AS step,
   CASE WHEN is_in THEN time - max(CASE WHEN is_in THEN time END) OVER (PARTITION BY target_id, cycle ORDER BY time, cadence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS in_step
   FROM wi WINDOW w AS (PARTITION BY target_id, cycle ORDER BY time, cadence_id)),
- pr AS (SELECT target_id, cycle, string_agg(product_id, ';' ORDER BY n DESC, product_id) AS source_products FROM (SELECT target_id, cycle, product_id, count(*) AS n FROM win WHERE product_id IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+ pr AS (SELECT target_id, cycle, string_agg(product_id, ';' ORDER BY n DESC, seen, product_id) AS source_products FROM (SELECT target_id, cycle, product_id, count(*) AS n, min(time) AS seen FROM win WHERE product_id IS NOT NULL GROUP BY ALL) GROUP BY ALL),
  a0 AS (SELECT target_id, cycle, event_number, center, count(time) AS n, count(*) FILTER (is_in) AS n_in, count(*) FILTER (is_in AND "offset" < 0) AS n_left, count(*) FILTER (is_in AND "offset" >= 0) AS n_right,
   count(*) FILTER ("offset" <= {-windows.INNER * E.duration!r}::DOUBLE) AS n_pre, count(*) FILTER ("offset" >= {windows.INNER * E.duration!r}::DOUBLE) AS n_post, max(step) AS largest_gap, max(in_step) AS in_transit_gap FROM ws GROUP BY ALL),
  audit AS (SELECT a0.*, coalesce(source_products, '') AS source_products, {_sql_reasons()} AS exclusion_reasons, {_sql_reasons()} = '' AS included FROM a0 LEFT JOIN pr USING (target_id, cycle)),

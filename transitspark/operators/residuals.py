@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 def event_baselines(accepted: DataFrame, model: str) -> DataFrame:
     """Per event, intercept and slope of a weighted line times the model column: five sums and a 2 x 2 system.
 
-    A system without a solution (one time, or a model of zeros) has null coefficients.
+    Where cadences of one time, or a single one, leave a line open, it is the one of least norm among those that fit best; a model
+    of zeros has a line of zeros.
     """
     w, m, x, y = 1 / F.pow(F.greatest(F.col("flux_err"), F.lit(1e-12)), 2), F.col(model), F.col("offset"), F.col("flux")
     s = accepted.groupBy("target_id", "event_number").agg(
@@ -18,7 +19,10 @@ def event_baselines(accepted: DataFrame, model: str) -> DataFrame:
     )
     det = F.col("a") * F.col("d") - F.col("b") * F.col("b")
     det = F.when(det > 1e-12 * F.col("a") * F.col("d"), det)
-    return s.select("target_id", "event_number", "n", ((F.col("p") * F.col("d") - F.col("q") * F.col("b")) / det).alias("intercept"), ((F.col("q") * F.col("a") - F.col("p") * F.col("b")) / det).alias("slope"))
+    at = F.try_divide("b", "a")  # the one time
+    least = F.coalesce(F.try_divide(F.col("p"), F.col("a") * (1 + at * at)), F.lit(0.0))
+    intercept, slope = (F.col("p") * F.col("d") - F.col("q") * F.col("b")) / det, (F.col("q") * F.col("a") - F.col("p") * F.col("b")) / det
+    return s.select("target_id", "event_number", "n", F.coalesce(intercept, least).alias("intercept"), F.coalesce(slope, least * at, F.lit(0.0)).alias("slope"))
 
 
 def residual_stats(residuals: DataFrame, *by: str) -> DataFrame:

@@ -23,7 +23,7 @@ def half_width(e: Ephemeris) -> float:
 
 def window_audit(cadences: DataFrame, e: Ephemeris) -> DataFrame:
     """One row per predicted event: counts by part of the window, gaps, source products by falling frequency, and why
-    the event is left out, if it is. Ties of products go by name."""
+    the event is left out, if it is. Ties of products go by their first time, then by name."""
     h = half_width(e)
     by = ["target_id", "cycle", "event_number", "center"]
     near = windows(cadences, e, h)
@@ -36,9 +36,9 @@ def window_audit(cadences: DataFrame, e: Ephemeris) -> DataFrame:
     near = near.withColumn("in_step", F.when(F.col("is_in"), F.col("time") - F.max(F.when(F.col("is_in"), F.col("time"))).over(times.rowsBetween(W.unboundedPreceding, -1))))
     per_product = near.groupBy(*by, "product_id").agg(
         F.count("time").alias("n"), F.count_if("is_in").alias("n_in"), F.count_if(F.col("is_in") & (o < 0)).alias("n_left"), F.count_if(F.col("is_in") & (o >= 0)).alias("n_right"),
-        F.count_if(pre).alias("n_pre"), F.count_if(post).alias("n_post"), F.max("step").alias("gap"), F.max("in_step").alias("in_gap"),
+        F.count_if(pre).alias("n_pre"), F.count_if(post).alias("n_post"), F.max("step").alias("gap"), F.max("in_step").alias("in_gap"), F.min("time").alias("seen"),
     )
-    named = F.when(F.col("product_id").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("product_id").alias("p")))
+    named = F.when(F.col("product_id").isNotNull(), F.struct((-F.col("n")).alias("n"), "seen", F.col("product_id").alias("p")))
     audit = per_product.groupBy(*by).agg(
         *(F.sum(c).alias(c) for c in ("n", "n_in", "n_left", "n_right", "n_pre", "n_post")), F.max("gap").alias("largest_gap"), F.max("in_gap").alias("in_transit_gap"),
         F.array_join(F.transform(F.array_sort(F.collect_list(named)), lambda x: x["p"]), ";").alias("source_products"),
