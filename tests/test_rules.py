@@ -1,6 +1,7 @@
 """Rules of a snapshot: a whole one passes, and each way to break it is found by the rule it breaks."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -90,13 +91,18 @@ def test_every_rule_is_broken_by_something():
 
 def test_broken_snapshots(spark, tmp_path):
     """Each break is found by the rules that it breaks, with samples of the offenders."""
-    for k, (spoil, expected) in enumerate(breaks()):
+
+    def one(case):
+        k, (spoil, expected) = case
         s = good()
         spoil(s)
-        found = rules.report(spark, rules.read_frozen(spark, write(tmp_path / "b", s)), [r for r in rules.SNAPSHOT_RULES if r.name in expected]).collect()
+        found = rules.report(spark, rules.read_frozen(spark, write(tmp_path / f"b{k}", s)), [r for r in rules.SNAPSHOT_RULES if r.name in expected]).collect()
         assert {r["rule"] for r in found if r["n_failed"]} == expected, (k, expected, found)
         assert all(r["samples"] for r in found if r["n_failed"])
 
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(one, enumerate(breaks())))
+
 
 def test_what_cannot_be_verified_says_so(spark):
     t = {"a": spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")}
