@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources.shared import written
+from .series import running
 
 CHAIN = ("ensemble", "walker")
 #: A window of the autocorrelation is wide enough at so many times the time that it gives.
@@ -54,16 +55,10 @@ def mean_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, rank, n, total): for each distinct value of a key its rank from 1, ties at their mean, how often it
     is there, and the rows of the key.
 
-    Distinct values are counted first and dealt by ranges of key and value, so no task holds a key. A range's rows are
-    numbered within it, on top of what all ranges before it hold of the key: one row for each range and key.
+    Distinct values are counted first, see `running`.
     """
     counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    dealt = written(counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()))
-    sizes = dealt.groupBy(*keys, "_range").agg(F.sum("n").alias("_here"))
-    before = sizes.select(*keys, "_range", F.coalesce(F.sum("_here").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_here").over(W.partitionBy(*keys)).alias("total"))
-    up_to = F.sum("n").over(W.partitionBy(*keys, "_range").orderBy(value))
-    ranked = dealt.withColumn("_up_to", up_to).join(before, [*keys, "_range"])
-    return ranked.select(*keys, value, (F.col("_before") + F.col("_up_to") - (F.col("n") - 1) / 2).alias("rank"), "n", "total")
+    return running(counts, keys, value).select(*keys, value, (F.col("up_to") - (F.col("n") - 1) / 2).alias("rank"), "n", "total")
 
 
 def halves(draws: DataFrame, *by: str) -> DataFrame:
