@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources.shared import written
-from .series import running
+from .series import alike, numbered, quantiles, running
 
 CHAIN = ("ensemble", "walker")
 #: A window of the autocorrelation is wide enough at so many times the time that it gives.
@@ -65,42 +65,61 @@ def halves(draws: DataFrame, *by: str) -> DataFrame:
     """Finite draws of halved chains: (by, parameter, ensemble, walker, half, k, value), k the place in the half from 0.
     An odd last draw is left out, and so are chains of fewer than four draws."""
     valid = draws.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
-    own = W.partitionBy(*by, "parameter", *CHAIN)
-    df = valid.withColumn("_k", F.row_number().over(own.orderBy("step", "value")) - 1).withColumn("_half", F.floor(F.count("*").over(own) / 2))
-    df = df.where("_half >= 2 and _k < 2 * _half")
-    return df.select(*by, "parameter", *CHAIN, F.floor(F.col("_k") / F.col("_half")).cast("int").alias("half"), F.pmod("_k", "_half").cast("long").alias("k"), "value")
+    chain = [*by, "parameter", *CHAIN]
+    df = numbered(valid.select(*chain, "step", "value"), chain, "step", "value").withColumn("_half", F.floor(F.col("_n") / 2))
+    df = df.where("_half >= 2 and _place < 2 * _half")
+    return df.select(*chain, F.floor(F.col("_place") / F.col("_half")).cast("int").alias("half"), F.pmod("_place", "_half").cast("long").alias("k"), "value")
 
 
-def normal_scores(rows: DataFrame, *by: str) -> DataFrame:
-    """rows with z: normal scores of the ranks of value within (by, parameter), (rank - 3/8) / (n + 1/4)."""
-    keys = [*by, "parameter"]
-    ranked = mean_ranks(rows, keys, "value").withColumn("_p", F.expr("(rank - 0.375e0) / (total + 0.25e0)"))
-    scores = ranked.select(*keys, "value", normal_quantile("_p").alias("z"))
-    return rows.join(scores, [*keys, "value"])
+#: A value that more draws than this have is often: its score is broadcast, one for so many rows at most.
+OFTEN = 50_000
+
+
+def scores(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value, n, z): normal scores of the mean ranks of counts(keys, value, n), (rank - 3/8) / (total + 1/4)."""
+    ranked = running(counts, keys, "value").withColumn("_p", F.expr("(up_to - (n - 1) / 2e0 - 0.375e0) / (total + 0.25e0)"))
+    return ranked.select(*keys, "value", "n", normal_quantile("_p").alias("z"))
 
 
-def folded(rows: DataFrame, *by: str) -> DataFrame:
-    """rows whose values are distances from the median of their parameter."""
+def normal_scores(rows: DataFrame, *by: str) -> DataFrame:
+    """rows with z: normal scores of the ranks of value within (by, parameter). Rows of one value don't meet in a task."""
     keys = [*by, "parameter"]
-    middle = rows.groupBy(*keys).agg(F.percentile("value", F.lit(0.5)).alias("_middle"))
-    return rows.join(middle, keys).withColumn("value", F.abs(F.col("value") - F.col("_middle"))).drop("_middle")
+    found = written(scores(rows.groupBy(*keys, "value").agg(F.count("*").alias("n")), keys))
+    often = F.broadcast(found.where(F.col("n") > OFTEN).drop("n"))
+    rare = rows.join(often, [*keys, "value"], "left_anti").join(found.where(F.col("n") <= OFTEN).drop("n"), [*keys, "value"])
+    return rare.unionByName(rows.join(often, [*keys, "value"]))
 
 
-def _rhat(rows: DataFrame, *by: str) -> DataFrame:
-    """(by, parameter, rhat) of chains of z; infinite with fewer than two chains, 1 where none varies."""
-    chains = rows.groupBy(*by, "parameter", *CHAIN, "half").agg(F.avg("z").alias("m"), F.var_samp("z").alias("v"), F.count("*").alias("n"))
-    out = chains.groupBy(*by, "parameter").agg(F.avg("v").alias("w"), F.var_samp("m").alias("b"), F.min("n").alias("n"), F.count("*").alias("m"))
+def folded(counts: DataFrame, *by: str) -> DataFrame:
+    """counts(by, parameter, value, n, ..) whose values are distances from the median of their parameter."""
+    keys = [*by, "parameter"]
+    all_ = written(counts.groupBy(*keys, "value").agg(F.sum("n").alias("n")))
+    middle = written(quantiles(all_, keys, "value", [0.5]).select(*keys, F.col("q")[0].alias("_middle")))
+    return counts.join(middle, keys).withColumn("value", F.abs(F.col("value") - F.col("_middle"))).drop("_middle")
+
+
+def _rhat(counts: DataFrame, *by: str) -> DataFrame:
+    """(by, parameter, rhat) of scored values of chains, counts(by, parameter, CHAIN, half, value, n); infinite with fewer
+    than two chains, 1 where none varies. Draws are counted by chain and value, so a value that is often is few rows."""
+    keys, chain = [*by, "parameter"], [*by, "parameter", *CHAIN, "half"]
+    z = scores(counts.groupBy(*keys, "value").agg(F.sum("n").alias("n")), keys).drop("n")
+    scored = written(counts.join(z, [*keys, "value"]).select(*chain, "n", "z"))
+    mean = F.when(F.min("z") == F.max("z"), F.min("z")).otherwise(F.sum(F.col("n") * F.col("z")) / F.sum("n"))
+    means = written(scored.groupBy(*chain).agg(mean.alias("m"), F.sum("n").alias("_n")))
+    off = alike(scored, means, chain).groupBy(*chain).agg(F.max("m").alias("m"), (F.sum(F.col("n") * (F.col("z") - F.col("m")) ** 2) / (F.max("_n") - 1)).alias("v"), F.max("_n").alias("n"))
+    out = off.groupBy(*keys).agg(F.avg("v").alias("w"), F.var_samp("m").alias("b"), F.min("n").alias("n"), F.count("*").alias("m"))
     value = F.expr("CASE WHEN m < 2 THEN double('inf') WHEN w <= 0 AND b <= 0 THEN 1 WHEN w <= 0 THEN double('inf') ELSE sqrt(((n - 1) / n * w + b) / w) END")
-    return out.select(*by, "parameter", value.alias("rhat"))
+    return out.select(*keys, value.alias("rhat"))
 
 
 def rank_rhat(draws: DataFrame, *by: str) -> DataFrame:
     """(by, parameter, rhat_bulk, rhat_tail, rhat): split R-hat of normal scores, that of the folded draws, and the
     greater of them. Parameters without a chain of four draws are left out."""
-    rows = written(halves(draws, *by))
-    bulk = _rhat(normal_scores(rows, *by), *by).withColumnRenamed("rhat", "rhat_bulk")
-    tail = _rhat(normal_scores(folded(rows, *by), *by), *by).withColumnRenamed("rhat", "rhat_tail")
-    return bulk.join(tail, [*by, "parameter"]).withColumn("rhat", F.greatest("rhat_bulk", "rhat_tail"))
+    keys = [*by, "parameter"]
+    counts = written(halves(draws, *by).groupBy(*keys, *CHAIN, "half", "value").agg(F.count("*").alias("n")))
+    bulk = _rhat(counts, *by).withColumnRenamed("rhat", "rhat_bulk")
+    tail = _rhat(folded(counts, *by), *by).withColumnRenamed("rhat", "rhat_tail")
+    return bulk.join(tail, keys).withColumn("rhat", F.greatest("rhat_bulk", "rhat_tail"))
 
 
 def autocovariances(rows: DataFrame, chain: list[str], order: str, value: str) -> DataFrame:
@@ -160,7 +179,7 @@ def rank_sizes(draws: DataFrame, *by: str) -> DataFrame:
     keys = [*by, "parameter"]
     rows = written(halves(draws, *by))
     bulk = _sizes(normal_scores(rows, *by), "z", keys)
-    edges = rows.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("_edges"))
+    edges = written(quantiles(written(rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))), keys, "value", [0.05, 0.95]).withColumnRenamed("q", "_edges"))
     tails = rows.join(edges, keys).select(*keys, *CHAIN, "half", "k", F.posexplode("_edges").alias("tail", "_edge"), "value").withColumn("value", (F.col("value") <= F.col("_edge")).cast("double")).drop("_edge")
     tail = _sizes(tails, "value", [*keys, "tail"]).groupBy(*keys).agg(F.min("ess").alias("tail_ess"))
     return bulk.join(tail, keys)
