@@ -117,3 +117,21 @@ def test_times_of_known_chains(spark):
     assert worst["unavailable_count"] == 1 and not worst["all_available"] and not worst["long_enough"]
     good = d.worst_time(d.autocorrelation_times(df.where("parameter = 'x'"), ["x"])).first()
     assert good["all_available"] and good["long_enough"] and abs(good["worst_tau"] - 9) < 0.7
+
+
+def test_times_of_walkers_in_segments(spark):
+    """Windows within the first segment, over several rounds of lags, and at no lag at all; walkers of several lengths."""
+    rng = np.random.default_rng(6)
+    cases = {("fast", 0): ar1(rng, 3, 300, 0.3), ("slow", 0): ar1(rng, 3, 900, 0.93), ("trend", 0): np.linspace(0, 1, 500) ** 2 + rng.normal(size=(2, 500)) * 0.01, ("short", 0): ar1(rng, 2, 5, 0.0)}
+    df = frame(spark, cases).where("NOT (parameter = 'slow' AND walker = 0 AND step >= 610)").unionByName(frame(spark, {("still", 0): np.full((2, 30), 0.1)}))
+    got = {r["parameter"]: r for r in d.autocorrelation_times(df, [*(p for p, _ in cases), "still"], segment=16).collect()}
+    for (p, _), x in cases.items():
+        mean = np.zeros(x.shape[1])
+        for w, own in enumerate(x):
+            own = own[:610] if (p, w) == ("slow", 0) else own
+            c = own - own.mean()
+            mean[: len(own)] += np.array([c[k:] @ c[: len(c) - k] for k in range(len(c))]) / (c @ c) / len(x)
+        taus = 2 * np.cumsum(mean) - 1
+        enough = np.flatnonzero(np.arange(len(mean)) >= 5 * taus)
+        assert np.isclose(got[p]["tau"], taus[enough[0] if len(enough) else -1]) and got[p]["retained_steps"] == x.shape[1]
+    assert got["still"]["error"] == "nonfinite_autocorrelation_time" and got["still"]["retained_steps"] == 30

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources.shared import written
-from .series import alike, numbered, quantiles, running
+from .series import HELD, SEGMENT, alike, numbered, pieces, placed, quantiles, running
 
 CHAIN = ("ensemble", "walker")
 #: A window of the autocorrelation is wide enough at so many times the time that it gives.
@@ -185,36 +185,134 @@ def rank_sizes(draws: DataFrame, *by: str) -> DataFrame:
     return bulk.join(tail, keys)
 
 
-def autocorrelation_times(draws: DataFrame, parameters: list[str], wide: float = WIDE) -> DataFrame:
+def _segments(valid: DataFrame, chain: list[str], segment: int) -> DataFrame:
+    """(chain, _n, _at, c0, x): centred values of a chain from place _at * segment on, in arrays of `segment` values (the
+    last one shorter), and the chain's sum of squares; written once."""
+    kinds = dict(valid.dtypes)
+    own = ", ".join(f"`{c}` {kinds[c]}" for c in chain)
+    cut = placed(pieces(valid, chain, ["step", "value"], "value", segment), chain).drop("_range", "_piece")
+
+    def totals(batches):
+        for pdf in batches:
+            yield pdf[chain].assign(n=pdf["n"], total=[x.sum() for x in pdf["values"]], least=[x.min() for x in pdf["values"]], most=[x.max() for x in pdf["values"]])
+
+    mean = F.when(F.min("least") == F.max("most"), F.min("least")).otherwise(F.sum("total") / F.sum("n"))
+    means = written(cut.mapInPandas(totals, own + ", n long, total double, least double, most double").groupBy(*chain).agg(mean.alias("_mean")))
+
+    def aligned(batches):
+        for pdf in batches:
+            rows = []
+            for k, (start, values, m) in enumerate(zip(pdf["_start"], pdf["values"], pdf["_mean"])):
+                x = values - m
+                edges = [0, *range(segment - start % segment, len(x), segment), len(x)]
+                rows += [(k, (start + i) // segment, start + i, x[i:j]) for i, j in zip(edges, edges[1:])]
+            k, at, first, x = zip(*rows)
+            yield pdf[[*chain, "_n"]].iloc[list(k)].assign(_at=at, first=first, x=x)
+
+    parts = alike(cut, means, chain).mapInPandas(aligned, own + ", _n long, _at long, first long, x array<double>")
+    whole = parts.groupBy(*chain, "_n", "_at").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "x"))), lambda p: p["x"])).alias("x"))
+    segments = written(whole)
+    squares = written(segments.groupBy(*chain).agg(F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("c0")))
+    return alike(segments, squares, chain)
+
+
+def _lag_sums(segments: DataFrame, chain: list[str], segment: int, first: int, last: int) -> DataFrame:
+    """(chain, _n, c0, _lags, sums): sums of products at lags _lags * segment + (0 to segment - 1) of each chain, for _lags
+    from first to last - 1. A segment meets the two that lie so far before it; a task adds up what it makes."""
+    kinds = dict(segments.dtypes)
+    later = segments.select(*chain, "_n", "c0", "_at", F.col("x").alias("later"), F.explode(F.sequence(F.lit(first), F.lit(last - 1)).cast("array<long>")).alias("_lags")).where("_lags <= _at")
+    near = segments.select(*chain, F.col("_at").alias("_a"), F.col("x").alias("near"))
+    far = segments.select(*chain, F.col("_at").alias("_b"), F.col("x").alias("far"))
+    pairs = alike(later.withColumn("_a", F.col("_at") - F.col("_lags")).withColumn("_b", F.col("_a") - 1), near, [*chain, "_a"])
+    pairs = alike(pairs, far, [*chain, "_b"], "left").select(*chain, "_n", "c0", "_lags", "later", "near", "far")
+    size = 1 << (3 * segment - 1).bit_length()
+
+    def products(batches):
+        held = {}
+
+        def table():
+            return pd.DataFrame([(*k, x) for k, x in held.items()], columns=[*chain, "_n", "c0", "_lags", "sums"])
+
+        for pdf in batches:
+            for *key, later, near, far in pdf.itertuples(index=False):
+                z = np.zeros(2 * segment)
+                if far is not None:
+                    z[: len(far)] = far  # whole, for it is not the last one
+                z[segment : segment + len(near)] = near
+                # lag r pairs later[t] with z[segment + t - r]
+                full = np.fft.irfft(np.fft.rfft(later, size) * np.conj(np.fft.rfft(z, size)), size)
+                sums = full[(np.arange(segment) - segment) % size]
+                key = tuple(key)
+                held[key] = held[key] + sums if key in held else sums
+                if len(held) * segment > HELD:
+                    yield table()
+                    held.clear()
+        if held:
+            yield table()
+
+    own = ", ".join(f"`{c}` {kinds[c]}" for c in chain) + ", _n long, c0 double, _lags long, sums array<double>"
+    return pairs.mapInPandas(products, own)
+
+
+#: Arrays of lags that one round looks at, at most.
+ROUND = 64
+
+
+def autocorrelation_times(draws: DataFrame, parameters: list[str], wide: float = WIDE, segment: int = SEGMENT) -> DataFrame:
     """(ensemble, parameter, tau, available, retained_steps, error): the integrated autocorrelation time of each ensemble.
 
-    Walkers' autocorrelations, by a Fourier transform each, are averaged over the ensemble; they are summed up to the
-    first lag that is at least `wide` times the time so far. Every ensemble has a row for each parameter; without
-    draws, or with a walker that never moves, the row is not available and says why. Lags past the end of a shorter walker
-    count as 0.
+    Walkers' autocorrelations are averaged over the ensemble; they are summed up to the first lag that is at least `wide`
+    times the time so far. They come from transforms of pairs of segments, so no task holds a walker, and in rounds:
+    the lags of one segment first, then more and more for ensembles whose time is still open, up to the longest walker.
+    Every ensemble has a row for each parameter; without draws, or with a walker that never moves, the row is not
+    available and says why. Lags past the end of a shorter walker count as 0.
     """
     valid = draws.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
-    lags = autocovariances(valid, ["ensemble", "parameter", "walker"], "step", "value")
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        longest = int(pdf["n"].max())
-        mean = np.zeros(longest)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            for x in pdf["lags"]:
-                x = np.asarray(x)
-                mean[: len(x)] += x / x[0] / len(pdf)
-            taus = 2 * np.cumsum(mean) - 1
-            enough = np.flatnonzero(np.arange(longest) >= wide * taus)
-        tau = float(taus[enough[0] if len(enough) else -1])
-        fine = np.isfinite(tau)
-        return pd.DataFrame([[*key, tau if fine else None, bool(fine), longest, None if fine else "nonfinite_autocorrelation_time"]], columns=["ensemble", "parameter", "tau", "available", "retained_steps", "error"])
-
+    group = ["ensemble", "parameter"]
+    chain = [*group, "walker"]
+    segments = _segments(valid, chain, segment)
+    walkers = segments.select(*chain, "_n", "c0").distinct()
+    usable = F.coalesce((F.col("c0") > 0) & (F.col("c0") < float("inf")), F.lit(False))
+    known = written(walkers.groupBy(*group).agg(F.max("_n").alias("longest"), F.count("*").alias("walkers"), F.every(usable).alias("fine")))
     kinds = dict(draws.dtypes)
-    found = lags.groupBy("ensemble", "parameter").applyInPandas(one, f"ensemble {kinds['ensemble']}, parameter string, tau double, available boolean, retained_steps long, error string")
+    schema = f"ensemble {kinds['ensemble']}, parameter string, longest long, walkers long, total double, tau double, done boolean"
+
+    def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        longest, walkers, total = int(pdf["longest"].iloc[0]), int(pdf["walkers"].iloc[0]), float(pdf["total"].iloc[0])
+        done, tau, last = False, None, 0
+        for lags, own in pdf.groupby("_lags"):
+            last = int(lags)
+            mean = sum(np.asarray(x) / c for x, c in zip(own["sums"], own["c0"])) / walkers
+            at = np.arange(last * segment, (last + 1) * segment)
+            running = total + np.cumsum(mean)
+            enough = np.flatnonzero((at < longest) & (at >= wide * (2 * running - 1)))
+            if len(enough):
+                done, tau = True, float(2 * running[enough[0]] - 1)
+                break
+            total = float(running[min(segment, longest - last * segment) - 1])
+        if not done and longest <= (last + 1) * segment:
+            done, tau = True, 2 * total - 1
+        if done and not np.isfinite(tau):
+            tau = None
+        return pd.DataFrame([[*key, longest, walkers, total, tau, done]], columns=[*group, "longest", "walkers", "total", "tau", "done"])
+
+    still, found, first, last = known.where("fine").select(*group, "longest", "walkers", F.lit(0.0).alias("total")), [], 0, 1
+    while True:
+        sums = _lag_sums(alike(segments, still.select(*group), group), chain, segment, first, last).drop("_n")
+        after = written(alike(sums, still, group).groupBy(*group).applyInPandas(scan, schema))
+        found.append(after.where("done").select(*group, "tau"))
+        still = after.where("NOT done").drop("tau", "done")
+        if still.isEmpty():
+            break
+        first, last = last, min(2 * last, last + ROUND)
+    taus = known.where("NOT fine").select(*group, F.lit(None).cast("double").alias("tau"))
+    for x in found:
+        taus = taus.unionByName(x)
+    times = alike(taus, known.select(*group, F.col("longest").alias("retained_steps")), group)
     every = draws.select("ensemble").distinct().select("ensemble", F.explode(F.array(*map(F.lit, parameters))).alias("parameter"))
-    return every.join(found, ["ensemble", "parameter"], "left").select(
-        "ensemble", "parameter", "tau", F.coalesce("available", F.lit(False)).alias("available"), F.coalesce("retained_steps", F.lit(0)).cast("long").alias("retained_steps"),
-        F.when(F.col("available").isNull(), "no_finite_draws").otherwise(F.col("error")).alias("error"),
+    return every.join(times, group, "left").select(
+        *group, "tau", F.col("tau").isNotNull().alias("available"), F.coalesce("retained_steps", F.lit(0)).cast("long").alias("retained_steps"),
+        F.when(F.col("retained_steps").isNull(), "no_finite_draws").when(F.col("tau").isNull(), "nonfinite_autocorrelation_time").alias("error"),
     )
 
 
