@@ -428,3 +428,25 @@ def test_ties_of_products_go_by_their_first_time(spark):
     e, t = Ephemeris(10.0, 5.0, 1.0), np.arange(2.0, 8.0, 0.1)
     pdf = pd.DataFrame({"target_id": 1, "product_id": np.where(np.arange(len(t)) % 2 == 0, "z", "a"), "cadence_id": np.arange(len(t)), "time": t, "flux": 1.0, "flux_err": 0.1})
     assert windows.window_audit(spark.createDataFrame(pdf, SCHEMA), e).first()["source_products"] == "z;a"
+
+
+def test_clipping_buffers_no_target(spark):
+    """Bounds come from counts: no plan has a window over a target, and rounds end as they do one by one."""
+    from transitspark.operators import cleaning
+
+    rng = np.random.default_rng(12)
+    flux = np.concatenate([np.round(rng.normal(50, 5, 400), 1), [500.0, -300.0, 90.0, 15.0, float("nan")]])
+    rows = [(t, i, float(i), float(x)) for t in (1, None) for i, x in enumerate(flux)] + [(2, i, float(i), 7.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "target_id long, cadence_id long, time double, flux double")
+    for mode in ("symmetric", "positive_only"):
+        got = cleaning.preprocess(df, mode, 2.5)
+        assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+        kept = ~np.isnan(flux)
+        for _ in range(cleaning.ROUNDS):
+            m, s = np.median(flux[kept]), flux[kept].std()
+            kept &= ~((flux > m + 2.5 * s) | ((flux < m - 2.5 * s) & (mode == "symmetric")))
+        found = got.collect()
+        for t in (1, None):
+            own = {r["cadence_id"]: r for r in found if r["target_id"] == t}
+            assert len(own) == len(flux) and [own[i]["is_retained"] for i in range(len(flux))] == kept.tolist() and own[0]["flux_median"] == np.median(flux[kept])
+        assert all(r["is_retained"] and r["flux_norm"] == 1.0 for r in found if r["target_id"] == 2)
