@@ -6,6 +6,9 @@ are null or not finite are left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources.shared import written
+from .sampling import LAGS, _across, _products
 from .series import HELD, SEGMENT, alike, numbered, pieces, placed, quantiles, running
 
 CHAIN = ("ensemble", "walker")
@@ -81,13 +85,19 @@ def scores(counts: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.select(*keys, "value", "n", normal_quantile("_p").alias("z"))
 
 
-def normal_scores(rows: DataFrame, *by: str) -> DataFrame:
-    """rows with z: normal scores of the ranks of value within (by, parameter). Rows of one value don't meet in a task."""
+#: Scores that are broadcast at most, in rows.
+SCORES = 1_000_000
+
+
+def normal_scores(rows: DataFrame, found: DataFrame, *by: str, most: int = SCORES) -> DataFrame:
+    """rows with z of found(by, parameter, value, n, z), the scores of values. Up to `most` of them are broadcast, so rows
+    stay where they are; else rows of one value don't meet in a task."""
     keys = [*by, "parameter"]
-    found = written(scores(rows.groupBy(*keys, "value").agg(F.count("*").alias("n")), keys))
+    if found.count() <= most:
+        return alike(rows, F.broadcast(found.drop("n")), [*keys, "value"])
     often = F.broadcast(found.where(F.col("n") > OFTEN).drop("n"))
-    rare = rows.join(often, [*keys, "value"], "left_anti").join(found.where(F.col("n") <= OFTEN).drop("n"), [*keys, "value"])
-    return rare.unionByName(rows.join(often, [*keys, "value"]))
+    rare = alike(alike(rows, often.drop("z"), [*keys, "value"], "left_anti"), found.where(F.col("n") <= OFTEN).drop("n"), [*keys, "value"])
+    return rare.unionByName(alike(rows, often, [*keys, "value"]))
 
 
 def folded(counts: DataFrame, *by: str) -> DataFrame:
@@ -122,75 +132,201 @@ def rank_rhat(draws: DataFrame, *by: str) -> DataFrame:
     return bulk.join(tail, keys).withColumn("rhat", F.greatest("rhat_bulk", "rhat_tail"))
 
 
-def autocovariances(rows: DataFrame, chain: list[str], order: str, value: str) -> DataFrame:
-    """(chain, n, mean, lags): sums of products of centred values at each lag, by one Fourier transform for each chain."""
-    kinds = dict(rows.dtypes)
+#: Series of which sizes are made: scores, and which draws lie up to the 5 % and the 95 % quantile.
+OF_RANKS = ("z", "low", "high")
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values([order, value])[value].to_numpy()
-        size = 1 << (2 * len(x) - 1).bit_length()
-        f = np.fft.rfft(x - x.mean(), size)
-        lags = np.fft.irfft(f * np.conj(f), size)[: len(x)]
-        return pd.DataFrame([[*key, len(x), x.mean(), lags]], columns=[*chain, "n", "mean", "lags"])
-
-    return rows.select(*chain, order, value).groupBy(*chain).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in chain) + ", n long, mean double, lags array<double>")
-
-
-def _size(n: np.ndarray, means: np.ndarray, lags: list[np.ndarray]) -> float:
-    """Effective size of chains: autocorrelations of all chains together, summed in pairs while these are positive and
-    made to fall (Geyer's initial monotone sequence)."""
-    if len(n) < 1 or n.min() < 4:
-        return float("nan")
-    shortest, m = int(n.min()), len(n)
-    acov = np.mean([x[:shortest] / k for x, k in zip(lags, n)], axis=0)
-    within = np.mean([x[0] / (k - 1) for x, k in zip(lags, n)])
-    pooled = within * (shortest - 1) / shortest + (np.var(means, ddof=1) if m > 1 else 0.0)
-    if pooled <= 1e-300:
-        return float(n.sum())
-    rho = 1 - (within - acov * shortest / (shortest - 1)) / pooled
-    rho[0] = 1.0
+
+def _pooled(n: np.ndarray, means: np.ndarray, squares: np.ndarray) -> tuple[float, float]:
+    """(within, pooled): variance within chains of n values, and with that between their means."""
+    least, within = n.min(), float(np.mean(squares / (n - 1)))
+    return within, float(within * (least - 1) / least + (np.var(means, ddof=1) if len(n) > 1 else 0.0))
+
+
+def _falling(rho: np.ndarray, before: float, total: float) -> tuple[bool, float, float]:
+    """(done, before, total): autocorrelations are summed in pairs while these are positive, made to fall from `before` on
+    (Geyer's initial monotone sequence); of the pair that ends the sum the first half counts if it is positive."""
     pairs = rho[: len(rho) // 2 * 2].reshape(-1, 2).sum(axis=1)
     stop = np.flatnonzero(pairs < 0)
     last = int(stop[0]) if len(stop) else len(pairs)
-    falling = np.minimum.accumulate(pairs[:last])
-    tau = -1 + 2 * falling.sum()
-    if last < len(pairs) and rho[2 * last] > 0:
-        tau += rho[2 * last]  # the first half of the pair that ends the sum
-    total = float(n.sum())
-    return min(total / max(tau, 1 / np.log10(total)), total * np.log10(total))
+    falling = np.minimum.accumulate(np.append(before, pairs[:last]))
+    return bool(len(stop)), float(falling[-1]), total + float(falling[1:].sum()) + (max(float(rho[2 * last]), 0.0) / 2 if len(stop) else 0.0)
 
 
-def _sizes(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by, ess) over the chains of each group: its chains' lags meet in one task, as many numbers as the chains have
-    draws up to the shortest."""
-    chains = autocovariances(rows, [*by, *CHAIN, "half"], "k", value)
-    kinds = dict(rows.dtypes)
-    shortest = chains.withColumn("_least", F.min("n").over(W.partitionBy(*by))).withColumn("lags", F.slice("lags", F.lit(1), F.col("_least").cast("int")))
+def _size(draws: float, total: float) -> float:
+    """Effective size of so many draws, from the sum of pairs."""
+    return min(draws / max(2 * total - 1, 1 / np.log10(draws)), draws * np.log10(draws))
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, _size(pdf["n"].to_numpy(), pdf["mean"].to_numpy(), [np.asarray(x) for x in pdf["lags"]])]], columns=[*by, "ess"])
 
-    return shortest.groupBy(*by).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in by) + ", ess double")
+def _correlation(acov: np.ndarray, shortest: int, within: float, pooled: float) -> np.ndarray:
+    return 1 - (within - acov * shortest / (shortest - 1)) / pooled
+
+
+def _halved(pdf: pd.DataFrame) -> Iterator[tuple]:
+    """(row, half, place in the half, series) of pieces of scores; an odd last draw is left out."""
+    for k, (start, n, z, low, high) in enumerate(zip(pdf["_start"], pdf["_n"], pdf["values"], pdf["_low"], pdf["_high"])):
+        for half in (0, 1):
+            first, last = max(half * (n // 2) - start, 0), min((half + 1) * (n // 2) - start, len(z))
+            if first < last:
+                x = z[first:last]
+                yield k, half, start + first - half * (n // 2), np.array([x, x <= low, x <= high], float)
+
 
+def _near_lags(cut: DataFrame, chain: list[str]) -> DataFrame:
+    """(chain, half, n, means, sums): of each series of a halved chain its mean and sums of products of what is off it, up
+    to LAGS places apart, one after the other. A piece gives its own products and its ends; a task that reads the pieces
+    of a chain in order holds one at a time."""
+    kinds = dict(cut.dtypes)
+    own = ", ".join(f"`{c}` {kinds[c]}" for c in chain) + ", half int"
+
+    def totals(batches):
+        for pdf in batches:
+            rows = [(k, half, x.shape[1], x.sum(axis=1), x[0].min(), x[0].max()) for k, half, _, x in _halved(pdf)]
+            k, half, n, sums, least, most = zip(*rows) if rows else [()] * 6
+            yield pdf[chain].iloc[list(k)].assign(half=half, n=n, sums=sums, least=least, most=most)
+
+    sums = cut.mapInPandas(totals, own + ", n long, sums array<double>, least double, most double").groupBy(*chain, "half")
+    mean = F.when(F.min("least") == F.max("most"), F.min("least")).otherwise(F.sum(F.col("sums")[0]) / F.sum("n"))
+    each = sums.agg(F.sum("n").alias("n"), F.array(mean, *(F.sum(F.col("sums")[k]) / F.sum("n") for k in (1, 2))).alias("means"))
+    means = written(each.groupBy(*chain).agg(F.transform(F.sort_array(F.collect_list(F.struct("half", "means"))), lambda x: x["means"]).alias("_means")))
+
+    def products(batches):
+        for pdf in batches:
+            rows = []
+            for k, half, at, x in _halved(pdf):
+                m = np.asarray(pdf["_means"].iloc[k][half])
+                off = x - m[:, None]
+                rows.append((k, half, at, x.shape[1], m, _products(off).ravel(), off[:, :LAGS].ravel(), off[:, max(off.shape[1] - LAGS, 0) :].ravel()))
+            k, *columns = zip(*rows) if rows else [()] * 8
+            yield pdf[chain].iloc[list(k)].assign(**dict(zip(("half", "_at", "n", "means", "sums", "head", "tail"), columns)))
+
+    parts = alike(cut, means, chain).mapInPandas(products, own + ", _at long, n long, " + ", ".join(f"{c} array<double>" for c in ("means", "sums", "head", "tail")))
+    parts = parts.repartition(*chain, "half").sortWithinPartitions(*chain, "half", "_at").drop("_at")
+
+    def joined(batches):
+        key, n, means, total, tail = None, 0, None, None, None
+        for pdf in batches:
+            done = []
+            for *now, more, m, sums, head, last in pdf.itertuples(index=False):
+                now = tuple(None if pd.isna(x) else x for x in now)
+                sums, head, last = (np.asarray(x).reshape(len(OF_RANKS), -1) for x in (sums, head, last))
+                if now != key:
+                    if key is not None:
+                        done.append((*key, n, means, total.ravel()))
+                    key, n, means, total, tail = now, 0, m, np.zeros_like(sums), last[:, :0]
+                total, n = total + sums + _across(tail, head), n + more
+                tail = np.concatenate([tail, last], axis=1)[:, -LAGS:]
+            yield pd.DataFrame(done, columns=[*chain, "half", "n", "means", "sums"])
+        if key is not None:
+            yield pd.DataFrame([(*key, n, means, total.ravel())], columns=[*chain, "half", "n", "means", "sums"])
+
+    return parts.mapInPandas(joined, own + ", n long, means array<double>, sums array<double>")
+
+
+def _far_sizes(cut: DataFrame, still: DataFrame, chain: list[str], keys: list[str], segment: int) -> DataFrame:
+    """(keys, series, ess) of still(keys, series, draws, shortest, chains, within, pooled): groups that hang together over
+    more than LAGS places. Lags come from transforms of pairs of segments, in rounds, see `autocorrelation_times`."""
+    kinds = dict(cut.dtypes)
+    long, group = [*chain, "half", "series"], [*keys, "series"]
+    own = ", ".join(f"`{c}` {kinds[c]}" for c in chain) + ", half int, series int"
+
+    def split(batches):
+        for pdf in batches:
+            rows = [(k, half, s, at, pdf["_n"].iloc[k] // 2, x.shape[1], x[s]) for k, half, at, x in _halved(pdf) for s in pdf["_series"].iloc[k]]
+            k, *columns = zip(*rows) if rows else [()] * 7
+            yield pdf[chain].iloc[list(k)].assign(**dict(zip(("half", "series", "_start", "_n", "n", "values"), columns)))
 
-def rank_sizes(draws: DataFrame, *by: str) -> DataFrame:
+    wanted = written(still.groupBy(*keys).agg(F.collect_list("series").alias("_series")))
+    parts = alike(cut, wanted, keys).mapInPandas(split, own + ", _start long, _n long, n long, values array<double>")
+    segments = _aligned(written(parts), long, segment)
+    state = ["draws long", "shortest long", "chains long", "within double", "pooled double", "before double", "total double", "done boolean"]
+    out = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", series int"
+
+    def chains(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key, sum(np.asarray(x) / n for x, n in zip(pdf["sums"], pdf["_n"]))]], columns=[*group, "_lags", "acov"])
+
+    def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        draws, shortest, m, within, pooled, before, total = (pdf[c.split()[0]].iloc[0] for c in state[:-1])
+        done = False
+        for lags, acov in sorted(zip(pdf["_lags"], pdf["acov"])):
+            rho = _correlation(np.asarray(acov)[: max(shortest - lags * segment, 0)] / m, shortest, within, pooled)
+            if lags == 0:
+                rho[0] = 1.0
+            done, before, total = _falling(rho, before, total)
+            done = done or shortest <= (lags + 1) * segment
+            if done:
+                break
+        return pd.DataFrame([[*key, draws, shortest, m, within, pooled, before, total, done]], columns=[*group, *(c.split()[0] for c in state)])
+
+    found, first, last = [], 0, 1
+    still = still.withColumns({"before": F.lit(float("inf")), "total": F.lit(0.0)})
+    while True:
+        sums = _lag_sums(alike(segments, still.select(*group), group), long, segment, first, last)
+        acov = sums.groupBy(*group, "_lags").applyInPandas(chains, f"{out}, _lags long, acov array<double>")
+        after = written(alike(acov, still, group).groupBy(*group).applyInPandas(scan, f"{out}, {', '.join(state)}"))
+        found.append(after.where("done"))
+        still = after.where("NOT done").drop("done")
+        if still.isEmpty():
+            break
+        first, last = last, min(2 * last, last + ROUND)
+    return reduce(DataFrame.unionByName, found)
+
+
+def rank_sizes(draws: DataFrame, *by: str, segment: int = SEGMENT, most: int = SCORES) -> DataFrame:
     """(by, parameter, ess, tail_ess): bulk size of normal scores of halved chains, and the smaller size of the two
-    indicators of draws up to the 5 % and the 95 % quantile. Parameters without a chain of four draws are left out."""
-    keys = [*by, "parameter"]
-    rows = written(halves(draws, *by))
-    bulk = _sizes(normal_scores(rows, *by), "z", keys)
-    edges = written(quantiles(written(rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))), keys, "value", [0.05, 0.95]).withColumnRenamed("q", "_edges"))
-    tails = rows.join(edges, keys).select(*keys, *CHAIN, "half", "k", F.posexplode("_edges").alias("tail", "_edge"), "value").withColumn("value", (F.col("value") <= F.col("_edge")).cast("double")).drop("_edge")
-    tail = _sizes(tails, "value", [*keys, "tail"]).groupBy(*keys).agg(F.min("ess").alias("tail_ess"))
-    return bulk.join(tail, keys)
+    indicators of draws up to the 5 % and the 95 % quantile. Parameters without a chain of four draws are left out.
+
+    Values are counted, and each draw's score takes its value's place, before draws are put in order; a draw lies up to a
+    quantile if its score does. So draws are moved once, and kept once as arrays. Sums of products at LAGS lags are
+    mostly enough to find where a sum over lags ends; only what hangs together longer is cut into segments.
+    """
+    keys, chain = [*by, "parameter"], [*by, "parameter", *CHAIN]
+    valid = draws.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))).select(*chain, "step", "value")
+    ends = written(valid.groupBy(*chain).agg(F.count("*").alias("_n"), F.max(F.struct("step", "value"))["value"].alias("value")))
+    odd = ends.where("_n >= 4 AND _n % 2 = 1").groupBy(*keys, "value").agg((-F.count("*")).alias("n"))
+    counts = alike(valid, ends.where("_n >= 4").select(*chain), chain).groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    counts = written(counts.unionByName(odd).groupBy(*keys, "value").agg(F.sum("n").alias("n")).where("n > 0"))
+    found = written(scores(counts, keys))
+    up_to = lambda k: F.max(F.when(F.col("value") <= F.col("q")[k], F.col("z")))
+    edges = written(alike(found, written(quantiles(counts, keys, "value", [0.05, 0.95])), keys).groupBy(*keys).agg(up_to(0).alias("_low"), up_to(1).alias("_high")))
+    cut = placed(pieces(normal_scores(valid, found, *by, most=most).select(*chain, "step", "z"), chain, ["step", "z"], "z", segment), chain)
+    cut = alike(cut.where("_n >= 4"), edges, keys)
+    kinds = dict(valid.dtypes)
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, rows = pdf["n"].to_numpy(), []
+        means, sums = np.stack(pdf["means"]), np.stack(pdf["sums"]).reshape(len(n), len(OF_RANKS), -1)
+        shortest, count = int(n.min()), float(n.sum())
+        for s in range(len(OF_RANKS)):
+            within, pooled = _pooled(n, means[:, s], sums[:, s, 0])
+            ess = float("nan") if shortest < 4 else count if pooled <= 1e-300 else None
+            if ess is None:
+                rho = _correlation((sums[:, s, : min(LAGS, shortest)] / n[:, None]).mean(axis=0), shortest, within, pooled)
+                rho[0] = 1.0
+                done, _, total = _falling(rho, float("inf"), 0.0)
+                ess = _size(count, total) if done or shortest <= LAGS else None
+            rows.append((*key, s, int(count), shortest, len(n), within, pooled, ess, ess is None))
+        return pd.DataFrame(rows, columns=[*keys, "series", "draws", "shortest", "chains", "within", "pooled", "ess", "still"])
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", series int, draws long, shortest long, chains long, within double, pooled double, ess double, still boolean"
+    sizes = written(_near_lags(cut, chain).groupBy(*keys).applyInPandas(one, schema))
+    each, still = sizes.where("NOT still").select(*keys, "series", "ess"), sizes.where("still").drop("ess", "still")
+    if not still.isEmpty():
+        size = F.udf(lambda n, total: float(_size(n, total)), "double")
+        each = each.unionByName(_far_sizes(cut, still, chain, keys, segment).select(*keys, "series", size("draws", "total").alias("ess")))
+    of = lambda s: F.min(F.when(F.col("series").isin(s), F.col("ess")))
+    return each.groupBy(*keys).agg(of([0]).alias("ess"), of([1, 2]).alias("tail_ess"))
 
 
 def _segments(valid: DataFrame, chain: list[str], segment: int) -> DataFrame:
+    """`_aligned` of rows."""
+    return _aligned(placed(pieces(valid, chain, ["step", "value"], "value", segment), chain).drop("_range", "_piece"), chain, segment)
+
+
+def _aligned(cut: DataFrame, chain: list[str], segment: int) -> DataFrame:
     """(chain, _n, _at, c0, x): centred values of a chain from place _at * segment on, in arrays of `segment` values (the
     last one shorter), and the chain's sum of squares; written once."""
-    kinds = dict(valid.dtypes)
+    kinds = dict(cut.dtypes)
     own = ", ".join(f"`{c}` {kinds[c]}" for c in chain)
-    cut = placed(pieces(valid, chain, ["step", "value"], "value", segment), chain).drop("_range", "_piece")
 
     def totals(batches):
         for pdf in batches:
